@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import search
+from . import licenses, mixing, search, sharding
 
-QUERIES = {"op7_topk_search": search.op7_topk_search}
+QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op7_topk_search": search.op7_topk_search,
+    "op9_mixing": mixing.op9_mixing,
+}
 ORACLES = {"op7_topk_search": search.ORACLE}
 
 
