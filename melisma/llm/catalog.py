@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, search, sharding
+from . import fingerprints, langid, licenses, mixing, search, sharding
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
     "op2_sharding": sharding.op2_sharding,
     "op4_license_scan": licenses.op4_license_scan,
     "op7_topk_search": search.op7_topk_search,
