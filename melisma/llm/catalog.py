@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, licenses, mixing, search, sharding
+from . import fingerprints, langid, licenses, mixing, packing, search, sharding
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
     "op1_language_id": langid.op1_language_id,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op2_sharding": sharding.op2_sharding,
