@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, licenses, mixing, packing, search, sharding
+from . import fingerprints, jaccard, langid, licenses, mixing, packing, search, sharding
 
 QUERIES = {
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op6_packing": packing.op6_packing,
     "op1_language_id": langid.op1_language_id,
     "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -13,7 +14,7 @@ QUERIES = {
     "op7_topk_search": search.op7_topk_search,
     "op9_mixing": mixing.op9_mixing,
 }
-ORACLES = {"op7_topk_search": search.ORACLE}
+ORACLES = {"op8_jaccard_join": jaccard.ORACLE, "op7_topk_search": search.ORACLE}
 
 
 def queries() -> dict:

@@ -20,8 +20,8 @@ WINDOW = 2048
 PIECE = 512
 #: Token id that ends a document.
 END = 1
-#: Tokens of rests in one unit of packing, about 100 windows.
-UNIT_TOKENS = 200_000
+#: Tokens of rests in one unit of packing, about 200 windows.
+UNIT_TOKENS = 400_000
 #: Bytes of text whose distinct words are looked up at once.
 BATCH_BYTES = 4 << 20
 #: Words and word parts that a worker remembers; beyond, it forgets all and goes on.

@@ -116,7 +116,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     rolled = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         if n > i:
-            part = mix(hashes[i:] + _STEP * _U(i + 1))
+            part = mix(hashes[i:] + _U((int(_STEP) * (i + 1)) % (1 << 64)))
             rolled[: n - i] += part
     rolled = mix(rolled)
     out = []
