@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, langid, licenses, mixing, packing, search, sharding
+from . import fingerprints, jaccard, langid, licenses, mixing, packing, search, secrets, sharding
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op6_packing": packing.op6_packing,
     "op1_language_id": langid.op1_language_id,
