@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, langid, licenses, mixing, packing, search, secrets, sharding
+import corpus_pipeline
+
+from . import fingerprints, jaccard, langid, licenses, lm, mixing, packing, search, secrets, sharding
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op5_lm_scores": lm.op5_lm_scores,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op6_packing": packing.op6_packing,
@@ -23,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

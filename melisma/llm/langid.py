@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import remainder, table
@@ -26,6 +27,9 @@ RIDGE = 1e-2
 #: Sharpness with which one-versus-rest scores become shares of one.
 SHARPNESS = 6.0
 
+#: A text is rejected when its best language has less than this share of the score.
+REJECT_BELOW = 0.3
+
 UND = "und"
 
 
@@ -107,33 +111,53 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 
+def judge(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language of each text and its share among the one-versus-rest scores; `und` and 0 where no language was learned."""
+    names, scores = [], []
+    for chunk in chunks(texts):
+        for a in range(0, len(chunk.offsets) - 1, 512):
+            offs = chunk.offsets[a : a + 513]
+            part = Chunk(0, offs - offs[0], chunk.data[offs[0] : offs[-1]])
+            if not model.languages:
+                names += [UND] * (len(offs) - 1)
+                scores += [0.0] * (len(offs) - 1)
+                continue
+            raw = model.scores(presence(part)).astype(np.float64)
+            names += [model.languages[i] for i in raw.argmax(1)]
+            scores += (1 / np.exp(SHARPNESS * (raw - raw.max(1, keepdims=True))).sum(1)).tolist()
+    return names, scores
+
+
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch["letters"].to_pylist()
-            names, scores = [], []
-            for chunk in chunks(batch["text"]):
-                for a in range(0, len(chunk.offsets) - 1, 512):
-                    offs = chunk.offsets[a : a + 513]
-                    part = Chunk(0, offs - offs[0], chunk.data[offs[0] : offs[-1]])
-                    raw = model.scores(presence(part)).astype(np.float64) if model.languages else np.zeros((len(offs) - 1, 0))
-                    for row in raw:
-                        if not len(row):
-                            names.append(UND)
-                            scores.append(0.0)
-                            continue
-                        share = np.exp(SHARPNESS * (row - row.max()))
-                        names.append(model.languages[int(row.argmax())])
-                        scores.append(float(1.0 / share.sum()))
+            names, scores = judge(model, batch["text"])
             names = [n if has else UND for n, has in zip(names, letters, strict=True)]
             scores = [s if n != UND else 0.0 for n, s in zip(names, scores, strict=True)]
-            kept = [batch.column(i) for i, f in enumerate(batch.schema.names) if f not in ("letters", "text")]
-            kept_names = [f for f in batch.schema.names if f not in ("letters", "text")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept_names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows that language ID rejects: those whose text is null or has no letter, and those in which the best
+    learned language has less than REJECT_BELOW of the score. Without labelled rows only the former go."""
+    model = train(docs)
+    if not model.languages:
+        return docs.where(has_letter("text"))
+
+    @F.pandas_udf("double")
+    def share(texts: pd.Series) -> pd.Series:
+        return pd.Series(judge(model, pa.array(texts, type=pa.large_string()))[1])
+
+    return docs.where(has_letter("text")).where(share("text") >= REJECT_BELOW)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, from its whole text alone.
 
@@ -141,7 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language's share among the one-versus-rest scores. Null ids stay, and count as the empty text for held_out; equal texts
     get equal predictions.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"), has_letter("text").alias("letters"))
     return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

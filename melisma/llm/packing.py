@@ -228,6 +228,12 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, piece: int
     return pack(written(pieces(docs, path, window, piece), "pieces"), window)
 
 
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -178,6 +178,12 @@ def redacted(docs: DataFrame, trees: list[forest.Node], least: float = LEAST_SCO
     return out.withColumn(text_col, F.when(changed, text).otherwise(F.col(text_col))).drop("_pieces", "_found")
 
 
+def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All docs, with the secrets in their texts masked and n_chars, where there is one, as the text then has."""
+    out = redacted(docs, train(spark))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates themselves don't leave the query: their SHA-256 does."""
     found = scan(table(spark, sf_dir, "documents"), train(spark))
