@@ -72,7 +72,7 @@ SELECT song_id, event_id, midi FROM m WHERE midi > before AND midi > after
 """, "W16")
 char_times = operator("character_times", "lines", """
 WITH c AS (SELECT conv_id, turn, length(text) AS n FROM {lines} WHERE text IS NOT NULL AND length(text) > 0)
-SELECT conv_id, turn, k.i AS char_index, round(turn + CAST(k.i AS DOUBLE) / least(n, 12), 6) AS start_s FROM c JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS k(i) ON k.i < least(n, 12)
+SELECT conv_id, turn, CAST(i AS BIGINT) AS char_index, round(turn + CAST(i AS DOUBLE) / n, 6) AS start_s FROM c [[each_below:n|i]]
 """, "W20: equal parts of a word's time")
 silence_groups = operator("silence_groups", "note_events", """
 WITH c AS (SELECT song_id, event_id, start_s, confidence, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY song_id ORDER BY start_s, event_id) <= 72e2 THEN 0 ELSE 1 END AS fresh FROM {note_events}), g AS (SELECT *, sum(fresh) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS grp FROM c)

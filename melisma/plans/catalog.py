@@ -1,13 +1,14 @@
 """All registered queries of the library proper, and their SQL."""
 
 from ..functions import scalars  # noqa: F401  (registers its operators)
-from ..operators import aggregates, joins, quality, sequences  # noqa: F401
+from ..operators import aggregates, decoders, joins, quality, sequences  # noqa: F401
+from ..streaming import jobs
 from .sqlop import REGISTRY
 
 
 def queries() -> dict:
-    return {name: op.query for name, op in REGISTRY.items()}
+    return {name: op.query for name, op in REGISTRY.items()} | decoders.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: op.oracle() for name, op in REGISTRY.items()}
+    return {name: op.oracle() for name, op in REGISTRY.items()} | jobs.ORACLES
