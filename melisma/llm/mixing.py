@@ -129,8 +129,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: rows of no copies go, rows of two stand twice. Equal rows count as a group."""
     own = docs.withColumn("_key", row_key(F.col("doc_id").cast("long"), word_count("text"), F.col("source").cast("string")))
-    picked = mix(sized(docs)).groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = own.join(picked, own["_key"] == picked["row_key"])
+    picked = mix(sized(docs)).groupBy(F.col("row_key").alias("_match")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    joined = own.join(picked, own["_key"] == picked["_match"])
     # rows that share a key share its copies: each gets the whole part, the first ones one more
     place = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
     joined = joined.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(1))
