@@ -16,6 +16,8 @@ DIALECT = {
     "words": ("split(trim(regexp_replace({x}, '[ \\\\n]+', ' ')), ' ')", "string_split(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g')), ' ')"),
     "replace_all": ("regexp_replace({x}, {y}, {z})", "regexp_replace({x}, {y}, {z}, 'g')"),
     "each_below": ("LATERAL VIEW explode(sequence(0, CAST({x} AS INT) - 1)) AS {y}", "CROSS JOIN unnest(range(CAST({x} AS INTEGER))) AS unnested({y})"),
+    "find": ("regexp_extract({x}, {y}, {z})", "regexp_extract({x}, {y}, {z})"),
+    "matches": ("({x} RLIKE {y})", "regexp_matches({x}, {y})"),
     "json": ("get_json_object({x}, {y})", "json_extract_string({x}, {y})"),
     "word_count": ("regexp_count({x}, '[^ \\\\n]+')", "len(regexp_extract_all({x}, '[^ \\n]+'))"),
 }
