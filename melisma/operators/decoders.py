@@ -352,6 +352,107 @@ def spectrum(samples: DataFrame, size: int = 64) -> DataFrame:
     return samples.groupBy("song_id").applyInPandas(run, "song_id long, window long, bin int, db double")
 
 
+def group_cores(cores: DataFrame, span: float = 0.45, price: float = 0.7, reach: int = 24) -> DataFrame:
+    """DP6 over (song_id, place, center, length): neighbouring stable cores in groups of nearly one pitch.
+
+    A group costs `price` plus 8 times its weighted variance, spans `span` semitones and `reach` cores at most.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        x, w = rows["center"].to_numpy(float), rows["length"].to_numpy(float)
+        sums = [np.concatenate(([0.0], np.cumsum(v))) for v in (w, w * x, w * x * x)]
+        cost, start = np.full(len(x) + 1, np.inf), np.zeros(len(x) + 1, dtype=int)
+        cost[0] = 0
+        for end in range(1, len(x) + 1):
+            first = np.arange(max(0, end - reach), end)
+            back = x[first[0] : end][::-1]
+            wide = (np.maximum.accumulate(back) - np.minimum.accumulate(back))[::-1]
+            first = first[wide <= span]
+            total, mean, square = (s[end] - s[first] for s in sums)
+            offered = cost[first] + price + 8 * np.maximum(0, square / total - (mean / total) ** 2)
+            start[end] = first[offered.argmin()]
+            cost[end] = offered.min()
+        bounds, end = [], len(x)
+        while end:
+            bounds.append((start[end], end))
+            end = start[end]
+        group = np.repeat(np.arange(len(bounds)), [b - a for a, b in bounds[::-1]])
+        return pd.DataFrame({"song_id": key[0], "place": rows["place"].to_numpy(), "core_group": group})
+
+    return cores.groupBy("song_id").applyInPandas(run, "song_id long, place long, core_group long")
+
+
+def align_phrases(lines: DataFrame, blank: int = 0) -> DataFrame:
+    """DP11 over (line_id, frame, log_probs, tokens): frames of each token of a short phrase, which may begin and end anywhere.
+
+    The usual expansion with blanks between tokens; a line for which no path holds all tokens has no rows.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame")
+        tokens = list(rows["tokens"].iat[0])
+        states = np.full(2 * len(tokens) + 1, blank)
+        states[1::2] = tokens
+        fit = np.stack(rows["log_probs"].to_numpy())[:, states]
+        skip = np.zeros(len(states), dtype=bool)
+        skip[3::2] = states[3::2] != states[1:-2:2]
+        total, moves = np.full(len(states), -np.inf), np.zeros(fit.shape, dtype=np.int8)
+        total[0], ends = 0.0, []
+        for t, row in enumerate(fit):
+            options = np.full((3, len(states)), -np.inf)
+            options[0], options[1, 1:] = total, total[:-1]
+            options[2, 2:] = np.where(skip[2:], total[:-2], -np.inf)
+            moves[t] = options.argmax(0)
+            total = options.max(0) + row
+            total[0] = 0.0  # a phrase may begin after any frame
+            ends += [(total[-1], t, len(states) - 1), (total[-2], t, len(states) - 2)] if tokens else []
+        best, t, s = max(ends, default=(-np.inf, 0, 0), key=lambda e: e[0])
+        held: list[list[int]] = [[] for _ in tokens]
+        while np.isfinite(best) and t >= 0 and s > 0:
+            if s % 2:
+                held[s // 2].append(t)
+            s, t = s - int(moves[t, s]), t - 1
+        rows_out = [(key[0], i, min(f), max(f) + 1, round(float(np.exp(fit[f, 2 * i + 1].mean())), 6)) for i, f in enumerate(held) if f] if all(held) else []
+        return pd.DataFrame(rows_out, columns=["line_id", "token_place", "frame_from", "frame_to", "probability"])
+
+    return lines.groupBy("line_id").applyInPandas(run, "line_id long, token_place long, frame_from long, frame_to long, probability double")
+
+
+#: Open strings of a guitar from low to high.
+STRINGS = [40, 45, 50, 55, 59, 64]
+
+
+def fingering(root: int, intervals: list[int]) -> list[int]:
+    """SC18: the easiest frets (-1: muted) of a chord with its root in the bass, within four frets; what is easy is stated in `price`."""
+    wanted = {(root + i) % 12 for i in intervals}
+    grids = []
+    for base in range(1, 10):
+        choices = [[-1] + [f for f in sorted({0, *range(base, base + 4)}) if (s + f) % 12 in wanted] for s in STRINGS]
+        grids.append(np.stack([g.ravel() for g in np.meshgrid(*choices, indexing="ij")], 1))
+    frets = np.unique(np.concatenate(grids), axis=0)
+    pitch = np.where(frets >= 0, frets + np.array(STRINGS), 999)
+    pressed = np.where(frets > 0, frets, 99).min(1)
+    span = np.where(frets.max(1) > 0, frets.max(1) - np.minimum(pressed, frets.max(1)), 0)
+    complete = np.all([((pitch % 12 == p) & (frets >= 0)).any(1) for p in wanted], axis=0)
+    barred = ((frets == pressed[:, None]) & (frets > 0)).sum(1) >= 2
+    # a bar is laid where four fingers don't do; under it all strings between its ends sound at its fret or above
+    low = (frets == pressed[:, None]).argmax(1)
+    high = 5 - (frets == pressed[:, None])[:, ::-1].argmax(1)
+    between = (np.arange(6) >= low[:, None]) & (np.arange(6) <= high[:, None])
+    barred &= ~(between & (frets == 0)).any(1) & ((frets > 0).sum(1) > 4)
+    fingers = (frets > 0).sum(1) - np.where(barred, ((frets == pressed[:, None]) & (frets > 0)).sum(1) - 1, 0)
+    fits = complete & (pitch.min(1) % 12 == root) & ((frets >= 0).sum(1) >= 3) & (span <= 3) & (fingers <= 4)
+    price = 0.7 * (frets < 0).sum(1) + 0.5 * span + 0.12 * frets.max(1) + 0.8 * barred
+    return frets[fits][price[fits].argmin()].tolist() if fits.any() else []
+
+
+def fingerings(spark: SparkSession) -> DataFrame:
+    """(root, kind, frets) of the 60 chords: a dimension table, made once and joined."""
+    rows = [(root, kind, fingering(root, intervals)) for root in range(12) for kind, intervals in CHORDS.items()]
+    return spark.createDataFrame(rows, "root int, kind string, frets array<int>")
+
+
 # --- the decoders on the driver's tables --------------------------------------------------------------------------------
 
 
@@ -400,5 +501,7 @@ QUERIES = {
     "spaced_cuts": lambda s, d: spaced_cuts(_onsets(s, d).select("song_id", F.col("unit").alias("at")), 6.0),
     "row_packing": lambda s, d: pack_rows(adapters.view(s, d, "notes").groupBy("score_id", "m_idx").agg((F.count(F.lit(1)) * 90.0).alias("width"), (F.col("m_idx") % 8 == 0).alias("break_before"))),
     "tempo_autocorrelation": lambda s, d: tempo(_onsets(s, d), 0.5),
+    "core_groups": lambda s, d: group_cores(_onsets(s, d).select("song_id", F.col("event_id").alias("place"), F.col("pitch_center").alias("center"), F.col("confidence").alias("length"))),
+    "guitar_fingerings": lambda s, d: fingerings(s),
     "hann_spectrum": lambda s, d: spectrum(_onsets(s, d).select("song_id", F.expr("row_number() OVER (PARTITION BY song_id ORDER BY unit, event_id)").alias("place"), F.col("pitch_center").alias("x"))),
 }

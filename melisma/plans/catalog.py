@@ -2,13 +2,14 @@
 
 from ..functions import scalars  # noqa: F401  (registers its operators)
 from ..operators import aggregates, decoders, joins, quality, scores, sequences  # noqa: F401
+from ..sources import documents
 from ..streaming import jobs
 from .sqlop import REGISTRY
 
 
 def queries() -> dict:
-    return {name: op.query for name, op in REGISTRY.items()} | decoders.QUERIES | jobs.QUERIES
+    return {name: op.query for name, op in REGISTRY.items()} | decoders.QUERIES | documents.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: op.oracle() for name, op in REGISTRY.items()} | jobs.ORACLES
+    return {name: op.oracle() for name, op in REGISTRY.items()} | documents.ORACLES | jobs.ORACLES

@@ -95,6 +95,51 @@ def test_tempo(spark):
     assert abs(decoders.tempo(onsets, 0.01).first()["bpm"] - 120) < 1
 
 
+def test_core_groups(spark):
+    cores = spark.createDataFrame([(1, i, c, 1.0) for i, c in enumerate([60.0, 60.1, 60.05, 62.0, 62.1])], "song_id long, place long, center double, length double")
+    assert [r["core_group"] for r in decoders.group_cores(cores).orderBy("place").collect()] == [0, 0, 0, 1, 1]
+
+
+def test_phrase_alignment(spark):
+    good, bad = math.log(0.9), math.log(0.05)
+    heard = [0, 0, 1, 1, 0, 2, 2, 2, 0]
+    rows_ = [(7, t, [good if k == h else bad for k in range(3)], [1, 2]) for t, h in enumerate(heard)]
+    got = decoders.align_phrases(spark.createDataFrame(rows_, "line_id long, frame long, log_probs array<double>, tokens array<int>")).orderBy("token_place").collect()
+    assert [(r["frame_from"], r["frame_to"]) for r in got] == [(3, 4), (5, 6)] and all(r["probability"] == 0.9 for r in got)
+
+
+def test_fingerings():
+    assert decoders.fingering(4, [0, 3, 7]) == [0, 2, 2, 0, 0, 0]  # E minor
+    for root in range(12):
+        frets = decoders.fingering(root, [0, 4, 7])
+        sounding = [s + f for s, f in zip(decoders.STRINGS, frets) if f >= 0]
+        assert min(sounding) % 12 == root and {p % 12 for p in sounding} == {(root + i) % 12 for i in (0, 4, 7)}
+
+
+def test_documents(spark, tmp_path):
+    import json
+    import zipfile
+
+    from melisma.sources import documents
+
+    F = documents.F
+    texts = [(1, '{"a": 1}'), (2, 'so:\n```json\n{"a": 2}\n```'), (3, "```{}``` and ```{}```"), (4, None), (5, "words")]
+    assert {r[0]: r[1] for r in spark.createDataFrame(texts, "i long, t string").select("i", documents.one_json(F.col("t"))).collect()} == {1: '{"a": 1}', 2: '{"a": 2}', 3: None, 4: None, 5: None}
+    broken = '{"title": "x", "lyrics": [{"noteId": "n1"}, {"noteId": "n9"}], "measures": [{"id": "m1", "notes": [{"id": "n1"}]}, {"id": "m2", "no'
+    got = json.loads(documents.whole_measures(broken))
+    assert [m["id"] for m in got["measures"]] == ["m1"] and got["lyrics"] == [{"noteId": "n1"}] and documents.whole_measures('{"measures": [') is None
+    song = spark.createDataFrame([(1, "[00:01.5][00:05.0]la\n[00:03]lo\n[ar:x]\n")], "song_id long, text string")
+    assert sorted((r["start_s"], r["end_s"], r["words"]) for r in documents.lrc_lines(song, duration=9).collect()) == [(1.5, 3.0, "la"), (3.0, 5.0, "lo"), (5.0, 9.0, "la")]
+    for name, files in (("good", ["manifest.json", "score/a.jpu"]), ("bad", ["../x"])):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for f in files:
+                z.writestr(f, "12345")
+    (tmp_path / "none.zip").write_text("no")
+    rows_ = documents.read_packages(spark, str(tmp_path / "*.zip")).collect()
+    assert sorted((r["package"].rsplit("/", 1)[1], r["name"], r["problem"]) for r in rows_ if r["problem"]) == [("bad.zip", None, "path"), ("none.zip", None, "no archive")]
+    assert {r["name"] for r in rows_ if not r["problem"]} == {"manifest.json", "score/a.jpu"}
+
+
 def test_job_states(spark, tmp_path):
     ts = lambda m: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)
     for k, batch in enumerate([[(1, ts(0), "uploading"), (2, ts(0), "uploading"), (1, ts(1), "running")], [(1, ts(5), "done"), (2, ts(6), "done")], [(3, ts(200), "uploading")], [(3, ts(201), "running")]]):
