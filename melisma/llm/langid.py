@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import remainder, table
-from .vectors import LOWER, Chunk, chunks, mix
+from .vectors import LOWER, Chunk, chunks, give_back, mix
 
 _U = np.uint64
 #: n-gram lengths in bytes, blended in one presence vector.
 NGRAMS = (1, 2, 3, 4)
+#: Bytes of text scored together.
+BATCH_BYTES = 1 << 18
 #: Presence bits; n-grams are hashed to them.
 BITS = 1 << 13
 #: Labelled texts learned from, for each language: the first by a hash of the id. This bounds what the driver holds.
@@ -95,11 +97,17 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Up to `rows` rows of each language, the first by a hash of the id: the same ones however the table is stored."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    keys = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # first by ids alone, so that texts are sorted only within the sample
-    ids = labelled.select("lang", "doc_id").withColumn("_r", F.row_number().over(keys)).where(F.col("_r") <= rows).select("lang", "doc_id").distinct()
+    """Up to `rows` rows of each language, the first by a hash of the id: the same ones however the table is stored.
+
+    Ids whose hash is beyond four times the share wanted are left out before any sorting, so that a common language's rows
+    don't meet in one task; then ids are ranked, and texts only within the sample.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
+    keys = Window.partitionBy("lang").orderBy(place, "doc_id")
+    share = labelled.groupBy("lang").agg((F.lit(4.0 * rows) / F.count(F.lit(1))).alias("_share"))
+    near = labelled.select("lang", "doc_id").join(share, "lang").where(place / F.lit(float(1 << 40)) <= F.col("_share"))
+    ids = near.withColumn("_r", F.row_number().over(keys)).where(F.col("_r") <= rows).select("lang", "doc_id").distinct()
     own = labelled.join(F.broadcast(ids) if rows <= 10_000 else ids, ["lang", "doc_id"], "left_semi")
     return own.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).select("doc_id", "lang", "text")
 
@@ -114,9 +122,9 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def judge(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
     """The language of each text and its share among the one-versus-rest scores; `und` and 0 where no language was learned."""
     names, scores = [], []
-    for chunk in chunks(texts):
-        for a in range(0, len(chunk.offsets) - 1, 512):
-            offs = chunk.offsets[a : a + 513]
+    for chunk in chunks(texts, BATCH_BYTES):
+        for a in range(0, len(chunk.offsets) - 1, 256):
+            offs = chunk.offsets[a : a + 257]
             part = Chunk(0, offs - offs[0], chunk.data[offs[0] : offs[-1]])
             if not model.languages:
                 names += [UND] * (len(offs) - 1)
@@ -136,6 +144,7 @@ def _predictor(model: Model):
             names = [n if has else UND for n, has in zip(names, letters, strict=True)]
             scores = [s if n != UND else 0.0 for n, s in zip(names, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     return run
 
