@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import row_key, table, written
 from .components import components
-from .vectors import LOWER, Chunk, chunks, mix, shingles, word_hashes, words
+from .vectors import LOWER, Chunk, chunks, give_back, mix, shingles, word_hashes, words
 
 _U = np.uint64
-#: Buckets of the frequency sketch that orders shingles: 1 MB of counts at any corpus size.
-SKETCH_BITS, SKETCH_PART = 18, 4096
+#: Buckets of the frequency sketch that orders shingles: 4 MB of levels at any corpus size.
+SKETCH_BITS, SKETCH_PART = 22, 1 << 16
 #: Index entries in one shard on average, and entries that one part of a hot list may hold.
 SHARD_ENTRIES, LIST_ENTRIES = 200_000, 200_000
 #: Lists longer than this are answered by way of a leader.
-LONG_LIST = 48
+LONG_LIST = 64
+#: Ids sent to all executors at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Index entries that two sets must share to be compared; prefixes are longer by as many.
+COMMON = 6
+#: At the first COMMON shingles that two sets share, their places add up to their symmetric difference and this at most.
+SLACK = 2 * (COMMON - 1)
 
 
 class Threshold(NamedTuple):
@@ -30,13 +37,17 @@ class Threshold(NamedTuple):
     num: int = 80
     den: int = 100
 
-    def prefix(self, n: int) -> int:
-        """So many first shingles of a set share one with the first of any set that it links to."""
-        return n - -(-self.num * n // self.den) + 1 if n else 0
+    def prefix(self, n: int, common: int) -> int:
+        """So many first shingles of a set share `common` with the first of any set that it links to (or all they must share)."""
+        return min(n, n - -(-self.num * n // self.den) + common) if n else 0
+
+    def least_common(self, n, m):
+        """Shingles that linked sets of these sizes share at least."""
+        return -(-self.num * (n + m) // (self.num + self.den))
 
     def most_apart(self, n, m):
         """Largest symmetric difference of linked sets of these sizes."""
-        return n + m - 2 * (-(-self.num * (n + m) // (self.num + self.den)))
+        return n + m - 2 * self.least_common(n, m)
 
     def sizes_fit(self, n, m):
         return (self.den * np.minimum(n, m)) >= (self.num * np.maximum(n, m))
@@ -57,22 +68,25 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents' distinct shingles fall in each bucket, over all documents; the buckets are fixed in number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for _, sets in _sets(batch["text"], k):
                 if sets:
-                    counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
-        parts = counts.astype("<i8").reshape(-1, SKETCH_PART)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+                    which, times = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
+                    counts[which] += times.astype(np.uint32)
+        parts = counts.astype("<u4").reshape(-1, SKETCH_PART)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["part", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, dtype="<i8") for c in group["counts"].to_pylist())
-        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = np.zeros(SKETCH_PART, dtype=np.int64)
+        for c in group["counts"]:
+            total += np.frombuffer(zlib.decompress(c.as_py()), dtype="<u4")
+        return pa.table({"part": pa.array([group["part"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, dtype=np.int64).reshape(-1, SKETCH_PART)
     for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], dtype="<i8")
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8")
     return out.ravel()
 
 
@@ -92,15 +106,30 @@ def node_of(keys: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64))[0].astype(np.int64))
 
 
+def parities(keys: np.ndarray) -> np.ndarray:
+    """64-bit words: is the number of a set's shingles that fall on each of 1024 bits odd? Two sets differ by as many shingles
+    as their words differ in bits at least."""
+    odd = (np.bincount((mix(keys) >> _U(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
+PARITIES = [f"parity{i}" for i in range(16)]
+
+
 def _named(level: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, words_ = [], [], []
             for _, sets in _sets(batch["text"], k):
                 for s in sets:
-                    nodes.append(node_of(ordered(s, level)) if len(s) else None)
+                    keys = ordered(s, level)
+                    nodes.append(node_of(keys) if len(s) else None)
                     sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "n"])
+                    words_.append(parities(keys))
+            bits = np.array(words_, dtype=np.int64).reshape(-1, len(PARITIES))
+            columns = [batch["doc_id"], batch["row_key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, i]) for i in range(len(PARITIES))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "node", "n", *PARITIES])
+        give_back()
 
     return run
 
@@ -138,20 +167,23 @@ def _indexed(level: np.ndarray, salts: np.ndarray, shards: int, t: Threshold):
                     if node in seen:
                         continue
                     seen.add(node)
-                    held.append((node, keys[: t.prefix(len(s))]))
+                    held.append((node, keys[: t.prefix(len(s), COMMON)]))
                     sizes.append(len(s))
                     entries += len(held[-1][1])
-                    if entries > 2_000_000:
+                    if entries > 400_000:
                         yield flush(held, sizes)
                         held, sizes, entries = [], [], 0
         if held:
             yield flush(held, sizes)
+        give_back()
 
     return run
 
 
 _FOUND = "kind int, token long, a long, b long, n long, place int"
-PAIR, ENTRY, LEADER = 0, 1, 2
+#: Rows of _FOUND: pairs of short lists (place: how many of this shard's lists hold both; n: how many of all must), entries of
+#: long lists, their leaders, and pairs with a leader.
+PAIR, ENTRY, LEADER, LED = 0, 1, 2, 3
 
 
 def _probe(t: Threshold, long_list: int):
@@ -168,13 +200,13 @@ def _probe(t: Threshold, long_list: int):
         length = np.diff(np.concatenate((first, [len(token)])))
         found: list[list[np.ndarray]] = []
 
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
+        def keep(kind: int, i: np.ndarray, j: np.ndarray) -> None:
             n, m = size[i], size[j]
-            fits = t.sizes_fit(n, m) & (place[i] + place[j] <= t.most_apart(n, m))
+            fits = t.sizes_fit(n, m) & (place[i] + place[j] <= t.most_apart(n, m) + SLACK)
             i, j = i[fits], j[fits]
             if len(i):
-                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                found.append([np.full(len(i), PAIR), np.zeros(len(i), np.int64), a, b, np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)])
+                need = np.minimum(COMMON, t.least_common(size[i], size[j]))
+                found.append([np.full(len(i), kind), np.zeros(len(i), np.int64), np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), need, np.ones(len(i), np.int64)])
 
         parted = (token[first] & _U(1)) == 1
         whole = ~parted & (length <= long_list)
@@ -184,23 +216,24 @@ def _probe(t: Threshold, long_list: int):
             step = max(1, 1_000_000 // len(x))
             for lo in range(0, len(starts), step):
                 base = starts[lo : lo + step, None]
-                keep((base + x[None, :]).ravel(), (base + y[None, :]).ravel())
+                keep(PAIR, (base + x[None, :]).ravel(), (base + y[None, :]).ravel())
         for s, m in zip(first[~whole].tolist(), length[~whole].tolist(), strict=True):
             own = np.arange(s, s + m)
-            # blocks by position: an entry so late that no first common shingle can stand there with any other is skipped with its block
-            own = own[place[own] + place[own].min() <= t.most_apart(size[own], size[own] * t.den // t.num + 1)]
+            # blocks by position: an entry so late that no early common shingle can stand there with any other is skipped with its block
+            own = own[place[own] + place[own].min() <= t.most_apart(size[own], size[own] * t.den // t.num + 1) + SLACK]
             if not len(own):
                 continue
             early = own[place[own] <= np.median(place[own])]
             leader = early[np.argmin(node[early])]
-            keep(np.full(len(own) - 1, leader), own[own != leader])
+            keep(LED, np.full(len(own) - 1, leader), own[own != leader])
             name = (token[own] >> _U(1)).astype(np.int64)
             found.append([np.full(len(own), ENTRY), name, node[own], np.zeros(len(own), np.int64), size[own], place[own]])
             found.append([np.array([LEADER]), name[:1], node[[leader]], np.zeros(1, np.int64), size[[leader]], place[[leader]]])
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
         rows = pa.table([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "token", "a", "b", "n", "place"])
-        return rows.group_by(["kind", "token", "a", "b", "n", "place"]).aggregate([]).select(["kind", "token", "a", "b", "n", "place"])
+        alike = rows.group_by(["kind", "token", "a", "b", "n"]).aggregate([("place", "sum")])
+        return alike.select(["kind", "token", "a", "b", "n", "place_sum"]).rename_columns(rows.schema.names).cast(rows.schema)
 
     return run
 
@@ -239,25 +272,27 @@ def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n_shingles, component_id) of each row of docs, and the verified links (a, b) between nodes.
+    """(doc_id, row_key, node, group, n_shingles, component_id) of each row of docs, and the verified links (a, b) between nodes.
 
     A node stands for all rows with equal shingle sets, whose answers are derived from one of them. An index lists, for every
     shingle among the first few of a set (in an order with frequent shingles last), the sets and the shingle's place in each;
-    lists are cut to shards, and pairs whose sizes or places rule a link out are skipped. In a long list all sets are compared
-    with one leader first. What lies in one component by then needs no further comparison: of the rest, only pairs of
-    different components are compared, so a large group of near copies costs about one comparison each. Every candidate is
-    verified on whole sets, and every pair of texts that links lies in one component, as all-pairs comparison would put it.
+    lists are cut to shards, and pairs whose sizes or places rule a link out, or that share too few entries, are skipped. In a
+    long list all sets are compared with one leader first. What lies in one component by then needs no further comparison: of
+    the rest, only pairs of different components are candidates, and parity words that each set carries along rule out most of
+    those that differ too much. Every candidate is verified on whole sets, and every pair of texts that links lies in one
+    component, as all-pairs comparison would put it.
 
     Texts without words (null too) have 0 shingles, no node and their own id as component. Null ids take part, but a component's
     id is the smallest one that is not null. Repeated rows stay. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("row_key", row_key("doc_id", "text"))
     counts = sketch(rows, t.k)
     level = levels(counts)
-    own = written(rows.mapInArrow(_named(level, t.k), "doc_id long, node long, n long"), "jaccard-nodes")
-    first = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n")), "jaccard-sets")
+    own = written(rows.select("doc_id", "row_key", "text").mapInArrow(_named(level, t.k), "doc_id long, row_key long, node long, n long, " + ", ".join(f"{c} long" for c in PARITIES)), "jaccard-nodes")
+    first = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", *PARITIES)]), "jaccard-sets")
 
-    entries = first.agg(F.sum(F.col("n") - F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den)) + 1)).first()[0] or 0
+    entries = first.agg(F.sum(F.col("n") - F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den)) + COMMON)).first()[0] or 0
     shards = max(64, -(-int(entries) // SHARD_ENTRIES))
     # a level's lists are as long as its largest bucket at most
     most = np.array([counts[level == i].max(initial=0) for i in range(16)])
@@ -269,37 +304,62 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     leaders = found.where(F.col("kind") == LEADER)
     chief = leaders.groupBy("token").agg(F.min("a").alias("chief"))
     across = leaders.join(chief, "token").where(F.col("a") != F.col("chief")).select(F.least("a", "chief").alias("a"), F.greatest("a", "chief").alias("b"))
-    pairs = written(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(across).distinct(), "jaccard-pairs")
+    # in how many lists a pair stands together; of long lists, with a leader only
+    alike = found.where(F.col("kind").isin(PAIR, LED)).groupBy("a", "b").agg(F.sum("place").alias("common"), F.max("n").alias("need")).where("common >= need").select("a", "b")
+    pairs = written(alike.unionByName(across).distinct(), "jaccard-pairs")
     long = found.where(F.col("kind") == ENTRY).select("token", F.col("a").alias("node"), "n", "place")
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long.select("node")).distinct()
-    wanted = first.join(used, "node", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct()
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    sets = written(texts.mapInArrow(_whole(level, t.k), "node long, keys binary").dropDuplicates(["node"]), "jaccard-whole")
-    links = written(verify(pairs, sets, t), "jaccard-links")
+
+    def verified(candidates: DataFrame, label: str) -> DataFrame:
+        used = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+        wanted = written(first.join(used, "node", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct(), "jaccard-wanted")
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        texts = rows.join(small, rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+        sets = written(texts.mapInArrow(_whole(level, t.k), "node long, keys binary"), "jaccard-whole")
+        return written(verify(candidates, sets, t), label)
+
+    links = verified(pairs, "jaccard-links")
 
     joined = components(links)
     # of long lists, pairs of different components are left
     entry = long.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     mixed = entry.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    entry = entry.join(mixed, "token", "left_semi")
+    entry = entry.join(mixed, "token", "left_semi").join(first.select("node", *PARITIES), "node")
     x, y = entry.alias("x"), entry.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     apart = n + m - 2 * F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den))
-    fits = (F.col("x.label") < F.col("y.label")) & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart)
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = written(verify(rest, sets, t), "jaccard-more")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        joined = components(links)
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES[1:]), F.bit_count(F.col("x.parity0").bitwiseXOR(F.col("y.parity0"))))
+    fits = (F.col("x.label") < F.col("y.label")) & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & (differ <= apart)
+    need = F.least(F.lit(COMMON), F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den)))
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), need.alias("need"))
+    both = written(both.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
+    if not both.isEmpty():
+        short = found.where(F.col("kind") == PAIR).join(both.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("place").alias("short"))
+        rest = both.join(short, ["a", "b"], "left").where(F.col("common") + F.coalesce("short", F.lit(0)) >= F.col("need")).select("a", "b")
+        more = verified(written(rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-rest"), "jaccard-more")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = components(links)
 
     least = joined.join(first, "node").groupBy("label").agg(F.min("first_doc").alias("component"))
-    known = joined.join(least, "label").select("node", "component")
-    by_node = first.join(known, "node", "left").select("node", F.coalesce("component", "first_doc").alias("component"))
-    result = own.join(by_node, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = joined.join(least, "label").select("node", "label", "component")
+    by_node = first.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("group"), F.coalesce("component", "first_doc").alias("component"))
+    result = own.join(by_node, "node", "left").select("doc_id", "row_key", "node", "group", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return result, links
 
 
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) stays: that of the smallest id, of
+    equal ids that of the smallest hash of the row. Rows without words are in no group and stay."""
+    found, _ = join(docs, Threshold())
+    keep = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("kept")).select(F.col("kept.row_key").alias("_kept")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    matched = keyed.join(keep, F.col("_key") == F.col("_kept"), "left")
+    # equal rows are one document
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) == 1
+    empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return matched.withColumn("_first", first).where(empty | (F.col("_kept").isNotNull() & F.col("_first"))).select(*docs.columns)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     result, _ = join(table(spark, sf_dir, "documents"), Threshold(k=3, num=90, den=100))
     return result.select("doc_id", "n_shingles", "component_id")
