@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .vectors import SPACE, Chunk, chunks, word_hashes, words
+from .vectors import SPACE, Chunk, chunks, give_back, word_hashes, words
 
 WINDOW = 2048
 #: A document's rest after its whole windows is cut to pieces of this many tokens at most.
@@ -23,9 +23,9 @@ END = 1
 #: Tokens of rests in one unit of packing, about 200 windows.
 UNIT_TOKENS = 400_000
 #: Bytes of text whose distinct words are looked up at once.
-BATCH_BYTES = 4 << 20
-#: Words and word parts that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 300_000
+BATCH_BYTES = 1 << 20
+#: Word parts that a worker remembers; beyond, it forgets all and goes on.
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +56,6 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = byte_letters()
-        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -77,15 +76,8 @@ class WordTokenizer:
     def ids(self, chunk: Chunk) -> list[np.ndarray]:
         w = words(chunk, SPACE)
         _, first, where = np.unique(word_hashes(chunk.data, w), return_index=True, return_inverse=True)
-        raw, known, found = chunk.data.tobytes(), self.known, []
-        if len(known) + len(first) > REMEMBERED:
-            known.clear()
-        for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True):
-            word = raw[a:b]
-            got = known.get(word)
-            if got is None:
-                got = known[word] = self._word(word)
-            found.append(got)
+        raw = chunk.data.tobytes()
+        found = [self._word(raw[a:b]) for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
         lengths = np.array([len(x) // 4 for x in found], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         each = lengths[where]
@@ -125,6 +117,7 @@ def _tokenized(path: str, window: int, piece: int):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     rows += [(keys[i], doc_ids[i], s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for s, n in cut(len(ids), window, piece)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["row_key", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     return run
 
