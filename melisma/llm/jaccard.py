@@ -49,6 +49,12 @@ class Threshold(NamedTuple):
         """Largest symmetric difference of linked sets of these sizes."""
         return n + m - 2 * self.least_common(n, m)
 
+    def furthest(self, n):
+        """Largest symmetric difference of a set of this size and any that it links to. That of two sizes goes up and down by
+        one with their sum, never down over two steps: its maximum is at the largest partner or the one before."""
+        m = self.den * n // self.num
+        return np.maximum(self.most_apart(n, m), self.most_apart(n, np.maximum(m - 1, n)))
+
     def sizes_fit(self, n, m):
         return (self.den * np.minimum(n, m)) >= (self.num * np.maximum(n, m))
 
@@ -219,8 +225,9 @@ def _probe(t: Threshold, long_list: int):
                 keep(PAIR, (base + x[None, :]).ravel(), (base + y[None, :]).ravel())
         for s, m in zip(first[~whole].tolist(), length[~whole].tolist(), strict=True):
             own = np.arange(s, s + m)
-            # blocks by position: an entry so late that no early common shingle can stand there with any other is skipped with its block
-            own = own[place[own] + place[own].min() <= t.most_apart(size[own], size[own] * t.den // t.num + 1) + SLACK]
+            # an entry so late that no early common shingle can stand there with any other is skipped; other parts of a list may begin at 0
+            earliest = 0 if token[s] & _U(1) else place[own].min()
+            own = own[place[own] + earliest <= t.furthest(size[own]) + SLACK]
             if not len(own):
                 continue
             early = own[place[own] <= np.median(place[own])]

@@ -90,6 +90,22 @@ def test_jaccard_parts_of_hot_lists(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute_links(docs, *t)
 
 
+def test_jaccard_long_lists_lose_no_link(spark, monkeypatch):
+    t = jaccard.Threshold(3, 90, 100)
+    docs = [(i, " ".join([f"w{j}" for j in range(20)] + [f"own{i}"])) for i in range(70)]
+    rows = frame(spark, [(i, x, None, None, None) for i, x in docs])
+    run = lambda long_list: sorted(tuple(r) for r in jaccard.join(rows, t, long_list=long_list)[0].select("doc_id", "n_shingles", "component_id").collect())
+    assert run(64) == run(200) == brute_links(docs, *t) == [(i, 19, 0) for i in range(70)]
+    monkeypatch.setattr(jaccard, "LIST_ENTRIES", 8)
+    assert run(64) == [(i, 19, 0) for i in range(70)]
+
+
+def test_jaccard_furthest_is_the_maximum():
+    for t in (jaccard.Threshold(), jaccard.Threshold(3, 90, 100), jaccard.Threshold(3, 70, 100), jaccard.Threshold(3, 1, 2), jaccard.Threshold(3, 100, 100)):
+        for n in range(1, 120):
+            assert t.furthest(n) == max(t.most_apart(n, m) for m in range(1, 2 * n + 2) if t.sizes_fit(n, m))
+
+
 def test_jaccard_odd_rows(spark):
     docs = clashing(spark)
     rows = jaccard.join(docs)[0].collect()
