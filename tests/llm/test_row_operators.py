@@ -133,6 +133,27 @@ def test_license_spans_survive_edits(spark):
     assert "gpl-3.0" in rows[1]["labels"] and rows[1]["score"] == 1 and "gpl-3.0" in rows[2]["labels"] and rows[3]["labels"] == ""
 
 
+def test_license_variants_are_told_apart(spark):
+    gpl = "This work is licensed under the GNU General Public License, version "
+    free = "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    cases = {
+        gpl + "3.": "gpl,gpl-3.0", gpl + "2.": "gpl,gpl-2.0", gpl + "1.": "gpl", gpl + "number 3.": "gpl,gpl-3.0", gpl + "3. " + "words " * 9 + gpl + "2.": "gpl,gpl-2.0,gpl-3.0",
+        gpl.replace("General", "Lesser General") + "3.": "", gpl.replace("General", "Affero General") + "3.": "",
+        free: "gpl", free + ", either version 3 of the License": "gpl,gpl-3.0", free + ", either version 2 of the License": "gpl,gpl-2.0",
+        "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY-SA 4.0.": "cc-by", "Licensed under CC BY-ND 4.0.": "cc-by",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by", "Licensed under CC BY (version) 4.0.": "cc-by,cc-by-4.0", "Licensed under the Apache License, Version 2.0.": "apache,apache-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "", "Released under the MIT License.": "mit,mit-notice",
+    }
+    rows = licenses.scan(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(cases)])).collect()
+    assert {t: r["labels"] for t, r in zip(cases, sorted(rows, key=lambda r: r["doc_id"]), strict=True)} == cases
+
+
+def test_license_words_out_of_order_give_no_label(spark):
+    notices = {"x": ["a b c d e f"]}
+    rows = licenses.scan(frame(spark, [(1, "b c a b d e c d", "", "", 0), (2, "a b c d e f", "", "", 0)]), notices).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {1: "", 2: "x"}
+
+
 def test_lm_base_equals_brute_force(spark, tmp_path, sf_dir):
     docs = documents(spark, sf_dir)[:80] + [(900, None), (901, ""), (902, "one two one")]
     tokens = lambda t: (t or "").encode().translate(bytes(lm.LOWER)).split() + [None]
