@@ -140,6 +140,15 @@ def test_documents(spark, tmp_path):
     assert {r["name"] for r in rows_ if not r["problem"]} == {"manifest.json", "score/a.jpu"}
 
 
+def test_lrc_query_keeps_every_turn(spark, tmp_path):
+    from melisma.sources import documents
+
+    turns = [(c, t, f"line {t}") for c in (1, 2) for t in range(9)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in documents.lrc_query(spark, str(tmp_path)).collect())
+    assert got == sorted((c, w, t * 10 + 0.5, t * 10 + 10.5 if t < 8 else 600.0) for c, t, w in turns)
+
+
 def test_job_states(spark, tmp_path):
     ts = lambda m: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)
     for k, batch in enumerate([[(1, ts(0), "uploading"), (2, ts(0), "uploading"), (1, ts(1), "running")], [(1, ts(5), "done"), (2, ts(6), "done")], [(3, ts(200), "uploading")], [(3, ts(201), "running")]]):
