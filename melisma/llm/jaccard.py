@@ -278,8 +278,19 @@ def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verified(t), "a long, b long")
 
 
+def _met(entry: DataFrame, key: str, t: Threshold) -> DataFrame:
+    """(a, b, common, need): each two entries of a list that may link, the one of the smaller key first met by the other."""
+    x, y = entry.alias("x"), entry.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = n + m - 2 * F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den))
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES[1:]), F.bit_count(F.col("x.parity0").bitwiseXOR(F.col("y.parity0"))))
+    fits = (F.col(f"x.{key}") < F.col(f"y.{key}")) & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & (differ <= apart)
+    need = F.least(F.lit(COMMON), F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den)))
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), need.alias("need"))
+
+
 def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row_key, node, group, n_shingles, component_id) of each row of docs, and the verified links (a, b) between nodes.
+    """(doc_id, row_key, node, group, n_shingles, component_id) of each row of docs, and all verified links (a, b), a < b, between nodes.
 
     A node stands for all rows with equal shingle sets, whose answers are derived from one of them. An index lists, for every
     shingle among the first few of a set (in an order with frequent shingles last), the sets and the shingle's place in each;
@@ -289,6 +300,9 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     those that differ too much. Every candidate is verified on whole sets, and every pair of texts that links lies in one
     component, as all-pairs comparison would put it.
 
+    The links are not those that components were made of, but all: they are planned here and computed only where a caller reads
+    them, by comparing all entries of long lists too. Their number grows with the square of a group of near copies.
+
     Texts without words (null too) have 0 shingles, no node and their own id as component. Null ids take part, but a component's
     id is the smallest one that is not null. Repeated rows stay. An empty table gives no rows.
     """
@@ -331,14 +345,7 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     entry = long.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     mixed = entry.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     entry = entry.join(mixed, "token", "left_semi").join(first.select("node", *PARITIES), "node")
-    x, y = entry.alias("x"), entry.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    apart = n + m - 2 * F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den))
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES[1:]), F.bit_count(F.col("x.parity0").bitwiseXOR(F.col("y.parity0"))))
-    fits = (F.col("x.label") < F.col("y.label")) & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & (differ <= apart)
-    need = F.least(F.lit(COMMON), F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den)))
-    both = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), need.alias("need"))
-    both = written(both.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
+    both = written(_met(entry, "label", t).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
     if not both.isEmpty():
         short = found.where(F.col("kind") == PAIR).join(both.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("place").alias("short"))
         rest = both.join(short, ["a", "b"], "left").where(F.col("common") + F.coalesce("short", F.lit(0)) >= F.col("need")).select("a", "b")
@@ -351,7 +358,11 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     known = joined.join(least, "label").select("node", "label", "component")
     by_node = first.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("group"), F.coalesce("component", "first_doc").alias("component"))
     result = own.join(by_node, "node", "left").select("doc_id", "row_key", "node", "group", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return result, links
+    # all links, within components too; nothing runs before they are read
+    shared = _met(long.join(first.select("node", *PARITIES), "node"), "node", t).unionByName(found.where(F.col("kind") == PAIR).select("a", "b", F.col("place").alias("common"), F.col("n").alias("need")))
+    candidates = shared.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")).where("common >= need").select("a", "b")
+    every = rows.select("text").mapInArrow(_whole(level, t.k), "node long, keys binary").dropDuplicates(["node"])
+    return result, verify(candidates, every, t)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,6 +100,20 @@ def test_jaccard_long_lists_lose_no_link(spark, monkeypatch):
     assert run(64) == [(i, 19, 0) for i in range(70)]
 
 
+def test_jaccard_returns_all_links(spark):
+    t = jaccard.Threshold(3, 80, 100)
+    docs = families(5)
+    got, links = jaccard.join(frame(spark, [(i, x, None, None, None) for i, x in docs]), t, long_list=4)
+    node = {r["doc_id"]: r["node"] for r in got.collect()}
+    sets = {}
+    for i, x in docs:
+        w = x.lower().split()
+        if w:
+            sets[node[i]] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))}
+    want = sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert sorted(tuple(r) for r in links.collect()) == want and len(want) > len(sets)
+
+
 def test_jaccard_furthest_is_the_maximum():
     for t in (jaccard.Threshold(), jaccard.Threshold(3, 90, 100), jaccard.Threshold(3, 70, 100), jaccard.Threshold(3, 1, 2), jaccard.Threshold(3, 100, 100)):
         for n in range(1, 120):
