@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; where the session names none, one of our own in local mode (tests), else an error."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="melisma-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,5 +48,10 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns, which orders rows that share a key: only equal rows can't be told apart."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,10 +8,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import row_key, table, whole_row, written
 from .components import components
 from .vectors import LOWER, Chunk, chunks, give_back, mix, shingles, word_hashes, words
 
@@ -28,6 +28,10 @@ BROADCAST_IDS = 500_000
 COMMON = 6
 #: At the first COMMON shingles that two sets share, their places add up to their symmetric difference and this at most.
 SLACK = 2 * (COMMON - 1)
+#: Times at most that long lists take another leader, while this joins components, before all sets of different ones are compared.
+LEADER_ROUNDS = 3
+#: A node with more than this share of all rows is looked up in a broadcast table; there are fewer of them than its inverse.
+HOT_SHARE = 1e-3
 
 
 class Threshold(NamedTuple):
@@ -230,8 +234,8 @@ def _probe(t: Threshold, long_list: int):
             own = own[place[own] + earliest <= t.furthest(size[own]) + SLACK]
             if not len(own):
                 continue
-            early = own[place[own] <= np.median(place[own])]
-            leader = early[np.argmin(node[early])]
+            # rare shingles come first, so the earliest entry belongs to the set with the fewest of its own: the one most like the others
+            leader = own[np.lexsort((node[own], place[own]))[0]]
             keep(LED, np.full(len(own) - 1, leader), own[own != leader])
             name = (token[own] >> _U(1)).astype(np.int64)
             found.append([np.full(len(own), ENTRY), name, node[own], np.zeros(len(own), np.int64), size[own], place[own]])
@@ -278,15 +282,15 @@ def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "a_keys", "b_keys").mapInArrow(_verified(t), "a long, b long")
 
 
-def _met(entry: DataFrame, key: str, t: Threshold) -> DataFrame:
-    """(a, b, common, need): each two entries of a list that may link, the one of the smaller key first met by the other."""
-    x, y = entry.alias("x"), entry.alias("y")
+def _met(x: DataFrame, y: DataFrame, told_apart: Column, t: Threshold) -> DataFrame:
+    """(a, b, common, need): each two entries x and y of a list that are told apart and may link, once for each list."""
+    x, y = x.alias("x"), y.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
-    apart = n + m - 2 * F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den))
+    least = F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den))
+    apart = n + m - 2 * least
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES[1:]), F.bit_count(F.col("x.parity0").bitwiseXOR(F.col("y.parity0"))))
-    fits = (F.col(f"x.{key}") < F.col(f"y.{key}")) & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & (differ <= apart)
-    need = F.least(F.lit(COMMON), F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den)))
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), need.alias("need"))
+    fits = told_apart & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & (differ <= apart)
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), F.least(F.lit(COMMON), least).alias("need"))
 
 
 def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
@@ -295,9 +299,10 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     A node stands for all rows with equal shingle sets, whose answers are derived from one of them. An index lists, for every
     shingle among the first few of a set (in an order with frequent shingles last), the sets and the shingle's place in each;
     lists are cut to shards, and pairs whose sizes or places rule a link out, or that share too few entries, are skipped. In a
-    long list all sets are compared with one leader first. What lies in one component by then needs no further comparison: of
-    the rest, only pairs of different components are candidates, and parity words that each set carries along rule out most of
-    those that differ too much. Every candidate is verified on whole sets, and every pair of texts that links lies in one
+    long list all sets are compared with one leader first, the one with the fewest rare shingles of its own, then with others for
+    as long as that joins components. What lies in one component by then needs no further comparison: of the rest, only pairs of
+    different components are candidates, and parity words that each set carries along rule out most of those that differ too
+    much. Every candidate is verified on whole sets, and every pair of texts that links lies in one
     component, as all-pairs comparison would put it.
 
     The links are not those that components were made of, but all: they are planned here and computed only where a caller reads
@@ -311,7 +316,7 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     counts = sketch(rows, t.k)
     level = levels(counts)
     own = written(rows.select("doc_id", "row_key", "text").mapInArrow(_named(level, t.k), "doc_id long, row_key long, node long, n long, " + ", ".join(f"{c} long" for c in PARITIES)), "jaccard-nodes")
-    first = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", *PARITIES)]), "jaccard-sets")
+    first = written(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *PARITIES)]), "jaccard-sets")
 
     entries = first.agg(F.sum(F.col("n") - F.ceil(F.lit(t.num) * F.col("n") / F.lit(t.den)) + COMMON)).first()[0] or 0
     shards = max(64, -(-int(entries) // SHARD_ENTRIES))
@@ -323,7 +328,7 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     found = written(index.groupBy("shard").applyInArrow(_probe(t, long_list), _FOUND), "jaccard-candidates")
 
     leaders = found.where(F.col("kind") == LEADER)
-    chief = leaders.groupBy("token").agg(F.min("a").alias("chief"))
+    chief = leaders.groupBy("token").agg(F.min(F.struct("place", "a")).alias("chief")).select("token", F.col("chief.a").alias("chief"))
     across = leaders.join(chief, "token").where(F.col("a") != F.col("chief")).select(F.least("a", "chief").alias("a"), F.greatest("a", "chief").alias("b"))
     # in how many lists a pair stands together; of long lists, with a leader only
     alike = found.where(F.col("kind").isin(PAIR, LED)).groupBy("a", "b").agg(F.sum("place").alias("common"), F.max("n").alias("need")).where("common >= need").select("a", "b")
@@ -341,11 +346,26 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     links = verified(pairs, "jaccard-links")
 
     joined = components(links)
-    # of long lists, pairs of different components are left
-    entry = long.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-    mixed = entry.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    entry = entry.join(mixed, "token", "left_semi").join(first.select("node", *PARITIES), "node")
-    both = written(_met(entry, "label", t).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
+
+    def left() -> DataFrame:
+        """Entries of the long lists that hold sets of different components, as of now."""
+        entry = long.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+        mixed = entry.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+        return written(entry.join(mixed, "token", "left_semi").join(first.select("node", *PARITIES), "node"), "jaccard-left")
+
+    entry = left()
+    for turn in range(LEADER_ROUNDS):
+        # another leader of each list, the same in all lists that it is in where it can be
+        head = entry.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[c for c in entry.columns if c != "token"])).alias("head")).select("token", "head.*")
+        told_apart = F.col("x.label") != F.col("y.label")
+        more = written(_met(head, entry, told_apart, t).select("a", "b").distinct(), "jaccard-led")
+        if more.isEmpty() or (fresh := verified(more, "jaccard-more")).isEmpty():
+            break
+        links = links.unionByName(fresh)
+        joined = components(links)
+        entry = left()
+    # sets of different components are left
+    both = written(_met(entry, entry, F.col("x.label") < F.col("y.label"), t).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
     if not both.isEmpty():
         short = found.where(F.col("kind") == PAIR).join(both.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("place").alias("short"))
         rest = both.join(short, ["a", "b"], "left").where(F.col("common") + F.coalesce("short", F.lit(0)) >= F.col("need")).select("a", "b")
@@ -356,10 +376,17 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
 
     least = joined.join(first, "node").groupBy("label").agg(F.min("first_doc").alias("component"))
     known = joined.join(least, "label").select("node", "label", "component")
-    by_node = first.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("group"), F.coalesce("component", "first_doc").alias("component"))
-    result = own.join(by_node, "node", "left").select("doc_id", "row_key", "node", "group", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_node = written(first.join(known, "node", "left").select("node", "copies", F.coalesce("label", "node").alias("group"), F.coalesce("component", "first_doc").alias("component_id")), "jaccard-groups")
+    # a node that holds many rows meets them where they are read; fewer than 1 / HOT_SHARE nodes can
+    many = F.col("copies") > F.lit(HOT_SHARE) * own.count()
+    hot = F.broadcast(by_node.where(many).drop("copies"))
+    texts = own.where("n > 0").select("doc_id", "row_key", "node", F.col("n").alias("n_shingles"))
+    columns = ("doc_id", "row_key", "node", "group", "n_shingles", "component_id")
+    empty = own.where("n = 0").select("doc_id", "row_key", "node", F.lit(None).cast("long").alias("group"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    result = texts.join(hot, "node").select(*columns).unionByName(texts.join(hot, "node", "left_anti").join(by_node.where(~many).drop("copies"), "node").select(*columns)).unionByName(empty)
     # all links, within components too; nothing runs before they are read
-    shared = _met(long.join(first.select("node", *PARITIES), "node"), "node", t).unionByName(found.where(F.col("kind") == PAIR).select("a", "b", F.col("place").alias("common"), F.col("n").alias("need")))
+    whole = long.join(first.select("node", *PARITIES), "node")
+    shared = _met(whole, whole, F.col("x.node") < F.col("y.node"), t).unionByName(found.where(F.col("kind") == PAIR).select("a", "b", F.col("place").alias("common"), F.col("n").alias("need")))
     candidates = shared.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")).where("common >= need").select("a", "b")
     every = rows.select("text").mapInArrow(_whole(level, t.k), "node long, keys binary").dropDuplicates(["node"])
     return result, verify(candidates, every, t)
@@ -367,13 +394,13 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) stays: that of the smallest id, of
-    equal ids that of the smallest hash of the row. Rows without words are in no group and stay."""
+    equal ids that of the smallest hash of id and text, of equal texts too that of the smallest hash of all columns. Rows without words are in no group and stay."""
     found, _ = join(docs, Threshold())
     keep = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("kept")).select(F.col("kept.row_key").alias("_kept")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     matched = keyed.join(keep, F.col("_key") == F.col("_kept"), "left")
-    # equal rows are one document
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) == 1
+    # rows of one id and text are one document
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(whole_row(docs))) == 1
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return matched.withColumn("_first", first).where(empty | (F.col("_kept").isNotNull() & F.col("_first"))).select(*docs.columns)
 
