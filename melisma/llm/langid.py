@@ -23,6 +23,8 @@ BATCH_BYTES = 1 << 18
 BITS = 1 << 13
 #: Labelled texts learned from, for each language: the first by a hash of the id. This bounds what the driver holds.
 SAMPLE_ROWS = 300
+#: Languages whose shares, and whose sampled ids, are sent to all executors at most.
+MOST_BROADCAST = 1000
 #: Landmarks for each language, out of the sample.
 LANDMARKS = 24
 RIDGE = 1e-2
@@ -106,9 +108,11 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
     keys = Window.partitionBy("lang").orderBy(place, "doc_id")
     share = labelled.groupBy("lang").agg((F.lit(4.0 * rows) / F.count(F.lit(1))).alias("_share"))
-    near = labelled.select("lang", "doc_id").join(share, "lang").where(place / F.lit(float(1 << 40)) <= F.col("_share"))
+    # one row a language: broadcast where they are few, so that the ids are thinned where they are read
+    few = share.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    near = labelled.select("lang", "doc_id").join(F.broadcast(share) if few else share, "lang").where(place / F.lit(float(1 << 40)) <= F.col("_share"))
     ids = near.withColumn("_r", F.row_number().over(keys)).where(F.col("_r") <= rows).select("lang", "doc_id").distinct()
-    own = labelled.join(F.broadcast(ids) if rows <= 10_000 else ids, ["lang", "doc_id"], "left_semi")
+    own = labelled.join(F.broadcast(ids) if few and rows <= 10_000 else ids, ["lang", "doc_id"], "left_semi")
     return own.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= rows).select("doc_id", "lang", "text")
 
 
@@ -142,7 +146,7 @@ def _predictor(model: Model):
             letters = batch["letters"].to_pylist()
             names, scores = judge(model, batch["text"])
             names = [n if has else UND for n, has in zip(names, letters, strict=True)]
-            scores = [s if n != UND else 0.0 for n, s in zip(names, scores, strict=True)]
+            scores = [s if has else 0.0 for has, s in zip(letters, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
         give_back()
 
