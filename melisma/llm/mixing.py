@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, whole_row, written
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -132,7 +132,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     picked = mix(sized(docs)).groupBy(F.col("row_key").alias("_match")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     joined = own.join(picked, own["_key"] == picked["_match"])
     # rows that share a key share its copies: each gets the whole part, the first ones one more
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", whole_row(docs)))
     joined = joined.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(1))
     times = F.expr("_copies div _rows") + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
     return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
