@@ -19,7 +19,7 @@ SAMPLES = 64
 #: Texts sampled together, in bytes: words that they share are drawn once.
 BATCH_BYTES = 3 << 20
 #: Neighbouring documents dealt to one unit, and units at most.
-UNIT_ROWS, MOST_UNITS = 512, 20_000
+UNIT_ROWS, MOST_UNITS = 512, 200_000
 
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
@@ -70,14 +70,19 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(w.first))
     keys = np.sort((doc << _U(48)) | (hashes >> _U(16)))
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    counts = np.minimum(np.diff(np.concatenate((first, [len(keys)]))), 65_535).astype(np.uint64)
+    counts = np.diff(np.concatenate((first, [len(keys)]))).astype(np.uint64)
     keys = keys[first]
-    weighted, where = np.unique((keys & _LOW48) | (counts << _U(48)), return_inverse=True)
+    # a term and its count fit one number, by which texts share draws; terms of larger counts are drawn by themselves
+    large = counts > _U(0xFFFF)
+    terms, shared = keys & _LOW48, np.flatnonzero(~large)
+    weighted, found = np.unique(terms[shared] | (counts[shared] << _U(48)), return_inverse=True)
+    where = np.empty(len(keys), dtype=np.int64)
+    where[shared], where[large] = found, len(weighted) + np.arange(np.count_nonzero(large))
+    terms, weights = np.concatenate((weighted & _LOW48, terms[large])), np.concatenate((weighted >> _U(48), counts[large])).astype(np.int64)
     starts = np.searchsorted(keys >> _U(48), np.arange(len(texts) + 1, dtype=np.uint64))
-    drawn = np.empty((len(weighted), SAMPLES), dtype=np.uint64)
-    for a in range(0, len(weighted), 2048):
-        part = weighted[a : a + 2048]
-        drawn[a : a + 2048] = _draws(part & _LOW48, (part >> _U(48)).astype(np.int64))
+    drawn = np.empty((len(terms), SAMPLES), dtype=np.uint64)
+    for a in range(0, len(terms), 2048):
+        drawn[a : a + 2048] = _draws(terms[a : a + 2048], weights[a : a + 2048])
     for d in np.flatnonzero(starts[1:] > starts[:-1]):
         least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
         for a in range(int(starts[d]), int(starts[d + 1]), 4096):

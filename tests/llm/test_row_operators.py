@@ -230,3 +230,10 @@ def test_fingerprint_odd_rows(spark):
 def test_queries_read_whole_tables(spark, tmp_path):
     folder = saved(spark, tmp_path)
     assert sharding.op2_sharding(spark, folder).count() == 12 and licenses.op4_license_scan(spark, folder).count() == 12
+
+
+def test_fingerprint_counts_have_no_cap(spark):
+    """Over 65,535 copies of a word count as many as they are: likeness nears the ratio of the counts."""
+    sigs = fingerprints.signatures([b"a " * 70_000, b"a " * 200_000, b"a " * 70_000 + b"b"])
+    assert abs(fingerprints.likeness(sigs[0], sigs[1]) - 0.35) < 0.2
+    assert fingerprints.likeness(sigs[0], sigs[2]) > 0.9
