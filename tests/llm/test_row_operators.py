@@ -172,10 +172,10 @@ def test_lm_base_equals_brute_force(spark, tmp_path, sf_dir):
 def test_lm_probabilities_of_all_next_bytes_sum_to_one():
     texts = ["the cat sat on the mat", "the dog sat on the log"] * 20
     code = lm.code_of(texts)
-    counter = lm.Counter()
+    counter = lm.Counter(code)
     for chunk in chunks(pa.array(texts)):
         counter.add(lm.stream(chunk))
-    tables = [lm.stretched(c) for c in counter.tables(code)]
+    tables = [lm.stretched(c) for c in counter.tables()]
     model = lm.Model(code, tables, lm.fit_weights(texts[:4], code, tables))
     stream = lm.stream(next(chunks(pa.array(["the c"]))))
     total, best = 0.0, None
