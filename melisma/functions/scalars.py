@@ -23,21 +23,11 @@ clock_label = operator("clock_label", "note_events", """
 SELECT event_id, concat(lpad(CAST(CAST(floor(t / 60) AS BIGINT) AS VARCHAR(12)), 2, '0'), ':', lpad(CAST(CAST(floor(t) AS BIGINT) % 60 AS VARCHAR(4)), 2, '0')) AS clock
 FROM (SELECT event_id, start_s - min(start_s) OVER (PARTITION BY song_id) AS t FROM {note_events}) AS e
 """, "SC6: mm:ss since the song's first event")
-capo = operator("recommended_capo", "note_events", """
-WITH keys AS (SELECT song_id, ((min(midi) % 12) + 12) % 12 AS pc FROM {note_events} GROUP BY song_id),
-o AS (SELECT k.song_id, s.shape, c.capo, row_number() OVER (PARTITION BY k.song_id ORDER BY c.capo, s.shape) AS r
-  FROM keys AS k CROSS JOIN (VALUES ('C', 0), ('G', 7)) AS s(shape, shape_pc) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS c(capo)
-  WHERE (s.shape_pc + c.capo) % 12 = k.pc)
-SELECT song_id, shape, capo FROM o WHERE r = 1
-""", "SC9: the lowest fret at which a C or G shape sounds in key")
 envelope = operator("peak_envelope", "note_events", """
 SELECT song_id, bucket, min(pitch_center) AS low, max(pitch_center) AS high, count(*) AS n
 FROM (SELECT song_id, pitch_center, CAST(floor((row_number() OVER (PARTITION BY song_id ORDER BY start_s, event_id) - 1) / 64) AS BIGINT) AS bucket FROM {note_events}) AS e
 GROUP BY song_id, bucket
 """, "SC19: least and largest value of every 64 samples")
-line_clean = operator("clean_lines", "lines", """
-SELECT conv_id, turn, [[replace_all:lower(text)|'[^a-z0-9]+'|'']] AS cleaned FROM {lines} WHERE lower(text) NOT LIKE '%http%' AND text IS NOT NULL
-""", "SC13: lines without addresses, letters and digits alone")
 line_words = operator("line_word_counts", "lines", """
 SELECT conv_id, turn, CAST([[length_of:[[words:text]]]] AS BIGINT) AS n_words FROM {lines} WHERE text IS NOT NULL AND trim(text) <> ''
 """.replace("[[length_of:[[words:text]]]]", "[[word_count:text]]"), "SC11: words of a line")

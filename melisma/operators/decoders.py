@@ -330,7 +330,9 @@ def tempo(onsets: DataFrame, frame_s: float) -> DataFrame:
         x = x - x.mean()
         spectrum = np.fft.rfft(x, 2 * len(x))
         same = np.fft.irfft(spectrum * np.conj(spectrum))[: len(x)]
-        lags = np.arange(1, max(2, len(x) // 2))
+        lags = np.arange(1, len(x) // 2)
+        if not len(lags):
+            return pd.DataFrame({"song_id": [key[0]], "bpm": [None]}).astype({"bpm": "float64"})
         bpm = 60 / (lags * frame_s)
         score = same[lags] * np.exp(-0.5 * (np.log2(bpm / 120)) ** 2)
         return pd.DataFrame({"song_id": [key[0]], "bpm": [round(float(bpm[score.argmax()]), 4)]})
@@ -457,10 +459,10 @@ def fingerings(spark: SparkSession) -> DataFrame:
 
 
 def _onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Onsets of each song on a grid of an hour: a synthetic exercise."""
+    """Onsets of each song in sixteenths of 120 beats a minute, and on frames as long."""
     e = adapters.view(spark, sf_dir, "note_events")
     first = e.groupBy("song_id").agg(F.min("start_s").alias("first"))
-    return e.join(first, "song_id").select("song_id", "event_id", "midi", "pitch_center", "confidence", F.floor((F.col("start_s") - F.col("first")) / 3600).cast("long").alias("frame"), ((F.col("start_s") - F.col("first")) / 3600).alias("unit"), F.col("confidence").alias("strength"))
+    return e.join(first, "song_id").select("song_id", "event_id", "midi", "pitch_center", "confidence", F.floor((F.col("start_s") - F.col("first")) / 0.125).cast("long").alias("frame"), ((F.col("start_s") - F.col("first")) / 0.125).alias("unit"), F.col("confidence").alias("strength"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +502,7 @@ QUERIES = {
     "event_segmentation": lambda s, d: segment_events(_frames(s, d), 0.016),
     "spaced_cuts": lambda s, d: spaced_cuts(_onsets(s, d).select("song_id", F.col("unit").alias("at")), 6.0),
     "row_packing": lambda s, d: pack_rows(adapters.view(s, d, "notes").groupBy("score_id", "m_idx").agg((F.count(F.lit(1)) * 90.0).alias("width"), (F.col("m_idx") % 8 == 0).alias("break_before"))),
-    "tempo_autocorrelation": lambda s, d: tempo(_onsets(s, d), 0.5),
+    "tempo_autocorrelation": lambda s, d: tempo(_onsets(s, d), 0.125),
     "core_groups": lambda s, d: group_cores(_onsets(s, d).select("song_id", F.col("event_id").alias("place"), F.col("pitch_center").alias("center"), F.col("confidence").alias("length"))),
     "guitar_fingerings": lambda s, d: fingerings(s),
     "hann_spectrum": lambda s, d: spectrum(_onsets(s, d).select("song_id", F.expr("row_number() OVER (PARTITION BY song_id ORDER BY unit, event_id)").alias("place"), F.col("pitch_center").alias("x"))),

@@ -19,23 +19,19 @@ SELECT measure_id, half, note_id, CAST(midi AS BIGINT) AS midi FROM r WHERE last
 """, "J4: notes whose onset lies in a window, the last of each pitch")
 nearest = operator("nearest_certain_event", "note_events", """
 WITH q AS (SELECT song_id, event_id, start_s FROM {note_events} WHERE uncertain), c AS (SELECT song_id, event_id, start_s FROM {note_events} WHERE NOT uncertain),
-m AS (SELECT q.song_id, q.event_id, c.event_id AS near_id, round(abs(c.start_s - q.start_s), 6) AS gap FROM q JOIN c ON c.song_id = q.song_id AND c.start_s BETWEEN q.start_s - 36e3 AND q.start_s + 36e3),
+m AS (SELECT q.song_id, q.event_id, c.event_id AS near_id, round(abs(c.start_s - q.start_s), 6) AS gap FROM q JOIN c ON c.song_id = q.song_id AND c.start_s BETWEEN q.start_s - 12e-1 AND q.start_s + 12e-1),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id, event_id ORDER BY gap, near_id) AS rank FROM m)
 SELECT song_id, event_id, near_id, gap FROM r WHERE rank = 1
-""", "J6: nearest event within a bound, the earliest on a tie")
+""", "J6: nearest event within 1.2 s, the earliest on a tie")
 as_of = operator("as_of_previous", "note_events", """
 WITH s AS (SELECT *, sum(CASE WHEN uncertain THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS seen FROM {note_events}),
 t AS (SELECT song_id, seen, event_id AS at_id, start_s AS at_s FROM s WHERE NOT uncertain)
 SELECT s.song_id, s.event_id, t.at_id, round(s.start_s - t.at_s, 6) AS since FROM s LEFT JOIN t ON t.song_id = s.song_id AND t.seen = s.seen WHERE s.uncertain
 """, "J9: the latest certain event at or before each uncertain one, by a running count instead of a search")
-uncovered = operator("uncovered_events", "note_events", """
-WITH r AS (SELECT song_id, start_s AS a, start_s + 18e2 AS b FROM {note_events} WHERE NOT uncertain)
-SELECT e.song_id, e.event_id FROM {note_events} AS e WHERE e.uncertain AND NOT EXISTS (SELECT 1 FROM r WHERE r.song_id = e.song_id AND (e.start_s + e.end_s) / 2 >= r.a AND (e.start_s + e.end_s) / 2 < r.b)
-""", "J10: events whose middle lies in no range")
 manual_over = operator("manual_over_automatic", "note_events", """
 WITH m AS (SELECT * FROM {note_events} WHERE event_id % 10 = 0), a AS (SELECT * FROM {note_events} WHERE event_id % 10 <> 0)
 SELECT song_id, event_id, 'manual' AS origin FROM m UNION ALL
-SELECT a.song_id, a.event_id, 'automatic' AS origin FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.song_id = a.song_id AND m.start_s < a.end_s + 6e2 AND m.end_s + 6e2 > a.start_s)
+SELECT a.song_id, a.event_id, 'automatic' AS origin FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.song_id = a.song_id AND m.start_s < a.end_s AND m.end_s > a.start_s)
 """, "J11, U1: automatic events stay where no manual one overlaps")
 mixed_stems = operator("mixed_stems", "note_events", """
 WITH n AS (SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id, event_id % 2 ORDER BY start_s, event_id) AS BIGINT) AS i, event_id % 2 AS stem, pitch_center AS x FROM {note_events}),
@@ -56,12 +52,11 @@ WITH c AS (SELECT song_id, event_id, midi, lag(midi) OVER w AS before, lead(midi
 SELECT song_id, before, midi, after, count(*) AS times FROM c WHERE before IS NOT NULL AND after IS NOT NULL GROUP BY song_id, before, midi, after HAVING count(*) >= 2
 """, "J15: a pitch between the same neighbours again")
 recovery = operator("retained_recoveries", "note_events", """
-WITH n AS (SELECT song_id, event_id, start_s, end_s + 36e2 AS end_s, uncertain FROM {note_events}), p AS (SELECT song_id, start_s AS a, end_s AS b FROM n WHERE NOT uncertain),
+WITH n AS (SELECT song_id, event_id, start_s, end_s, uncertain FROM {note_events}), p AS (SELECT song_id, start_s AS a, end_s AS b FROM n WHERE NOT uncertain),
 x AS (SELECT e.song_id, e.event_id, max(coalesce((least(e.end_s, p.b) - greatest(e.start_s, p.a)) / (e.end_s - e.start_s), 0e0)) AS covered FROM n AS e LEFT JOIN p ON p.song_id = e.song_id AND p.a < e.end_s AND p.b > e.start_s WHERE e.uncertain GROUP BY e.song_id, e.event_id)
 SELECT song_id, event_id, round(covered, 6) AS covered FROM x WHERE covered <= 5e-1
 """, "J16")
-ties = operator("tie_targets", "notes", f"""
-WITH n AS (SELECT note_id, score_id, degree, octave, accidental, lead(note_id) OVER w AS next_id, lead(degree) OVER w AS d2, lead(octave) OVER w AS o2, lead(accidental) OVER w AS a2 FROM {{notes}} WINDOW w AS (PARTITION BY score_id ORDER BY m_idx, n_idx)),
-t AS (SELECT next_id FROM n WHERE degree > 0 AND degree = d2 AND octave = o2 AND accidental = a2)
-SELECT n.note_id FROM n LEFT JOIN t ON t.next_id = n.note_id WHERE t.next_id IS NULL
+ties = operator("tie_targets", "notes", """
+WITH n AS (SELECT note_id, lag(tie) OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS held FROM {notes})
+SELECT note_id FROM n WHERE NOT coalesce(held, FALSE)
 """, "J2: notes that no tie leads to")

@@ -56,13 +56,9 @@ WITH a AS (SELECT measure_id, n_idx % 2 AS reading, abs(sum({TICKS}) - 32) AS of
 SELECT measure_id, reading, round(off, 6) AS off FROM r WHERE rank = 1
 """, "U5: of two readings the one closer to the expected beats")
 best_of = operator("best_of_slot", "note_events", """
-WITH s AS (SELECT song_id, event_id, CAST(floor(start_s / 36e2) AS BIGINT) AS slot, CASE WHEN uncertain THEN 0 ELSE 1 END AS priority, round((end_s - start_s) * confidence, 6) AS weight FROM {note_events}), r AS (SELECT *, row_number() OVER (PARTITION BY song_id, slot ORDER BY priority DESC, weight DESC, event_id) AS rank FROM s)
+WITH s AS (SELECT song_id, event_id, CAST(floor(start_s / 1e0) AS BIGINT) AS slot, CASE WHEN uncertain THEN 0 ELSE 1 END AS priority, round((end_s - start_s) * confidence, 6) AS weight FROM {note_events}), r AS (SELECT *, row_number() OVER (PARTITION BY song_id, slot ORDER BY priority DESC, weight DESC, event_id) AS rank FROM s)
 SELECT song_id, slot, event_id, priority, weight FROM r WHERE rank = 1
 """, "K6")
-alternatives = operator("close_alternatives", "note_events", """
-WITH c AS (SELECT song_id, midi % 12 AS label, round(sum(confidence), 6) AS score FROM {note_events} GROUP BY 1, 2), r AS (SELECT *, max(score) OVER (PARTITION BY song_id) AS top, row_number() OVER (PARTITION BY song_id ORDER BY score DESC, label) AS rank FROM c)
-SELECT song_id, label, score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank BETWEEN 2 AND 3 AND score >= top * 5e-1
-""", "K2: runners-up within a margin of the best")
 renumbered = operator("deleted_and_renumbered", "notes", "SELECT measure_id, note_id, CAST(row_number() OVER (PARTITION BY measure_id ORDER BY n_idx) AS BIGINT) AS n_idx FROM {notes} WHERE note_id % 7 <> 0", "ED1, ED2")
 relabelled = operator("relabelled_notes", "notes", f"""
 WITH m AS (SELECT note_id, ({MIDI}) - 62 AS distance FROM {{notes}} WHERE degree > 0)
@@ -77,14 +73,20 @@ WITH old AS (SELECT event_id, midi FROM {note_events} WHERE event_id % 11 <> 0),
 SELECT coalesce(o.event_id, n.event_id) AS event_id, CASE WHEN n.event_id IS NULL THEN 'deleted' WHEN o.event_id IS NULL THEN 'added' ELSE 'changed' END AS edit FROM old AS o FULL OUTER JOIN now AS n ON o.event_id = n.event_id WHERE n.event_id IS NULL OR o.event_id IS NULL OR o.midi <> n.midi
 """, "X29, X36, X37: what an edit deleted, added and changed")
 chord_windows = operator("chord_windows", "note_events", """
-WITH m AS (SELECT song_id, CAST(floor(start_s / 864e2) AS BIGINT) AS measure, min(start_s) AS a, max(end_s) AS b FROM {note_events} GROUP BY 1, 2)
+WITH m AS (SELECT song_id, CAST(floor(start_s / 2e0) AS BIGINT) AS measure, min(start_s) AS a, max(end_s) AS b FROM {note_events} GROUP BY 1, 2)
 SELECT m.song_id, m.measure, h.half, round(m.a + (m.b - m.a) * 5e-1 * h.half, 3) AS window_from, round(m.a + (m.b - m.a) * 5e-1 * (h.half + 1), 3) AS window_to FROM m CROSS JOIN (VALUES (0), (1)) AS h(half) WHERE m.b > m.a
 """, "X4")
-decomposed = operator("duration_parts", "notes", """
-WITH u AS (SELECT note_id, CAST(l AS BIGINT) AS units FROM (SELECT note_id, 1 + (note_id % 16) AS l FROM {notes}) AS x),
-p AS (SELECT note_id, units, CASE WHEN units >= 16 THEN 16 WHEN units >= 12 THEN 12 WHEN units >= 8 THEN 8 WHEN units >= 6 THEN 6 WHEN units >= 4 THEN 4 WHEN units >= 3 THEN 3 WHEN units >= 2 THEN 2 ELSE 1 END AS first_part FROM u)
-SELECT note_id, units, first_part, units - first_part AS remaining FROM p
-""", "X33: the longest spellable value first")
+#: Spellable lengths in sixteenths, longest first.
+LONGEST = "CASE WHEN {x} >= 16 THEN 16 WHEN {x} >= 12 THEN 12 WHEN {x} >= 8 THEN 8 WHEN {x} >= 6 THEN 6 WHEN {x} >= 4 THEN 4 WHEN {x} >= 3 THEN 3 WHEN {x} >= 2 THEN 2 ELSE {x} END"
+decomposed = operator("duration_parts", "note_events", f"""
+WITH u AS (SELECT song_id, event_id, CAST(floor(start_s / 125e-3 + 5e-1) AS BIGINT) AS placed, CAST(greatest(1, floor((end_s - start_s) * 4 / 125e-3 + 5e-1)) AS BIGINT) AS units FROM {{note_events}}),
+b AS (SELECT *, least(units, 16 - placed % 16) AS head FROM u), k AS (SELECT *, ceil((units - head) / 16e0) + 1 AS bars FROM b),
+s AS (SELECT song_id, event_id, CAST(i AS BIGINT) AS bar, CAST(CASE WHEN i = 0 THEN head ELSE least(16, units - head - 16 * (i - 1)) END AS BIGINT) AS len FROM k [[each_below:bars|i]]),
+p AS (SELECT song_id, event_id, bar, 0 AS part, CAST({LONGEST.replace("{x}", "len")} AS BIGINT) AS amount, len FROM s),
+q AS (SELECT song_id, event_id, bar, part, amount FROM p UNION ALL SELECT song_id, event_id, bar, 1, len - amount FROM p WHERE len > amount)
+SELECT song_id, event_id, bar, part, amount FROM q
+""", "X33: a length in sixteenths split at bars, each part by the longest spellable value first; what it leaves of a bar is spellable")
 provenance = operator("provenance_links", "note_events", """
-SELECT a.event_id, b.event_id AS linked FROM {note_events} AS a JOIN {note_events} AS b ON a.song_id = b.song_id AND a.event_id < b.event_id AND b.start_s BETWEEN a.start_s - 6e1 AND a.start_s + 6e1
-""", "X39: a narrow range join")
+WITH b AS (SELECT song_id, event_id, start_s, CAST(floor(start_s / 1e-2) AS BIGINT) AS slot FROM {note_events}), n AS (SELECT song_id, event_id, start_s, slot + d.i AS slot FROM b CROSS JOIN (VALUES (-1), (0), (1)) AS d(i))
+SELECT b.event_id, n.event_id AS linked FROM b JOIN n ON n.song_id = b.song_id AND n.slot = b.slot AND b.event_id < n.event_id AND abs(n.start_s - b.start_s) < 3e-3
+""", "X39: starts less than 3 ms apart, by slots of 10 ms and their neighbours")

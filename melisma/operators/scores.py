@@ -1,35 +1,18 @@
 """Composites over scores, chords and lyrics: timelines, remapping, edits, evidence shares."""
 
-from ..functions.fixed import KEY_NAMES, rows
 from ..functions.scalars import MIDI, TICKS
 from ..plans.sqlop import operator
 from .joins import PLACED
 
-NAMES = rows(KEY_NAMES, "k", "pc", "name")
-#: Chord labels of measures: root, suffix and slash bass of synthetic labels.
-LABELS = f"""l AS (SELECT m.measure_id, m.score_id, concat(k.name, CASE m.kind WHEN 0 THEN '' WHEN 1 THEN 'm' WHEN 2 THEN '7' WHEN 3 THEN 'maj7' ELSE 'm7' END) AS label
-  FROM (SELECT measure_id, score_id, min(degree + 12 * dots) % 12 AS pc, count(*) % 5 AS kind FROM {{notes}} GROUP BY measure_id, score_id) AS m JOIN {NAMES} ON k.pc = m.pc)"""
-PARSED = f"""{LABELS}, p AS (SELECT l.measure_id, l.score_id, l.label, k.pc AS root, [[replace_all:l.label|'^[A-G]b?'|'']] AS suffix FROM l JOIN {NAMES} ON k.name = [[find:l.label|'^([A-G]b?)'|1]])"""
-
-chord_parse = operator("chord_labels", "notes", f"""
-WITH {PARSED}
-SELECT measure_id, label, CAST(root AS BIGINT) AS root, suffix, CASE suffix WHEN '' THEN 3 WHEN 'm' THEN 3 ELSE 4 END AS notes, suffix IN ('7', 'maj7', 'm7') AS seventh FROM p
-""", "SC7, AG29: root, suffix and size of a chord label")
-chord_transpose = operator("transposed_chords", "notes", f"""
-WITH {PARSED} SELECT p.measure_id, concat(k.name, p.suffix) AS transposed FROM p JOIN {NAMES} ON k.pc = (p.root + 5) % 12
-""", "SC8, X32")
-diatonic = operator("diatonic_chords", "notes", f"""
-WITH {PARSED} SELECT score_id, count(*) AS chords, round(avg(CASE WHEN root IN (0, 2, 4, 5, 7, 9, 11) THEN 1e0 ELSE 0e0 END), 6) AS diatonic, round(avg(CASE WHEN suffix IN ('7', 'maj7', 'm7') THEN 1e0 ELSE 0e0 END), 6) AS sevenths FROM p GROUP BY score_id
-""", "AG29: shares of diatonic and of seventh chords")
 chord_remap = operator("remapped_chords", "note_events", """
-WITH c AS (SELECT song_id, CAST(floor(start_s / 864e2) AS BIGINT) AS bar, min(midi) % 12 AS label FROM {note_events} GROUP BY 1, 2),
-w AS (SELECT DISTINCT song_id, CAST(floor(start_s / 6e4) AS BIGINT) AS bar FROM {note_events}),
-s AS (SELECT w.song_id, w.bar, h.half, (w.bar + (h.half + 5e-1) / 2) * 6e4 AS middle FROM w CROSS JOIN (VALUES (0), (1)) AS h(half))
-SELECT s.song_id, s.bar, s.half, c.label FROM s JOIN c ON c.song_id = s.song_id AND c.bar = CAST(floor(s.middle / 864e2) AS BIGINT)
+WITH c AS (SELECT song_id, CAST(floor(start_s / 2e0) AS BIGINT) AS bar, min(midi) % 12 AS label FROM {note_events} GROUP BY 1, 2),
+w AS (SELECT DISTINCT song_id, CAST(floor(start_s / 3e0) AS BIGINT) AS bar FROM {note_events}),
+s AS (SELECT w.song_id, w.bar, h.half, (w.bar + (h.half + 5e-1) / 2) * 3e0 AS middle FROM w CROSS JOIN (VALUES (0), (1)) AS h(half))
+SELECT s.song_id, s.bar, s.half, c.label FROM s JOIN c ON c.song_id = s.song_id AND c.bar = CAST(floor(s.middle / 2e0) AS BIGINT)
 """, "J5: labels go to the bars of another tempo by each half's middle")
 containing = operator("containing_or_nearest_segment", "note_events", """
-WITH s AS (SELECT song_id, event_id AS segment, start_s AS a, start_s + 36e2 AS b FROM {note_events} WHERE NOT uncertain), q AS (SELECT song_id, event_id, start_s AS t FROM {note_events} WHERE uncertain),
-m AS (SELECT q.song_id, q.event_id, s.segment, CASE WHEN q.t >= s.a AND q.t < s.b THEN 0e0 ELSE round(least(abs(q.t - s.a), abs(q.t - s.b)), 6) END AS gap FROM q JOIN s ON s.song_id = q.song_id AND q.t BETWEEN s.a - 864e2 AND s.b + 864e2),
+WITH s AS (SELECT song_id, event_id AS segment, start_s AS a, end_s AS b FROM {note_events} WHERE NOT uncertain), q AS (SELECT song_id, event_id, start_s AS t FROM {note_events} WHERE uncertain),
+m AS (SELECT q.song_id, q.event_id, s.segment, CASE WHEN q.t >= s.a AND q.t < s.b THEN 0e0 ELSE round(least(abs(q.t - s.a), abs(q.t - s.b)), 6) END AS gap FROM q JOIN s ON s.song_id = q.song_id AND q.t BETWEEN s.a - 6e1 AND s.b + 6e1),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id, event_id ORDER BY gap, segment) AS rank FROM m)
 SELECT song_id, event_id, segment, gap FROM r WHERE rank = 1
 """, "J8: the segment that holds a time, else the nearest")
@@ -39,7 +22,7 @@ n AS (SELECT song_id, pc, stem, weight / sum(weight) OVER (PARTITION BY song_id,
 SELECT n.song_id, n.pc, round(sum(n.share * CASE n.stem WHEN 0 THEN 65e-2 WHEN 1 THEN 2e-1 ELSE 15e-2 END) / max(s.total), 6) AS weight FROM n JOIN s ON s.song_id = n.song_id GROUP BY n.song_id, n.pc
 """, "AG9: sources weigh .65, .2 and .15, over those that are there")
 agreement = operator("window_agreement", "note_events", """
-WITH w AS (SELECT song_id, CAST(floor(start_s / 864e2) AS BIGINT) AS win, midi % 12 AS pc, sum(confidence) AS weight FROM {note_events} GROUP BY 1, 2, 3),
+WITH w AS (SELECT song_id, CAST(floor(start_s / 12e0) AS BIGINT) AS win, midi % 12 AS pc, sum(confidence) AS weight FROM {note_events} GROUP BY 1, 2, 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY song_id, win ORDER BY round(weight, 6) DESC, pc) AS rank FROM w), t AS (SELECT song_id, pc, sum(weight) AS weight FROM w GROUP BY song_id, pc),
 g AS (SELECT song_id, pc, row_number() OVER (PARTITION BY song_id ORDER BY round(weight, 6) DESC, pc) AS rank FROM t)
 SELECT b.song_id, count(*) AS windows, round(avg(CASE WHEN b.pc = g.pc THEN 1e0 ELSE 0e0 END), 6) AS agreement FROM b JOIN g ON g.song_id = b.song_id AND g.rank = 1 WHERE b.rank = 1 GROUP BY b.song_id
@@ -49,7 +32,7 @@ WITH r AS (SELECT song_id, pitch_center - midi AS off, row_number() OVER (PARTIT
 SELECT song_id, round(max(CASE WHEN i = CAST(floor((n - 1) * 1e-1) AS BIGINT) THEN off END), 6) + 0e0 AS low, round(max(CASE WHEN i = CAST(ceil((n - 1) * 9e-1) AS BIGINT) THEN off END), 6) + 0e0 AS high FROM r GROUP BY song_id
 """, "AG12: percentiles by index, not interpolated")
 grid_fit = operator("trimmed_grid_fit", "note_events", """
-WITH b AS (SELECT song_id, event_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS DOUBLE) AS i, (start_s - min(start_s) OVER (PARTITION BY song_id)) / 36e2 AS t FROM {note_events}),
+WITH b AS (SELECT song_id, event_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS DOUBLE) AS i, (start_s - min(start_s) OVER (PARTITION BY song_id)) AS t FROM {note_events}),
 f AS (SELECT song_id, regr_slope(t, i) AS k, regr_intercept(t, i) AS c FROM b GROUP BY song_id), e AS (SELECT b.*, abs(b.t - f.k * b.i - f.c) AS err FROM b JOIN f ON f.song_id = b.song_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY round(err, 9), event_id) AS rank, count(*) OVER (PARTITION BY song_id) AS n FROM e)
 SELECT song_id, count(*) AS kept, round(regr_slope(t, i), 5) AS period FROM r WHERE rank <= 65e-2 * n GROUP BY song_id HAVING count(*) >= 2
@@ -85,9 +68,9 @@ k AS (SELECT score_id, chars, i AS ch FROM c [[each_below:chars|i]])
 SELECT n.score_id, n.note_id, count(*) AS characters FROM k JOIN n ON n.score_id = k.score_id AND n.i = CAST(floor(CAST(k.ch AS DOUBLE) * n.m / k.chars) AS BIGINT) GROUP BY n.score_id, n.note_id
 """, "X9, ED4: characters dealt to notes in order, floor(i N / M)")
 ties_detached = operator("detached_ties", "notes", """
-WITH o AS (SELECT score_id, note_id, row_number() OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS place FROM {notes}), t AS (SELECT a.score_id, a.note_id AS tie_from, b.note_id AS tie_to, b.place - a.place AS apart FROM o AS a JOIN o AS b ON b.score_id = a.score_id AND b.place = a.place + 1 + a.note_id % 2)
-SELECT score_id, tie_from, tie_to FROM t WHERE apart <> 1
-""", "ED7")
+WITH t AS (SELECT score_id, note_id AS tie_from, lead(note_id, 2) OVER w AS tie_to, note_id % 2 AS moved, lead(note_id) OVER w AS next_id FROM {notes} WINDOW w AS (PARTITION BY score_id ORDER BY m_idx, n_idx))
+SELECT score_id, tie_from, tie_to FROM t WHERE moved = 1 AND tie_to <> next_id
+""", "ED7: ties that lead past the note that follows by now")
 restored = operator("restored_notes", "note_events", "SELECT event_id, coalesce(CASE WHEN confidence < 7e-1 THEN midi END, CAST(floor(pitch_center + 5e-1) AS BIGINT)) AS midi, confidence < 7e-1 AS restored FROM {note_events}", "ED6, ED9")
 upsert = operator("published_upsert", "library", """
 WITH new AS (SELECT project_id, max(revision) AS revision FROM {library} WHERE status = 'F' GROUP BY project_id), old AS (SELECT project_id, min(revision) AS revision FROM {library} GROUP BY project_id)
@@ -110,13 +93,13 @@ WITH {PLACED}, m AS (SELECT measure_id, max(tick_to) AS total FROM p GROUP BY me
 SELECT p.measure_id, p.note_id, round(p.tick_from / m.total * 2, 6) AS start_s, round(p.tick_to / m.total * 2, 6) AS end_s FROM p JOIN m ON m.measure_id = p.measure_id
 """, "X1-X3: a measure's two seconds dealt out by written ticks")
 audition = operator("audition_clip", "note_events", """
-WITH d AS (SELECT song_id, min(start_s) + 864e2 AS a, min(start_s) + 4 * 864e2 AS b FROM {note_events} GROUP BY song_id)
+WITH d AS (SELECT song_id, min(start_s) + 5e0 AS a, min(start_s) + 15e0 AS b FROM {note_events} GROUP BY song_id)
 SELECT e.song_id, e.event_id, e.midi, round(greatest(e.start_s, d.a) - d.a, 4) AS start_s, round(least(e.end_s, d.b) - d.a, 4) AS end_s FROM {note_events} AS e JOIN d ON d.song_id = e.song_id WHERE e.end_s > d.a AND e.start_s < d.b
 """, "X5, SC21, X41: clipped to a window and shifted to its start")
 selected_run = operator("selected_revision", "library", """
 WITH r AS (SELECT project_id, revision, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN status = 'F' THEN 0 WHEN status = 'O' THEN 1 ELSE 2 END, revision DESC) AS rank FROM {library}) SELECT project_id, revision FROM r WHERE rank = 1
 """, "X28: by priority, then the latest")
 line_timing = operator("accepted_lines", "note_events", """
-WITH l AS (SELECT song_id, CAST(floor(start_s / 864e2) AS BIGINT) AS line, event_id, start_s, confidence >= 8e-1 AS acoustic, lag(confidence >= 8e-1) OVER (PARTITION BY song_id, CAST(floor(start_s / 864e2) AS BIGINT) ORDER BY start_s, event_id) AS before FROM {note_events})
+WITH l AS (SELECT song_id, CAST(floor(start_s / 8e0) AS BIGINT) AS line, event_id, start_s, confidence >= 8e-1 AS acoustic, lag(confidence >= 8e-1) OVER (PARTITION BY song_id, CAST(floor(start_s / 8e0) AS BIGINT) ORDER BY start_s, event_id) AS before FROM {note_events})
 SELECT song_id, line, count(*) AS n, count(CASE WHEN acoustic THEN 1 END) >= 2 AND (count(CASE WHEN acoustic AND before THEN 1 END) > 0 OR count(CASE WHEN acoustic THEN 1 END) >= 4e-1 * count(*)) AS accepted FROM l GROUP BY song_id, line
 """, "X20")

@@ -11,7 +11,7 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY song_id ORDER BY start_s, event_id
 SELECT song_id, CAST(run AS BIGINT) AS run, min(midi) AS midi, count(*) AS n, round(max(end_s) - min(start_s), 6) AS span FROM g GROUP BY song_id, run
 """, "W1: maximal runs of equal pitch")
 phrases = operator("phrase_ends", "note_events", """
-WITH s AS (SELECT song_id, event_id, end_s, confidence, uncertain, pitch_center, start_s, max(end_s + 6e2) OVER (PARTITION BY song_id ORDER BY start_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sounding, lead(start_s) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS next_s FROM {note_events})
+WITH s AS (SELECT song_id, event_id, end_s, confidence, uncertain, pitch_center, start_s, max(coalesce(performance_end, end_s)) OVER (PARTITION BY song_id ORDER BY start_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sounding, lead(start_s) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS next_s FROM {note_events})
 SELECT song_id, event_id, CAST(floor(pitch_center + 5e-1) AS BIGINT) AS midi, round(least(15e-1, end_s - start_s) * least(1e0, confidence), 6) AS weight
 FROM s WHERE next_s - sounding >= 5e-1 AND NOT uncertain AND end_s - start_s >= 12e-2 AND abs(pitch_center - floor(pitch_center + 5e-1)) <= 35e-2
 """, "W2: ends before a silence after all that sounded so far")
@@ -25,10 +25,10 @@ positions = operator("note_positions", "notes", f"""
 SELECT score_id, note_id, round(sum({TICKS}) OVER (PARTITION BY measure_id ORDER BY n_idx) - {TICKS}, 6) AS in_measure, round(sum({TICKS}) OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) - {TICKS}, 6) AS in_score FROM {{notes}}
 """, "W4")
 tied = operator("tied_events", "notes", f"""
-WITH c AS (SELECT *, ({MIDI}) AS midi, CASE WHEN degree > 0 AND lag({MIDI}) OVER w = ({MIDI}) THEN 0 ELSE 1 END AS fresh FROM {{notes}} WINDOW w AS (PARTITION BY score_id ORDER BY m_idx, n_idx)),
+WITH c AS (SELECT *, ({MIDI}) AS midi, CASE WHEN degree > 0 AND lag(tie) OVER w AND lag({MIDI}) OVER w = ({MIDI}) THEN 0 ELSE 1 END AS fresh FROM {{notes}} WINDOW w AS (PARTITION BY score_id ORDER BY m_idx, n_idx)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS run FROM c)
 SELECT score_id, min(note_id) AS first_note, CAST(min(midi) AS BIGINT) AS midi, count(*) AS notes, round(sum({TICKS}), 6) AS ticks FROM g WHERE degree > 0 GROUP BY score_id, run
-""", "W5: ties of equal neighbours become one event")
+""", "W5: notes of one pitch that ties join become one event; repeated notes without a tie stay")
 chord_merge = operator("merged_labels", "notes", f"""
 WITH m AS (SELECT score_id, m_idx, measure_id, min(degree) AS label, sum({TICKS}) AS ticks, avg(CAST(dots AS DOUBLE)) AS support FROM {{notes}} GROUP BY score_id, m_idx, measure_id),
 c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY score_id ORDER BY m_idx) = label THEN 0 ELSE 1 END AS fresh FROM m), g AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id ORDER BY m_idx) AS run FROM c)
@@ -60,7 +60,7 @@ FROM s JOIN r ON r.song_id = s.song_id WHERE (s.i < r.i0 OR s.i > r.i1) AND r.i1
 """, "W8: times before the first and after the last anchor")
 rest_fill = operator("bridged_rests", "note_events", """
 WITH n AS (SELECT song_id, event_id, midi, end_s, lead(start_s) OVER w AS next_s, lead(midi) OVER w AS next_midi FROM {note_events} WINDOW w AS (PARTITION BY song_id ORDER BY start_s, event_id))
-SELECT song_id, event_id, round(CASE WHEN next_s > end_s AND next_s - end_s <= 3e2 THEN next_s ELSE end_s END - end_s, 6) AS added FROM n
+SELECT song_id, event_id, round(CASE WHEN next_s > end_s AND next_s - end_s <= 3e-1 THEN next_s ELSE end_s END - end_s, 6) AS added FROM n
 """, "DQ15, X34: short rests are sustained to the next onset")
 slides = operator("slide_moves", "note_events", """
 WITH m AS (SELECT song_id, event_id, midi - (lag(midi) OVER w) AS step, (lead(midi) OVER w) - midi AS next_step FROM {note_events} WINDOW w AS (PARTITION BY song_id ORDER BY start_s, event_id))
@@ -75,9 +75,14 @@ WITH c AS (SELECT conv_id, turn, length(text) AS n FROM {lines} WHERE text IS NO
 SELECT conv_id, turn, CAST(i AS BIGINT) AS char_index, round(turn + CAST(i AS DOUBLE) / n, 6) AS start_s FROM c [[each_below:n|i]]
 """, "W20: equal parts of a word's time")
 silence_groups = operator("silence_groups", "note_events", """
-WITH c AS (SELECT song_id, event_id, start_s, confidence, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY song_id ORDER BY start_s, event_id) <= 72e2 THEN 0 ELSE 1 END AS fresh FROM {note_events}), g AS (SELECT *, sum(fresh) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS grp FROM c)
+WITH c AS (SELECT song_id, event_id, start_s, confidence, CASE WHEN start_s - lag(end_s) OVER (PARTITION BY song_id ORDER BY start_s, event_id) <= 2e0 THEN 0 ELSE 1 END AS fresh FROM {note_events}), g AS (SELECT *, sum(fresh) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS grp FROM c)
 SELECT song_id, CAST(grp AS BIGINT) AS grp, count(*) AS n, round(avg(confidence), 4) AS probability FROM g GROUP BY song_id, grp HAVING count(*) >= 3 AND avg(confidence) >= 35e-2
 """, "X15: groups parted by silence, with enough members and probability")
 windows = operator("owned_windows", "note_events", """
-SELECT song_id, CAST(floor((start_s + end_s) / 2 / 864e2) AS BIGINT) AS window_index, count(*) AS owned FROM {note_events} GROUP BY 1, 2
-""", "ST1: each event belongs to the one window that holds its middle")
+WITH d AS (SELECT song_id, max(end_s) AS duration FROM {note_events} GROUP BY song_id),
+w AS (SELECT song_id, duration, i AS window_index FROM (SELECT song_id, duration, ceil(duration / 3e1) AS n FROM d) AS x [[each_below:n|i]]),
+o AS (SELECT song_id, CAST(floor((start_s + end_s) / 2 / 3e1) AS BIGINT) AS owner, count(*) AS owned FROM {note_events} GROUP BY 1, 2)
+SELECT w.song_id, CAST(w.window_index AS BIGINT) AS window_index, w.window_index * 3e1 AS start_s, least(w.duration, w.window_index * 3e1 + 3e1) AS end_s,
+       greatest(0e0, w.window_index * 3e1 - 15e-1) AS decode_from, least(w.duration, w.window_index * 3e1 + 315e-1) AS decode_to, coalesce(o.owned, 0) AS owned
+FROM w LEFT JOIN o ON o.song_id = w.song_id AND o.owner = w.window_index
+""", "ST1: windows of 30 s that are decoded 1.5 s beyond either side; each event belongs to the one that holds its middle")

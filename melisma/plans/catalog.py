@@ -1,7 +1,7 @@
 """All registered queries of the library proper, and their SQL."""
 
 from ..functions import scalars  # noqa: F401  (registers its operators)
-from ..operators import aggregates, decoders, joins, quality, scores, sequences  # noqa: F401
+from ..operators import aggregates, decoders, evidence, joins, quality, scores, sequences  # noqa: F401
 from ..sources import documents
 from ..streaming import jobs
 from .sqlop import REGISTRY

@@ -19,6 +19,10 @@ DIALECT = {
     "find": ("regexp_extract({x}, {y}, {z})", "regexp_extract({x}, {y}, {z})"),
     "matches": ("({x} RLIKE {y})", "regexp_matches({x}, {y})"),
     "json": ("get_json_object({x}, {y})", "json_extract_string({x}, {y})"),
+    "count_of": ("regexp_count({x}, {y})", "len(regexp_extract_all({x}, {y}))"),
+    "letters_of": (r"regexp_replace({x}, '[^\\pL\\pN_]', '')", r"regexp_replace({x}, '[^\pL\pN_]', '', 'g')"),
+    "tokens_of": ("array_join(regexp_extract_all({x}, {y}, 0), '¦')", "array_to_string(regexp_extract_all({x}, {y}), '¦')"),
+    "joined_by": ("listagg({x}, '') WITHIN GROUP (ORDER BY {y})", "string_agg({x}, '' ORDER BY {y})"),
     "word_count": ("regexp_count({x}, '[^ \\\\n]+')", "len(regexp_extract_all({x}, '[^ \\n]+'))"),
 }
 

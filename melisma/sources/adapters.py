@@ -1,7 +1,13 @@
 """Canonical musical tables, as deterministic views of the relational test tables: synthetic exercise, not music.
 
-note_events(song_id, event_id, start_s, end_s, midi, pitch_center, confidence, uncertain): detector output, from events.
-notes(score_id, measure_id, m_idx, n_idx, note_id, degree, base, octave, dots, accidental): written notes, from lineitem.
+note_events(song_id, event_id, start_s, end_s, midi, pitch_center, confidence, uncertain, core_start, core_end, performance_end,
+    pitch_reliability, recovery_reason): detector output in seconds of the song, from events. A song's events follow each other by
+    half a second and pause after every eighth; a note's stable core, its performed end and its reliability may be unknown.
+notes(score_id, measure_id, m_idx, n_idx, note_id, degree, base, octave, dots, accidental, tie, source_s): written notes, from
+    lineitem; tie: the note is held into the next one; source_s: its time in the recording, if known.
+chords(score_id, measure_id, label): a chord label of each measure, from orders.
+scores(score_id, score_key, bpm, meter, capo): the head of each score, from orders.
+characters(song_id, char_id, line_id, text, start_s, end_s, manual): timed lyric characters, from events.
 chroma(window_id, song_id, pc, weight): twelve pitch-class weights of each window, from embeddings.
 lines(conv_id, turn, role, text): lyric lines in order, from conversations.
 library(project_id, revision, published_at, title, status): published snapshots, from orders.
@@ -11,29 +17,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: One text for both engines, but for {seconds}, the seconds since 1970 of a timestamp without zone.
+#: One text for both engines.
 VIEWS = {
     "note_events": """
-        SELECT user_id AS song_id, event_id, s AS start_s, s + (1e-1 + (event_id % 16) * 5e-2) AS end_s,
+        SELECT user_id AS song_id, event_id, s AS start_s, round(s + (1e-1 + (event_id % 16) * 5e-2), 3) AS end_s,
                CAST(48 + (CAST(floor(value) AS BIGINT) % 24) AS BIGINT) AS midi,
                48 + (CAST(floor(value) AS BIGINT) % 24) + (event_id % 7 - 3) * 1e-1 AS pitch_center,
-               5e-1 + (event_id % 6) * 1e-1 AS confidence, event_type = 'error' AS uncertain
-        FROM (SELECT user_id, event_id, value, event_type, {seconds} AS s FROM {events}) AS e""",
+               5e-1 + (event_id % 6) * 1e-1 AS confidence, event_type = 'error' AS uncertain,
+               CASE WHEN event_id % 9 > 0 THEN round(s + 2e-2, 3) END AS core_start, CASE WHEN event_id % 9 > 0 THEN round(s + (8e-2 + (event_id % 16) * 5e-2), 3) END AS core_end,
+               CASE WHEN event_id % 4 = 0 THEN round(s + (15e-2 + (event_id % 16) * 5e-2), 3) END AS performance_end,
+               CASE WHEN event_id % 3 = 0 THEN 4e-1 + (event_id % 5) * 1e-1 END AS pitch_reliability, CASE WHEN event_id % 23 = 0 THEN 'gap' END AS recovery_reason
+        FROM (SELECT user_id, event_id, value, event_type, round((r - 1) * 5e-1 + floor((r - 1) / 8) + (event_id % 7) * 3e-2, 3) AS s
+              FROM (SELECT user_id, event_id, value, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS r FROM {events}) AS x) AS e""",
     "notes": """
         SELECT CAST(floor(l_orderkey / 32) AS BIGINT) AS score_id, l_orderkey AS measure_id, l_orderkey % 32 AS m_idx, n_idx,
                l_orderkey * 100 + n_idx AS note_id, l_partkey % 8 AS degree,
                CASE l_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END AS base,
                CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE l_suppkey % 5 - 2 END AS octave, l_suppkey % 2 AS dots,
-               CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) % 3 - 1 END AS accidental
+               CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) % 3 - 1 END AS accidental,
+               l_suppkey % 4 = 0 AND l_partkey % 8 > 0 AS tie, CASE WHEN l_orderkey % 32 > 0 OR n_idx > 2 THEN round((l_orderkey % 32) * 2e0 + n_idx * 25e-2 + 3e0, 3) END AS source_s
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS BIGINT) AS n_idx FROM {lineitem}) AS l""",
     "lines": "SELECT conv_id, turn, role, text FROM {conversations}",
     "library": """
         SELECT o_custkey AS project_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS revision,
                o_orderkey AS score_id, o_orderstatus AS status, o_totalprice AS audio_offset, o_orderpriority AS title
         FROM {orders}""",
+    "chords": """
+        SELECT CAST(floor(o_orderkey / 32) AS BIGINT) AS score_id, o_orderkey AS measure_id,
+               concat(substr('C D E F G A B ', CAST(o_custkey % 7 AS INT) * 2 + 1, 1), CASE WHEN o_custkey % 5 = 1 THEN 'b' WHEN o_custkey % 5 = 2 THEN '#' ELSE '' END,
+                      CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'm' WHEN 2 THEN '7' WHEN 3 THEN 'maj7' WHEN 4 THEN 'm7' WHEN 5 THEN 'dim' WHEN 6 THEN 'add9' WHEN 7 THEN '9' ELSE 'm11' END,
+                      CASE WHEN o_custkey % 6 = 0 THEN '/G' WHEN o_custkey % 6 = 1 THEN '/F#' ELSE '' END) AS label
+        FROM {orders}""",
+    "scores": """
+        SELECT score_id, CASE score_id % 12 WHEN 0 THEN 'C' WHEN 1 THEN 'Db' WHEN 2 THEN 'D' WHEN 3 THEN 'Eb' WHEN 4 THEN 'E' WHEN 5 THEN 'F' WHEN 6 THEN 'Gb' WHEN 7 THEN 'G' WHEN 8 THEN 'Ab' WHEN 9 THEN 'A' WHEN 10 THEN 'Bb' ELSE 'B' END AS score_key,
+               60 + score_id % 90 AS bpm, 2 + score_id % 3 AS meter, score_id % 13 AS capo
+        FROM (SELECT DISTINCT CAST(floor(o_orderkey / 32) AS BIGINT) AS score_id FROM {orders}) AS s""",
+    "characters": """
+        SELECT user_id AS song_id, event_id AS char_id, CAST(floor((r - 1) / 5) AS BIGINT) AS line_id, substr('天地人你我他好春夏秋冬山水火', CAST(event_id % 14 AS INT) + 1, 1) AS text,
+               s AS start_s, round(s + 2e-1, 3) AS end_s, event_id % 6 = 0 AS manual
+        FROM (SELECT user_id, event_id, r, round((r - 1) * 7e-1 + (event_id % 5) * 11e-2, 3) AS s
+              FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS r FROM {events}) AS x) AS e""",
 }
-TABLES = {"note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders"}
-SECONDS = {"spark": "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6", "duckdb": "epoch_us(ts) / 1e6"}
+TABLES = {"note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders", "chords": "orders", "scores": "orders", "characters": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +66,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     source = TABLES[name]
-    sql = VIEWS[name].replace("{seconds}", SECONDS["spark"])
-    return spark.sql(sql, **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
+    return spark.sql(VIEWS[name], **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
 
 
 def oracle_view(name: str) -> str:
-    return VIEWS[name].replace("{seconds}", SECONDS["duckdb"]).replace("{" + TABLES[name] + "}", TABLES[name])
+    return VIEWS[name].replace("{" + TABLES[name] + "}", TABLES[name])

@@ -41,7 +41,7 @@ def test_equals_oracle(spark, oracle, sf_dir, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["song_id", "do_pc", "key_name", "mode", "score", "rank"] and df.count() > 0
+    assert df.columns == ["song_id", "do_pc", "key_name", "mode", "distribution_score", "cadence", "phrase_score", "score", "rank"] and df.count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(set(decoders.QUERIES) - {"text_correction", "score_comparison"}))
