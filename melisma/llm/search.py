@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import row_key, table, written
 
 #: Vectors in one block of candidates or of queries; a task holds one of each.
 BLOCK_ROWS = 4096
 #: Numbers of segments, coarse to fine.
 RESOLUTIONS = (4, 16)
 
-PACKED = "block int, ids binary, dims int, vectors binary"
+PACKED = "block int, cell int, ids binary, dims int, vectors binary, box binary"
+_PACKED = pa.schema([("block", pa.int32()), ("cell", pa.int32()), ("ids", pa.binary()), ("dims", pa.int32()), ("vectors", pa.binary()), ("box", pa.binary())])
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -28,43 +29,74 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
     )
 
 
+def _summaries(x: np.ndarray, segments: int) -> np.ndarray:
+    """For each row and segment sqrt(m) times mean and deviation, with which an inner product of rows is at most that of summaries."""
+    cuts = np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int)
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = x[:, a:b]
+        parts += [part.mean(1) * np.sqrt(b - a), part.std(1) * np.sqrt(b - a)]
+    return np.stack(parts, 1)
+
+
+def _box(x: np.ndarray) -> np.ndarray:
+    """(2, all summaries): the least and the largest of each summary of rows, at every resolution."""
+    found = np.concatenate([_summaries(x.astype(np.float64), n) for n in RESOLUTIONS], 1) if x.shape[1] else np.zeros((len(x), 0))
+    return np.stack((found.min(0), found.max(0)))
+
+
+def most(a: np.ndarray, b: np.ndarray, dims: int) -> float:
+    """No inner product of a row in one box with a row in the other exceeds this: the least bound of all resolutions."""
+    reach = np.max([x * y for x in a for y in b], 0)
+    cuts = np.cumsum([0, *(2 * min(n, dims) for n in RESOLUTIONS)])
+    return float(min((reach[i:j].sum() for i, j in zip(cuts[:-1], cuts[1:], strict=True)), default=0.0)) if dims else 0.0
+
+
 def _pack(group: pa.Table) -> pa.Table:
     """One row for each vector length in the block."""
-    ids, block = group["vec_id"].to_numpy(), group["block"][0].as_py()
+    ids, block, cell = group["vec_id"].to_numpy(), group["block"][0].as_py(), group["cell"][0].as_py()
     column = group["v"].combine_chunks()
     lengths = np.diff(column.offsets.to_numpy())
     flat, at = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
     rows = []
     for dims in np.unique(lengths):
         own = np.flatnonzero(lengths == dims)
-        matrix = flat[(at[own][:, None] + np.arange(dims)).ravel()].astype("<i8")
-        rows.append((block, ids[own].astype("<i8").tobytes(), int(dims), matrix.tobytes()))
-    return pa.table({n: [r[i] for r in rows] for i, n in enumerate(("block", "ids", "dims", "vectors"))}, schema=pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("dims", pa.int32()), ("vectors", pa.binary())]))
+        matrix = flat[(at[own][:, None] + np.arange(dims)).ravel()].astype("<i8").reshape(len(own), dims)
+        rows.append((block, cell, ids[own].astype("<i8").tobytes(), int(dims), matrix.tobytes(), _box(matrix).tobytes()))
+    return pa.table({n: [r[i] for r in rows] for i, n in enumerate(_PACKED.names)}, schema=_PACKED)
 
 
-def packed(vectors: DataFrame, rows: int, block_rows: int) -> DataFrame:
-    """Blocks of about block_rows vectors, dealt out by a hash of the id and the row so that no key makes a large one."""
-    blocks = max(1, -(-rows // block_rows))
-    dealt = vectors.withColumn("block", F.pmod(row_key("vec_id", "v"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(_pack, PACKED)
-
+def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """Blocks of about block_rows vectors that are alike: of one cell, which tells the signs of four stretches' sums and the
+    power of two of the norm, dealt out within it by a hash of the id and the row so that no key makes a large block.
 
-def _summaries(x: np.ndarray, segments: int) -> np.ndarray:
-    """For each row and segment sqrt(m) times mean and deviation, with which an inner product of rows is at most that of summaries."""
-    cuts = np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int)
-    parts = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = x[:, a:b]
-        parts += [part.mean(1) * np.sqrt(b - a), part.std(1) * np.sqrt(b - a)]
-    return np.stack(parts, 1)
+    Only the number of rows in each cell reaches the driver: 16 * 128 numbers at most.
+    """
+    size = F.size("v")
+    part = lambda i: F.slice("v", (F.floor(size * i / 4) + 1).cast("int"), (F.floor(size * (i + 1) / 4) - F.floor(size * i / 4)).cast("int"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    signs = sum((F.when(total(part(i)) >= 0, 1 << i).otherwise(0) for i in range(1, 4)), F.when(total(part(0)) >= 0, 1).otherwise(0))
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    celled = vectors.withColumn("cell", (signs * 128 + F.least(F.lit(127), F.floor(F.log2(norm + 1)))).cast("int"))
+    found = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
+    parts, first = {c: -(-n // block_rows) for c, n in found.items()}, {}
+    for c in sorted(found):
+        first[c] = sum(parts[x] for x in first)
+    if not found:
+        return vectors.sparkSession.createDataFrame([], PACKED)
+    of_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for c in sorted(values) for x in (c, values[c])]), F.col("cell"))
+    dealt = celled.withColumn("block", (of_cell(first) + F.pmod(row_key("vec_id", "v"), of_cell(parts))).cast("int"))
+    return dealt.groupBy("block").applyInArrow(_pack, PACKED)
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, resolutions=RESOLUTIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, resolutions=RESOLUTIONS, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, score) of each query's k best rows here, ties to smaller ids; a query's own id is no candidate.
 
     The inner product of two segments is m*mean*mean plus their covariance, which the product of deviations bounds; maximal
     inner product is minimal distance up to the norms. Bounds are taken coarse to fine, then survivors are scored exactly.
+    Rows below the scores known for the queries may be left out.
     """
+    known = np.full(len(queries), -np.inf) if known is None else known
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
     q, x = queries.astype(np.float64), rows.astype(np.float64)
@@ -78,10 +110,10 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
         for i in range(lo, min(lo + 256, len(q))):
             bound = coarse[i - lo]
             others = row_ids != query_ids[i]
-            own = np.flatnonzero(others)
+            own = np.flatnonzero(others & (bound + slack >= known[i]))
             if len(own) > k:
                 first = own[np.argpartition(-bound[own], k - 1)[:k]]
-                least = np.sort(dot(i, first))[0]
+                least = max(np.sort(dot(i, first))[0], known[i])
                 own = own[bound[own] + slack >= least]
                 for fine_q, fine_x in levels[1:]:
                     own = own[fine_x[own] @ fine_q[i] + slack >= least]
@@ -91,34 +123,85 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
     return tuple(np.concatenate(c) if found else np.zeros(0, dtype=np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
 
 
+def _whole(r: dict, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(r[ids], dtype="<i8")
+    return found, np.frombuffer(r[vectors], dtype="<i8").reshape(len(found), r["dims"])
+
+
 def _joined(k: int, resolutions: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ints = {n: np.frombuffer(r[n], dtype="<i8") for n in ("q_ids", "q_vectors", "ids", "vectors")}
-                dims = r["dims"]
-                found = block_top(ints["q_vectors"].reshape(len(ints["q_ids"]), dims), ints["q_ids"], ints["vectors"].reshape(len(ints["ids"]), dims), ints["ids"], k, resolutions)
+                (q_ids, q), (ids, x) = _whole(r, "q_ids", "q_vectors"), _whole(r, "ids", "vectors")
+                found = block_top(q, q_ids, x, ids, k, resolutions, np.frombuffer(r["known"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _seeded(k: int, resolutions: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query block with the k-th score of its queries in one block of rows, where there are so many."""
+        for batch in batches:
+            known = []
+            for r in batch.to_pylist():
+                q_ids, q = _whole(r, "q_ids", "q_vectors")
+                least = np.full(len(q_ids), -np.inf)
+                if r["ids"] is not None:
+                    ids, x = _whole(r, "ids", "vectors")
+                    for i in range(len(q_ids)):  # queries may share an id
+                        _, _, score = block_top(q[i : i + 1], q_ids[i : i + 1], x, ids, k, resolutions)
+                        least[i] = score[-1] if len(score) == k else -np.inf
+                known.append(least.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("q_block", "dims", "q_ids", "q_vectors", "q_box")), pa.array(known, pa.binary())], names=["q_block", "dims", "q_ids", "q_vectors", "q_box", "known"])
+
+    return run
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of blocks in which some query may find a row that is not below what it knows."""
+    for batch in batches:
+        kept = []
+        for r in batch.to_pylist():
+            q, x, least = np.frombuffer(r["q_box"]).reshape(2, -1), np.frombuffer(r["box"]).reshape(2, -1), r["least"]
+            slack = 1e-6 * (np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(r["dims"], 1) + 1)
+            kept.append(most(q, x, r["dims"]) + slack >= least)
+        yield batch.select(["q_block", "dims", "block"]).filter(pa.array(kept, pa.bool_()))
+
+
+def plan(queries: DataFrame, rows: DataFrame, k: int, block_rows: int, resolutions: tuple[int, ...] = RESOLUTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks of queries with the scores that they know, blocks of rows, pairs of them that are to be searched)."""
+    x = written(packed(rows, block_rows), "search-rows")
+    q = packed(queries, block_rows).select(F.col("block").alias("q_block"), "cell", F.col("ids").alias("q_ids"), "dims", F.col("vectors").alias("q_vectors"), F.col("box").alias("q_box"))
+    one = x.groupBy("cell", "dims").agg(F.min("block").alias("block"))
+    seed = x.join(one, ["cell", "dims", "block"], "left_semi").select("cell", "dims", "ids", "vectors")
+    known = written(q.join(seed, ["cell", "dims"], "left").mapInArrow(_seeded(k, resolutions), "q_block int, dims int, q_ids binary, q_vectors binary, q_box binary, known binary"), "search-queries")
+
+    @F.pandas_udf("double")
+    def least(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: float(np.frombuffer(v).min(initial=np.inf)))
+
+    # only boxes meet here: 640 bytes for a block of either side
+    last = known.agg(F.max("q_block")).first()[0] or 0
+    every = x.select("dims", "block", "box", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("q_block"))
+    boxes = known.select("q_block", "dims", "q_box", least("known").alias("least")).join(every, ["q_block", "dims"])
+    return known, x, boxes.mapInArrow(_reached, "q_block int, dims int, block int")
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = BLOCK_ROWS, resolutions: tuple[int, ...] = RESOLUTIONS) -> DataFrame:
     """Each query's k rows of highest integer inner product: (query_id, rank, vec_id, score).
 
     Ties go to the smaller vec_id, then repeated rows keep one place each. Vectors of other lengths than the query's are no
     candidates. Null vectors, null ids and vectors that hold null or non-finite components take no part; an empty table gives
-    no rows. Queries and rows are cut into blocks and every pair of blocks is one unit of work, of bounded size; each unit
-    returns k rows a query at most.
+    no rows; a query's id that stands twice is answered once for all its rows together. Rows and queries are cut into blocks
+    of vectors that are alike. Each query first learns a score from one block of its own cell; a block of rows is sent only to
+    the blocks of queries for which the bound of both blocks' summaries reaches what some query knows, and there rows are
+    bounded coarse to fine. Each pair of blocks is one unit of work of bounded size and returns k rows a query at most.
     """
-    q = whole_vectors(queries, id_col, vector_col, scale)
-    x = whole_vectors(rows, id_col, vector_col, scale)
-    n_queries, n_rows = queries.count(), rows.count()
-    q_blocks = max(1, -(-n_queries // block_rows))
-    blocks_q = packed(q, n_queries, block_rows).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), "dims", F.col("vectors").alias("q_vectors"))
-    blocks_x = packed(x, n_rows, block_rows).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    pairs = blocks_x.join(blocks_q, ["q_block", "dims"]).select("dims", "ids", "vectors", "q_ids", "q_vectors")
-    spread = pairs.repartition(max(1, min(200_000, q_blocks * -(-n_rows // block_rows))))
+    known, x, pairs = plan(whole_vectors(queries, id_col, vector_col, scale), whole_vectors(rows, id_col, vector_col, scale), k, block_rows, tuple(resolutions))
+    pairs = written(pairs, "search-pairs")
+    shipped = pairs.join(x.select("block", "dims", "ids", "vectors"), ["block", "dims"]).join(known.select("q_block", "dims", "q_ids", "q_vectors", "known"), ["q_block", "dims"])
+    spread = shipped.select("dims", "ids", "vectors", "q_ids", "q_vectors", "known").repartition(max(1, min(200_000, pairs.count())))
     best = spread.mapInArrow(_joined(k, tuple(resolutions)), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -262,3 +262,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert {i for i, _ in mixed} <= set(range(0, 120, 2)) and len(mixed) > 60
     check_packing(seen["packing"].collect(), mixed)
     assert corpus_pipeline.run(spark, folder).count() == seen["packing"].count()
+
+
+def test_search_skips_blocks_that_cannot_hold_answers(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(8, 16)) * 4
+    rows = [(i, [float(x) for x in np.float32(centers[i % 8] + rng.normal(size=16) * 0.2)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = df.where("vec_id % 20 = 0")
+    got = search.top_k(queries, df, 5, block_rows=16)
+    assert sorted(tuple(r) for r in got.collect()) == brute_search(rows, 5)
+    known, blocks, pairs = search.plan(search.whole_vectors(queries, "vec_id", "embedding", 64), search.whole_vectors(df, "vec_id", "embedding", 64), 5, 16)
+    assert pairs.count() < 0.6 * known.count() * blocks.count()
+
+
+def test_search_with_repeated_query_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[20], rows[20]], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in search.top_k(df.where("vec_id = 20"), df, 5, block_rows=16).collect()]
+    assert [r[1] for r in sorted(got)] == [1, 2, 3, 4, 5]
