@@ -17,8 +17,8 @@ BLOCK_ROWS = 4096
 #: Numbers of segments, coarse to fine.
 RESOLUTIONS = (4, 16)
 
-PACKED = "block int, cell int, ids binary, dims int, vectors binary, box binary"
-_PACKED = pa.schema([("block", pa.int32()), ("cell", pa.int32()), ("ids", pa.binary()), ("dims", pa.int32()), ("vectors", pa.binary()), ("box", pa.binary())])
+PACKED = "block int, ids binary, dims int, vectors binary, box binary"
+_PACKED = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("dims", pa.int32()), ("vectors", pa.binary()), ("box", pa.binary())])
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -54,7 +54,7 @@ def most(a: np.ndarray, b: np.ndarray, dims: int) -> float:
 
 def _pack(group: pa.Table) -> pa.Table:
     """One row for each vector length in the block."""
-    ids, block, cell = group["vec_id"].to_numpy(), group["block"][0].as_py(), group["cell"][0].as_py()
+    ids, block = group["vec_id"].to_numpy(), group["block"][0].as_py()
     column = group["v"].combine_chunks()
     lengths = np.diff(column.offsets.to_numpy())
     flat, at = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths)))
@@ -62,13 +62,14 @@ def _pack(group: pa.Table) -> pa.Table:
     for dims in np.unique(lengths):
         own = np.flatnonzero(lengths == dims)
         matrix = flat[(at[own][:, None] + np.arange(dims)).ravel()].astype("<i8").reshape(len(own), dims)
-        rows.append((block, cell, ids[own].astype("<i8").tobytes(), int(dims), matrix.tobytes(), _box(matrix).tobytes()))
+        rows.append((block, ids[own].astype("<i8").tobytes(), int(dims), matrix.tobytes(), _box(matrix).tobytes()))
     return pa.table({n: [r[i] for r in rows] for i, n in enumerate(_PACKED.names)}, schema=_PACKED)
 
 
 def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     """Blocks of about block_rows vectors that are alike: of one cell, which tells the signs of four stretches' sums and the
-    power of two of the norm, dealt out within it by a hash of the id and the row so that no key makes a large block.
+    power of two of the norm, dealt out within it by a hash of the id and the row so that no key makes a large block. Small
+    cells share a block with the next ones.
 
     Only the number of rows in each cell reaches the driver: 16 * 128 numbers at most.
     """
@@ -79,9 +80,13 @@ def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     celled = vectors.withColumn("cell", (signs * 128 + F.least(F.lit(127), F.floor(F.log2(norm + 1)))).cast("int"))
     found = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}
-    parts, first = {c: -(-n // block_rows) for c, n in found.items()}, {}
+    parts, first, block, held = {c: -(-n // block_rows) for c, n in found.items()}, {}, 0, 0
     for c in sorted(found):
-        first[c] = sum(parts[x] for x in first)
+        if held and held + found[c] > block_rows:
+            block, held = block + 1, 0
+        first[c], held = block, held + found[c]
+        if held >= block_rows:
+            block, held = block + parts[c], 0
     if not found:
         return vectors.sparkSession.createDataFrame([], PACKED)
     of_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for c in sorted(values) for x in (c, values[c])]), F.col("cell"))
@@ -89,8 +94,8 @@ def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(_pack, PACKED)
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, resolutions=RESOLUTIONS, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of each query's k best rows here, ties to smaller ids; a query's own id is no candidate.
+def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, resolutions=RESOLUTIONS, known: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query (query id, row id, score) of its k best rows here, ties to smaller ids; a query's own id is no candidate.
 
     The inner product of two segments is m*mean*mean plus their covariance, which the product of deviations bounds; maximal
     inner product is minimal distance up to the norms. Bounds are taken coarse to fine, then survivors are scored exactly.
@@ -120,7 +125,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
             scores = dot(i, own)
             best = np.lexsort((row_ids[own], -scores))[:k]
             found.append((np.full(len(best), query_ids[i]), row_ids[own][best], scores[best].astype(np.int64)))
-    return tuple(np.concatenate(c) if found else np.zeros(0, dtype=np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+    return found
 
 
 def _whole(r: dict, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +139,7 @@ def _joined(k: int, resolutions: tuple[int, ...]):
             for r in batch.to_pylist():
                 (q_ids, q), (ids, x) = _whole(r, "q_ids", "q_vectors"), _whole(r, "ids", "vectors")
                 found = block_top(q, q_ids, x, ids, k, resolutions, np.frombuffer(r["known"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -146,46 +151,44 @@ def _seeded(k: int, resolutions: tuple[int, ...]):
             known = []
             for r in batch.to_pylist():
                 q_ids, q = _whole(r, "q_ids", "q_vectors")
-                least = np.full(len(q_ids), -np.inf)
-                if r["ids"] is not None:
-                    ids, x = _whole(r, "ids", "vectors")
-                    for i in range(len(q_ids)):  # queries may share an id
-                        _, _, score = block_top(q[i : i + 1], q_ids[i : i + 1], x, ids, k, resolutions)
-                        least[i] = score[-1] if len(score) == k else -np.inf
-                known.append(least.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("q_block", "dims", "q_ids", "q_vectors", "q_box")), pa.array(known, pa.binary())], names=["q_block", "dims", "q_ids", "q_vectors", "q_box", "known"])
+                ids, x = _whole(r, "ids", "vectors")
+                found = block_top(q, q_ids, x, ids, k, resolutions)
+                known.append(np.array([float(score[-1]) if len(score) == k else -np.inf for _, _, score in found]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("q_block", "dims", "q_ids", "q_vectors")), pa.array(known, pa.binary())], names=["q_block", "dims", "q_ids", "q_vectors", "known"])
 
     return run
 
 
-def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of blocks in which some query may find a row that is not below what it knows."""
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, the score that no query and row of theirs can exceed."""
     for batch in batches:
-        kept = []
+        bounds = []
         for r in batch.to_pylist():
-            q, x, least = np.frombuffer(r["q_box"]).reshape(2, -1), np.frombuffer(r["box"]).reshape(2, -1), r["least"]
+            q, x = np.frombuffer(r["q_box"]).reshape(2, -1), np.frombuffer(r["box"]).reshape(2, -1)
             slack = 1e-6 * (np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(r["dims"], 1) + 1)
-            kept.append(most(q, x, r["dims"]) + slack >= least)
-        yield batch.select(["q_block", "dims", "block"]).filter(pa.array(kept, pa.bool_()))
+            bounds.append(most(q, x, r["dims"]) + slack)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("q_block", "dims", "block")), pa.array(bounds, pa.float64())], names=["q_block", "dims", "block", "bound"])
 
 
 def plan(queries: DataFrame, rows: DataFrame, k: int, block_rows: int, resolutions: tuple[int, ...] = RESOLUTIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks of queries with the scores that they know, blocks of rows, pairs of them that are to be searched)."""
     x = written(packed(rows, block_rows), "search-rows")
-    q = packed(queries, block_rows).select(F.col("block").alias("q_block"), "cell", F.col("ids").alias("q_ids"), "dims", F.col("vectors").alias("q_vectors"), F.col("box").alias("q_box"))
-    one = x.groupBy("cell", "dims").agg(F.min("block").alias("block"))
-    seed = x.join(one, ["cell", "dims", "block"], "left_semi").select("cell", "dims", "ids", "vectors")
-    known = written(q.join(seed, ["cell", "dims"], "left").mapInArrow(_seeded(k, resolutions), "q_block int, dims int, q_ids binary, q_vectors binary, q_box binary, known binary"), "search-queries")
+    q = written(packed(queries, block_rows).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), "dims", F.col("vectors").alias("q_vectors"), F.col("box").alias("q_box")), "search-queries")
+    # only boxes meet here: 640 bytes for a block of either side
+    last = q.agg(F.max("q_block")).first()[0] or 0
+    every = x.select("dims", "block", "box", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("q_block"))
+    reach = written(q.select("q_block", "dims", "q_box").join(every, ["q_block", "dims"]).mapInArrow(_bounded, "q_block int, dims int, block int, bound double"), "search-bounds")
+    # each query knows its k-th score in the block that promises most
+    seed = reach.groupBy("q_block", "dims").agg(F.max(F.struct("bound", "block")).alias("seed")).select("q_block", "dims", F.col("seed.block").alias("block"))
+    first = q.drop("q_box").join(seed, ["q_block", "dims"]).join(x.select("block", "dims", "ids", "vectors"), ["block", "dims"])
+    known = written(first.mapInArrow(_seeded(k, resolutions), "q_block int, dims int, q_ids binary, q_vectors binary, known binary"), "search-known")
 
     @F.pandas_udf("double")
     def least(values: pd.Series) -> pd.Series:
         return values.map(lambda v: float(np.frombuffer(v).min(initial=np.inf)))
 
-    # only boxes meet here: 640 bytes for a block of either side
-    last = known.agg(F.max("q_block")).first()[0] or 0
-    every = x.select("dims", "block", "box", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("q_block"))
-    boxes = known.select("q_block", "dims", "q_box", least("known").alias("least")).join(every, ["q_block", "dims"])
-    return known, x, boxes.mapInArrow(_reached, "q_block int, dims int, block int")
+    pairs = reach.join(known.select("q_block", "dims", least("known").alias("least")), ["q_block", "dims"]).where("bound >= least").select("q_block", "dims", "block")
+    return known, x, pairs
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = BLOCK_ROWS, resolutions: tuple[int, ...] = RESOLUTIONS) -> DataFrame:
@@ -194,7 +197,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_i
     Ties go to the smaller vec_id, then repeated rows keep one place each. Vectors of other lengths than the query's are no
     candidates. Null vectors, null ids and vectors that hold null or non-finite components take no part; an empty table gives
     no rows; a query's id that stands twice is answered once for all its rows together. Rows and queries are cut into blocks
-    of vectors that are alike. Each query first learns a score from one block of its own cell; a block of rows is sent only to
+    of vectors that are alike. Each query first learns a score from the block whose bound is highest; a block of rows is sent only to
     the blocks of queries for which the bound of both blocks' summaries reaches what some query knows, and there rows are
     bounded coarse to fine. Each pair of blocks is one unit of work of bounded size and returns k rows a query at most.
     """
