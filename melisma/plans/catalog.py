@@ -1,15 +1,15 @@
 """All registered queries of the library proper, and their SQL."""
 
 from ..functions import scalars  # noqa: F401  (registers its operators)
-from ..operators import aggregates, decoders, evidence, joins, quality, scores, sequences  # noqa: F401
-from ..sources import documents
+from ..operators import aggregates, decoders, evidence, joins, phrases, quality, rhythm, scores, sequences  # noqa: F401
+from ..sources import documents, streams
 from ..streaming import jobs
 from .sqlop import REGISTRY
 
 
 def queries() -> dict:
-    return {name: op.query for name, op in REGISTRY.items()} | decoders.QUERIES | documents.QUERIES | jobs.QUERIES
+    return {name: op.query for name, op in REGISTRY.items()} | decoders.QUERIES | phrases.QUERIES | rhythm.QUERIES | documents.QUERIES | streams.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: op.oracle() for name, op in REGISTRY.items()} | documents.ORACLES | jobs.ORACLES
+    return {name: op.oracle() for name, op in REGISTRY.items()} | documents.ORACLES | streams.ORACLES | jobs.ORACLES
