@@ -5,14 +5,14 @@ import json
 import numpy as np
 import pytest
 
-from melisma.operators import phrases, rhythm
+from melisma.operators import anchored, harmony, phrases, rhythm
 from melisma.plans import catalog
 from melisma.sources import streams
 
 CHARACTERS = "song_id long, char_id long, line_id long, text string, start_s double, end_s double, manual boolean"
 
 
-@pytest.mark.parametrize("name", sorted(set(phrases.QUERIES) | set(rhythm.QUERIES) | set(streams.QUERIES)))
+@pytest.mark.parametrize("name", sorted(set(phrases.QUERIES) | set(rhythm.QUERIES) | set(harmony.QUERIES) | set(anchored.QUERIES) | set(streams.QUERIES)))
 def test_queries_run_and_repeat(spark, sf_dir, name):
     first, again = (sorted(map(str, catalog.queries()[name](spark, sf_dir).collect())) for _ in range(2))
     assert first and first == again
@@ -106,3 +106,72 @@ def test_recorded_sent_events(spark):
     bodies = [(1, "\r\n\r\n".join([part("a"), part("no", thought=True), ": note", part("b"), stop, "data: [DONE]"])), (2, part("a")), (3, 'data: {"error":{"message":"quota"}}'), (4, 'data: {"promptFeedback":{"blockReason":"X"}}'), (5, stop), (6, None)]
     got = {r["stream_id"]: (r["text"], r["problem"]) for r in streams.sent_events(spark.createDataFrame(bodies, "stream_id long, body string")).collect()}
     assert got == {1: ("ab", None), 2: ("a", "finish"), 3: ("", "quota"), 4: ("", "blocked"), 5: ("", "empty"), 6: ("", "finish")}
+
+
+def chords(spark, bars, key="C", halves=True, base=None, **more):
+    notes = [(1, m, i, d, 0, 64.0 / (base or {}).get((m, i), 4)) for m, degrees in enumerate(bars) for i, d in enumerate(degrees)]
+    score = spark.createDataFrame([(1, harmony.KEY_NAMES.index(key), 64.0)], "score_id long, do_pc int, capacity double")
+    weights = harmony.tone_weights(spark.createDataFrame(notes, "score_id long, m_idx long, n_idx long, degree long, accidental long, ticks double"), score, halves)
+    return harmony.harmonized(weights, **more).orderBy("m_idx", "from_tick").collect()
+
+
+def test_chords_of_a_written_melody(spark):
+    one = chords(spark, [[1, 3, 5, 1]])
+    assert [(r["label"], r["from_tick"], r["to_tick"]) for r in one] == [("C", 0, 64)]
+    assert [(r["label"], r["support"]) for r in chords(spark, [[2, 4, 6, 2]])] == [("Dm", 1)]
+    assert chords(spark, [[1, 3, 5, 1]], key="G")[0]["label"] == "G"
+    assert [r["m_idx"] for r in chords(spark, [[0, 0, 0, 0], [2, 4, 6, 2]])] == [1]
+    two = chords(spark, [[1, 3, 2, 4]])
+    assert [(r["from_tick"], r["to_tick"]) for r in two] == [(0, 32), (32, 64)] and two[0]["label"] != two[1]["label"]
+    assert len(chords(spark, [[1, 3, 2, 4]], halves=False)) == 1
+
+
+def test_progressions_decide_only_where_the_melody_does_not(spark):
+    assert [r["label"] for r in chords(spark, [[4], [5], [3], [6]], halves=False)] == ["F", "G", "Em", "Am"]
+    assert chords(spark, [[4], [5], [1, 3, 5, 1], [6]], halves=False)[2]["label"] == "C"
+    assert [r["label"] for r in chords(spark, [[4], [5], [0], [3], [6]], halves=False)] != ["F", "G", "Em", "Am"]
+
+
+@pytest.mark.parametrize(("bar", "label"), [([1, 3, 5, 7], "Cmaj7"), ([2, 4, 6, 1], "Dm7"), ([5, 7, 2, 4], "G7")])
+def test_sevenths_are_limited(spark, bar, label):
+    low, high = (chords(spark, [bar] * 10, halves=False, seventh_limit=n) for n in (30, 60))
+    share = lambda marks: sum(r["seventh"] for r in marks) / len(marks)
+    assert share(low) <= 0.3 and share(low) < share(high) <= 0.6 and label in {r["label"] for r in high}
+    assert not any(r["seventh"] for r in chords(spark, [bar] * 10, seventh_limit=0)) and share(chords(spark, [bar] * 10)) <= 0.3
+    assert not any(r["seventh"] for r in chords(spark, [bar], halves=False))
+
+
+def test_short_sevenths_and_extensions(spark):
+    assert chords(spark, [[5, 7, 2, 4]], halves=False, base={(0, 3): 16})[0]["label"] == "G"
+    low, high = (chords(spark, [[1, 3, 7, 2]] * 10, halves=False, seventh_limit=60, color=n) for n in (0, 60))
+    assert not any(r["extended"] for r in low) and 0 < sum(r["extended"] for r in high) <= 4
+
+
+def test_lyrics_anchor_times(spark):
+    text = "天地人你我他好春夏秋冬山水火"
+    sung = [(1, i, c, 10.0 + 2 * i) for i, c in enumerate(text)]
+    written = [(1, i, c, i, 0.5 * i) for i, c in enumerate(text)]
+    a, b = spark.createDataFrame(sung, "pair_id long, place long, text string, at double"), spark.createDataFrame(written, "pair_id long, place long, text string, note_place long, position double")
+    notes = spark.createDataFrame([(1, i, 0.5 * i, 0.5 * i + 0.5) for i in range(-1, 16)], "pair_id long, note_place long, start double, end double")
+    got = {r["note_place"]: (r["start_s"], r["end_s"]) for r in anchored.anchored_times(a, b, notes).collect()}
+    assert got == {i: (10.0 + 2 * i, 12.0 + 2 * i) for i in range(-1, 16)}
+    assert anchored.anchored_times(a.limit(3), b, notes).count() == 0
+
+
+def test_chains_rise_in_every_column():
+    points = np.array([[0, 0, 0, 0], [1, 5, 9, 1], [2, 1, 1, 2], [3, 2, 2, 3]], dtype=float)
+    assert anchored.heaviest_rise(points, np.array([3, 5, 3, 3])) == [0, 2, 3]
+    assert anchored.thinned(np.array([0, 0.5, 2]), np.array([0, 1, 4.0]), np.array([3, 5, 3])) == [1, 2]
+
+
+def test_reads_of_a_measure(spark):
+    rows = [(1, 1, 0, 10.0, None), (1, 2, 0, 50.0, "a"), (1, 3, 1, 20.0, "b"), (1, 4, 1, 80.0, "c"), (1, 5, 1, 90.0, "d"), (1, 6, 1, 52.0, "e")]
+    got = [tuple(r)[1:] for r in anchored.merged_reads(spark.createDataFrame(rows, "measure_id long, place long, second int, x double, lyric string")).collect()]
+    assert got == [(1, 10.0, "b", False), (2, 50.0, "a", False), (4, 80.0, "c", True)]
+
+
+def test_rows_of_a_page(spark):
+    rows = [(1, 1, 0.50, 0.04, False, True), (1, 2, 0.515, 0.04, False, True), (1, 3, 0.10, 0.04, False, True), (1, 4, 0.505, 0.04, True, False), (1, 5, 0.53, 0.04, False, True)]
+    got = [r["page_row"] for r in anchored.baseline_rows(spark.createDataFrame(rows, "page_id long, place long, y double, height double, lyric boolean, music boolean")).orderBy("place").collect()]
+    # the middle of the first row is 0.5075, below the lyric's
+    assert got == [2, 2, 0, 1, 3]
