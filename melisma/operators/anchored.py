@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import adapters
+from .decoders import spread
 
 #: Lengths of lyric phrases that may be landmarks.
 SIZES = (5, 4, 3)
@@ -105,7 +106,7 @@ def merged_reads(notes: DataFrame, near: float = 13.0) -> DataFrame:
                 kept.append([r.place, r.x, r.lyric, bool(r.second)])
         return pd.DataFrame([(key[0], *k) for k in sorted(kept, key=lambda k: k[1])], columns=["measure_id", "place", "x", "lyric", "second"])
 
-    return notes.withColumn("x", F.col("x").cast("double")).groupBy("measure_id").applyInPandas(run, "measure_id long, place long, x double, lyric string, second boolean")
+    return spread(notes.withColumn("x", F.col("x").cast("double")), "measure_id").groupBy("measure_id").applyInPandas(run, "measure_id long, place long, x double, lyric string, second boolean")
 
 
 def baseline_rows(observations: DataFrame) -> DataFrame:
@@ -115,6 +116,7 @@ def baseline_rows(observations: DataFrame) -> DataFrame:
 
     def run(key: tuple, seen: pd.DataFrame) -> pd.DataFrame:
         seen = seen.sort_values("place").reset_index(drop=True)
+        y, height = seen["y"].to_numpy(), seen["height"].to_numpy()
         groups: list[dict] = []
         for r in seen.itertuples():
             fits = (g for g in groups if (g["lyric"] == r.lyric or (g["music"] and r.music)) and abs(g["y"] - r.y) < max(0.018, 0.55 * min(g["height"], r.height)))
@@ -123,12 +125,12 @@ def baseline_rows(observations: DataFrame) -> DataFrame:
                 groups.append({"members": [r.Index], "y": r.y, "height": r.height, "lyric": r.lyric, "music": r.music})
             else:
                 g["members"].append(r.Index)
-                g["y"], g["height"] = (float(np.median(seen.loc[g["members"], c])) for c in ("y", "height"))
+                g["y"], g["height"] = (float(np.median(v[g["members"]])) for v in (y, height))
         groups.sort(key=lambda g: g["y"])
         number = {i: n for n, g in enumerate(groups) for i in g["members"]}
         return pd.DataFrame({"page_id": key[0], "place": seen["place"], "page_row": [number[i] for i in range(len(seen))]})
 
-    return observations.withColumns({c: F.col(c).cast("double") for c in ("y", "height")}).groupBy("page_id").applyInPandas(run, "page_id long, place long, page_row long")
+    return spread(observations.withColumns({c: F.col(c).cast("double") for c in ("y", "height")}), "page_id").groupBy("page_id").applyInPandas(run, "page_id long, place long, page_row long")
 
 
 def _pair(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import KEY_NAMES, SCALE
 from ..sources import adapters
+from .decoders import spread
 
 #: Degrees of common progressions; kinds of chords on the degrees of the scale, plain and with sevenths; intervals.
 PROGRESSIONS = [[4, 5, 3, 6], [4, 5, 3, 6, 2, 5, 1], [1, 5, 6, 4], [6, 4, 1, 5], [1, 6, 4, 5], [1, 6, 2, 5], [2, 5, 1], [1, 5, 6, 3, 4, 1, 4, 5]]
@@ -208,9 +209,7 @@ def harmonized(weights: DataFrame, seventh_limit: float = 30, color: float = 0)
         return out.assign(support=out["support"].astype(float).round(6))
 
     schema = "score_id long, m_idx long, from_tick double, to_tick double, label string, support double, seventh boolean, extended boolean, simplified_from string, alternatives array<string>"
-    # a score's weights are few bytes and much work: without a number the groups would be put into one task
-    parts = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return weights.repartition(parts, "score_id").groupBy("score_id").applyInPandas(run, schema)
+    return spread(weights, "score_id").groupBy("score_id").applyInPandas(run, schema)
 
 
 def _tables(spark, sf_dir):
