@@ -94,19 +94,20 @@ def anchored_times(sung: DataFrame, written: DataFrame, notes: DataFrame) -> Dat
 def merged_reads(notes: DataFrame, near: float = 13.0) -> DataFrame:
     """J7, U5 over (measure_id, place, second, x, lyric): notes of two reads of a measure. One of the second read that lies within
     `near` pixels of the nearest note kept so far is that note, and gives it its lyric where it has none."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["second", "place"])
-        kept: list[list] = []
-        for r in rows.itertuples():
-            nearest = min(kept, key=lambda k: abs(k[1] - r.x), default=None) if r.second else None
-            if nearest is not None and abs(nearest[1] - r.x) < near:
-                nearest[2] = nearest[2] or r.lyric
-            else:
-                kept.append([r.place, r.x, r.lyric, bool(r.second)])
-        return pd.DataFrame([(key[0], *k) for k in sorted(kept, key=lambda k: k[1])], columns=["measure_id", "place", "x", "lyric", "second"])
-
-    return spread(notes.withColumn("x", F.col("x").cast("double")), "measure_id").groupBy("measure_id").applyInPandas(run, "measure_id long, place long, x double, lyric string, second boolean")
+    note = "struct<x:double,place:bigint,lyric:string,second:boolean>"
+    kept = f"array<{note}>"
+    one = lambda r: F.struct(r["x"].alias("x"), r["place"].alias("place"), r["lyric"].alias("lyric"), (r["second"] > 0).alias("second"))
+
+    def met(acc, r):
+        nearest = F.array_min(F.transform(acc, lambda k, i: F.struct(F.abs(k["x"] - r["x"]).alias("apart"), i.alias("i"))))
+        given = F.transform(acc, lambda k, i: F.struct(k["x"].alias("x"), k["place"].alias("place"), F.when(i == nearest["i"], F.coalesce(k["lyric"], r["lyric"])).otherwise(k["lyric"]).alias("lyric"), k["second"].alias("second")).cast(note))
+        return F.when((r["second"] > 0) & F.coalesce(nearest["apart"] < near, F.lit(False)), given).otherwise(F.concat(acc, F.array(one(r).cast(note)))).cast(kept)
+
+    # the notes of one measure are few; they stay one row
+    row = F.struct(F.col("second").cast("int").alias("second"), F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"), F.col("lyric").alias("lyric"))
+    reads = notes.groupBy("measure_id").agg(F.array_sort(F.collect_list(row)).alias("reads"))
+    merged = reads.select("measure_id", F.explode(F.aggregate("reads", F.array().cast(kept), met)).alias("k"))
+    return merged.select("measure_id", "k.place", "k.x", "k.lyric", "k.second")
 
 
 def baseline_rows(observations: DataFrame) -> DataFrame:
