@@ -294,28 +294,31 @@ def guides(answers: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame
     return told.groupBy("node").agg(best).select("node", "best.guide", "best.guide_n", "best.shared")
 
 
-def _met(x: DataFrame, y: DataFrame, told_apart: Column, t: Threshold) -> DataFrame:
-    """(a, b, common, need, sure): each two entries x and y of a list that are told apart and may link, once for each list.
+def _met(x: DataFrame, y: DataFrame, told_apart: Column, t: Threshold, guided: bool = False) -> DataFrame:
+    """(a, b, common, need): each two entries x and y of a list that are told apart and may link, once for each list.
 
-    A list is cut to blocks by the power of two of an entry's place, and an entry meets only the blocks that its own place leaves
-    within reach. Where both sets have one guide, their overlap is bounded from the guide's two answers: what they share inside
-    the guide and outside of it. Pairs below the least are left out; sure pairs link by the lower bound alone.
+    Guided, also (sure): a list is cut to blocks by the power of two of an entry's place, and an entry meets only the blocks that
+    its own place leaves within reach. Where both sets have one guide, their overlap is bounded from the guide's two answers: what
+    they share inside the guide and outside of it. Pairs below the least are left out; sure pairs link by the lower bound alone.
     """
-    reach = F.floor(F.col("n") * F.lit((t.den - t.num) / t.num) + F.lit(1e-6)) + SLACK - F.col("place")
-    block = lambda place: F.floor(F.log2(place + 1)).cast("int")
-    x = x.where(reach >= 0).withColumn("block", F.explode(F.sequence(F.lit(0), block(reach)))).alias("x")
-    y = y.withColumn("block", block(F.col("place"))).alias("y")
+    on = F.col("x.token") == F.col("y.token")
+    if guided:
+        reach = F.floor(F.col("n") * F.lit((t.den - t.num) / t.num) + F.lit(1e-6)) + SLACK - F.col("place")
+        block = lambda place: F.floor(F.log2(place + 1)).cast("int")
+        x, y = x.where(reach >= 0).withColumn("block", F.explode(F.sequence(F.lit(0), block(reach)))), y.withColumn("block", block(F.col("place")))
+        on = on & (F.col("x.block") == F.col("y.block"))
+    x, y = x.alias("x"), y.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     least = F.ceil(F.lit(t.num) * (n + m) / F.lit(t.num + t.den))
     apart = n + m - 2 * least
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES[1:]), F.bit_count(F.col("x.parity0").bitwiseXOR(F.col("y.parity0"))))
-    one_guide = F.coalesce(F.col("x.guide") == F.col("y.guide"), F.lit(False))
-    inside, other = F.col("x.shared"), F.col("y.shared")
-    most = F.least(inside, other) + F.least(n - inside, m - other)
-    sure = one_guide & (inside + other - F.col("x.guide_n") >= least)
-    fits = told_apart & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & ~(one_guide & (most < least)) & (differ <= apart)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & fits)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), F.least(F.lit(COMMON), least).alias("need"), sure.alias("sure"))
+    fits = told_apart & (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & (F.col("x.place") + F.col("y.place") <= apart + SLACK) & (differ <= apart)
+    found = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("common"), F.least(F.lit(COMMON), least).alias("need")]
+    if guided:
+        one_guide, inside, other = F.coalesce(F.col("x.guide") == F.col("y.guide"), F.lit(False)), F.col("x.shared"), F.col("y.shared")
+        fits = fits & ~(one_guide & (F.least(inside, other) + F.least(n - inside, m - other) < least))
+        found.append((one_guide & (inside + other - F.col("x.guide_n") >= least)).alias("sure"))
+    return x.join(y, on & fits).select(*found)
 
 
 def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame]:
@@ -326,14 +329,14 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     lists are cut to shards, and pairs whose sizes or places rule a link out, or that share too few entries, are skipped. In a
     long list all sets are compared with one leader first, the one with the fewest rare shingles of its own, then with others for
     as long as that joins components. What lies in one component by then needs no further comparison: of the rest, only pairs of
-    different components are candidates. A long list's blocks of places beyond an entry's reach are skipped, parity words that
-    each set carries along rule out most pairs that differ too much, and the answers of a set's guide, the leader most like it,
-    bound its own: a pair of one guide is left out or linked without a look at the sets where these bounds decide. Every other
-    candidate is verified on whole sets, and every pair of texts that links lies in one component, as all-pairs comparison would
-    put it.
+    different components are candidates, and parity words that each set carries along rule out most of those that differ too
+    much. Every candidate is verified on whole sets, and every pair of texts that links lies in one
+    component, as all-pairs comparison would put it.
 
     The links are not those that components were made of, but all: they are planned here and computed only where a caller reads
-    them, by comparing all entries of long lists too. Their number grows with the square of a group of near copies.
+    them, by comparing entries of long lists too, where blocks of places beyond an entry's reach are skipped. A set's links are derived
+    from the answers of its guide, the leader most like it: a pair of one guide is left out or linked without a look at the sets
+    where the guide's two answers decide. Their number grows with the square of a group of near copies.
 
     Texts without words (null too) have 0 shingles, no node and their own id as component. Null ids take part, but a component's
     id is the smallest one that is not null. Repeated rows stay. An empty table gives no rows.
@@ -368,15 +371,9 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
         small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         texts = rows.join(small, rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
         sets = written(texts.mapInArrow(_whole(level, t.k), "node long, keys binary"), "jaccard-whole")
-        return written(verify(candidates, sets, t), label)
+        return written(verify(candidates, sets, t).where("linked").select("a", "b"), label)
 
-    answers = verified(pairs, "jaccard-answers")
-    links = answers.where("linked").select("a", "b")
-    guide = written(guides(answers, leaders, first), "jaccard-guides")
-
-    def decided(candidates: DataFrame, label: str) -> DataFrame:
-        """Links among candidates (a, b, sure): the sure ones, and those that whole sets confirm."""
-        return verified(candidates.where(~F.col("sure")), label).where("linked").select("a", "b").unionByName(candidates.where("sure").select("a", "b"))
+    links = verified(pairs, "jaccard-links")
 
     joined = components(links)
 
@@ -384,25 +381,25 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
         """Entries of the long lists that hold sets of different components, as of now."""
         entry = long.join(joined, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
         mixed = entry.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-        return written(entry.join(mixed, "token", "left_semi").join(first.select("node", *PARITIES), "node").join(guide, "node", "left"), "jaccard-left")
+        return written(entry.join(mixed, "token", "left_semi").join(first.select("node", *PARITIES), "node"), "jaccard-left")
 
     entry = left()
     for turn in range(LEADER_ROUNDS):
         # another leader of each list, the same in all lists that it is in where it can be
         head = entry.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[c for c in entry.columns if c != "token"])).alias("head")).select("token", "head.*")
         told_apart = F.col("x.label") != F.col("y.label")
-        more = written(_met(head, entry, told_apart, t).select("a", "b", "sure").distinct(), "jaccard-led")
-        if more.isEmpty() or (fresh := decided(more, "jaccard-more")).isEmpty():
+        more = written(_met(head, entry, told_apart, t).select("a", "b").distinct(), "jaccard-led")
+        if more.isEmpty() or (fresh := verified(more, "jaccard-more")).isEmpty():
             break
         links = links.unionByName(fresh)
         joined = components(links)
         entry = left()
     # sets of different components are left
-    both = written(_met(entry, entry, F.col("x.label") < F.col("y.label"), t).groupBy("a", "b", "sure").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
+    both = written(_met(entry, entry, F.col("x.label") < F.col("y.label"), t).groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need")), "jaccard-mixed")
     if not both.isEmpty():
         short = found.where(F.col("kind") == PAIR).join(both.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("place").alias("short"))
-        rest = both.join(short, ["a", "b"], "left").where(F.col("common") + F.coalesce("short", F.lit(0)) >= F.col("need")).select("a", "b", "sure")
-        more = decided(written(rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-rest"), "jaccard-more")
+        rest = both.join(short, ["a", "b"], "left").where(F.col("common") + F.coalesce("short", F.lit(0)) >= F.col("need")).select("a", "b")
+        more = verified(written(rest.join(pairs, ["a", "b"], "left_anti"), "jaccard-rest"), "jaccard-more")
         if not more.isEmpty():
             links = links.unionByName(more)
             joined = components(links)
@@ -418,11 +415,13 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
     empty = own.where("n = 0").select("doc_id", "row_key", "node", F.lit(None).cast("long").alias("group"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     result = texts.join(hot, "node").select(*columns).unionByName(texts.join(hot, "node", "left_anti").join(by_node.where(~many).drop("copies"), "node").select(*columns)).unionByName(empty)
     # all links, within components too; nothing runs before they are read
+    every = rows.select("text").mapInArrow(_whole(level, t.k), "node long, keys binary").dropDuplicates(["node"])
+    guide = guides(verify(pairs, every, t), leaders, first)
     whole = long.join(first.select("node", *PARITIES), "node").join(guide, "node", "left")
-    shared = _met(whole, whole, F.col("x.node") < F.col("y.node"), t).unionByName(found.where(F.col("kind") == PAIR).select("a", "b", F.col("place").alias("common"), F.col("n").alias("need"), F.lit(False).alias("sure")))
+    shared = _met(whole, whole, F.col("x.node") < F.col("y.node"), t, guided=True).unionByName(found.where(F.col("kind") == PAIR).select("a", "b", F.col("place").alias("common"), F.col("n").alias("need"), F.lit(False).alias("sure")))
     candidates = shared.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("need").alias("need"), F.max("sure").alias("sure")).where("common >= need")
-    every = rows.select("text").mapInArrow(_whole(level, t.k), "node long, keys binary").dropDuplicates(["node"])
-    return result, verify(candidates.where(~F.col("sure")).select("a", "b"), every, t).where("linked").select("a", "b").unionByName(candidates.where("sure").select("a", "b"))
+    derived = candidates.where("sure").select("a", "b")
+    return result, verify(candidates.where(~F.col("sure")).select("a", "b"), every, t).where("linked").select("a", "b").unionByName(derived)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
