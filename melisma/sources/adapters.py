@@ -9,6 +9,8 @@ chords(score_id, measure_id, label): a chord label of each measure, from orders.
 scores(score_id, score_key, bpm, meter, capo): the head of each score, from orders.
 characters(song_id, char_id, line_id, text, start_s, end_s, manual): timed lyric characters, from events.
 chroma(window_id, song_id, pc, weight): twelve pitch-class weights of each window, from embeddings.
+suggestions, lyric_edits, bar_marks: edits of the notes; frames(song_id, frame, pitch, voiced, confidence, energy, onset): what a pitch
+    detector found in each frame; emissions(frame, token, sound, log_p): log probabilities of syllables and what they sound like.
 lines(conv_id, turn, role, text): lyric lines in order, from conversations.
 library(project_id, revision, published_at, title, status): published snapshots, from orders.
 """
@@ -58,7 +60,23 @@ VIEWS = {
         FROM (SELECT user_id, event_id, r, round((r - 1) * 7e-1 + (event_id % 5) * 11e-2, 3) AS s
               FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS r FROM {events}) AS x) AS e""",
 }
-TABLES = {"note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders", "chords": "orders", "scores": "orders", "characters": "events"}
+#: Edits of notes, and evidence before the notes: frames of a detector, emissions of syllables.
+VIEWS |= {
+    "suggestions": f"""
+        SELECT score_id, note_id, CASE WHEN note_id % 5 = 0 THEN 'missing' ELSE 'difference' END AS kind, CASE note_id % 3 WHEN 0 THEN 'pitch' WHEN 1 THEN 'length' ELSE 'both' END AS wants,
+               degree % 7 + 1 AS source_degree, octave AS source_octave, CAST(0 AS BIGINT) AS source_accidental, CAST(4 AS INT) AS source_base, 1 - dots AS source_dots, score_id % 4 > 0 AS same_key, note_id % 13 = 0 AS tuplet
+        FROM ({VIEWS["notes"]}) AS s WHERE note_id % 6 < 4""",
+    "lyric_edits": f"""
+        SELECT score_id, note_id * 10 + k AS seq, note_id - note_id % 3 AS note_id, (note_id + k) % 6 AS verse, CASE WHEN (note_id + k) % 4 = 0 THEN ' ' WHEN note_id % 31 = 0 THEN repeat('la', 50) ELSE concat(' la', CAST(k AS VARCHAR(2))) END AS text
+        FROM ({VIEWS["notes"]}) AS s CROSS JOIN (VALUES (0), (1)) AS d(k)""",
+    "bar_marks": f"SELECT score_id, note_id AS mark_id, source_s + (note_id % 9 - 4) * 1e-1 AS at FROM ({VIEWS['notes']}) AS s WHERE n_idx = 1 AND source_s IS NOT NULL",
+    "frames": """
+        SELECT user_id AS song_id, r AS frame, CASE WHEN event_id % 29 > 0 THEN 55 + (CAST(floor(r / 14) AS BIGINT) * 5) % 9 + (event_id % 5 - 2) * 3e-2 + CASE WHEN r % 14 = 0 THEN -8e-1 ELSE 0e0 END END AS pitch,
+               event_id % 31 > 0 AND r % 70 < 66 AS voiced, CASE WHEN event_id % 17 = 0 THEN 2e-1 ELSE 5e-1 + (event_id % 5) * 1e-1 END AS confidence, CASE WHEN r % 14 = 0 THEN 5e-2 ELSE 3e-1 + (event_id % 3) * 1e-2 END AS energy, r % 14 = 1 AS onset
+        FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS r FROM {events}) AS e""",
+    "emissions": "SELECT event_id AS frame, CAST(k AS BIGINT) AS token, CAST(floor(k / 2e0) AS BIGINT) AS sound, ln((1 + (event_id * (k + 3)) % 7) / 4e1) AS log_p FROM {events} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS d(k)",
+}
+TABLES = {"note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders", "chords": "orders", "scores": "orders", "characters": "events", "suggestions": "lineitem", "lyric_edits": "lineitem", "bar_marks": "lineitem", "frames": "events", "emissions": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
