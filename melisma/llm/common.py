@@ -55,3 +55,20 @@ def whole_row(df: DataFrame) -> Column:
 
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: A key is hot if more than 1/HOT_KEYS of all rows ask for it: there are fewer such keys than HOT_KEYS.
+HOT_KEYS = 1000
+
+
+def looked_up(many: DataFrame, one: DataFrame, keys: list[str], asked: str, total: int) -> DataFrame:
+    """Left join of many rows with one row a key, where some keys may be asked for by a large part of all rows.
+
+    asked is one's column that tells how many rows of many have the key, total is their sum. Hot keys, fewer than HOT_KEYS,
+    are looked up by broadcast; for the others a key's rows are at most total / HOT_KEYS.
+    """
+    is_hot = F.col(asked) * HOT_KEYS > F.lit(total)
+    hot, rest = one.where(is_hot), one.where(~is_hot)
+    near = many.join(F.broadcast(hot), keys, "inner")
+    far = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left")
+    return near.unionByName(far)
