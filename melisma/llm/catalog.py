@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import fingerprints, jaccard, langid, licenses, lm, mixing, packing, search, secrets, sharding
+from . import clustering, fingerprints, jaccard, langid, licenses, lm, mixing, packing, search, secrets, sharding, trie
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,8 +18,10 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op7_topk_search": search.op7_topk_search,
     "op9_mixing": mixing.op9_mixing,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_centroids": clustering.op13_centroids,
 }
-ORACLES = {"op8_jaccard_join": jaccard.ORACLE, "op7_topk_search": search.ORACLE}
+ORACLES = {"op8_jaccard_join": jaccard.ORACLE, "op7_topk_search": search.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_centroids": clustering.ORACLE}
 
 
 def queries() -> dict:
