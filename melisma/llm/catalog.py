@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import clustering, fingerprints, jaccard, langid, licenses, lm, mixing, packing, search, secrets, sharding, trie
+from . import clustering, fingerprints, jaccard, langid, licenses, lm, mixing, neighbours, packing, search, secrets, sharding, trie
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op7_topk_search": search.op7_topk_search,
     "op9_mixing": mixing.op9_mixing,
+    "op11_neighbours": neighbours.op11_neighbours,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_centroids": clustering.op13_centroids,
 }
