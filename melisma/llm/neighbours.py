@@ -224,10 +224,11 @@ class Queries:
         self.y = projected(self.x, self.directions)
         self.known = np.frombuffer(r["known"]).copy() if r["known"] else np.full(len(self.ids), np.inf)
         self.best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in self.ids]
+        self.margin = 0.0
 
     def radius(self, i: int) -> float:
-        """Rows whose projected squared distance is beyond this are no neighbours, by the chi-square test."""
-        return self.stop * self.known[i] * self.known[i]
+        """Rows whose projected squared distance is beyond this are no neighbours, by the chi-square test; with room for rounding."""
+        return self.stop * self.known[i] * self.known[i] + self.margin
 
     def meet(self, r: dict, kind: str, at_home: bool) -> None:
         """Search a block of rows: leaves in the order of their projected distance, until the test holds for the next one."""
@@ -236,7 +237,10 @@ class Queries:
         y = projected(x, self.directions)
         lo, hi = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
         ends = np.append(starts[1:], len(ids))
-        mine = np.flatnonzero(self.cells == r["cell"]) if at_home else np.arange(len(self.ids))
+        self.margin = (1e-9 * (np.abs(y).max(initial=0) + np.abs(self.y).max(initial=0))) ** 2
+        # what was searched at home isn't searched again
+        own = self.cells == r["cell"]
+        mine = np.flatnonzero(own if at_home else ~own if r["home"] else np.ones(len(own), dtype=bool))
         if not len(mine):
             return
         away = np.zeros((len(mine), len(starts)))
@@ -264,17 +268,14 @@ class Queries:
             self.known[i] = min(self.known[i], d[order[-1]])
 
 
-_STREAM = ["q_block", "slice", "kind", "bound", "block", "cell", "dims", "ids", "x", "extra", "known"]
-
-
 def _searched(k: int, m: int, seed: int, stop: float, kind: str, at_home: bool):
-    """Stream blocks of rows past their block of queries, nearest first. At home: return the distances known after the search."""
+    """Stream blocks of rows past their block of queries, nearest first. At home: also return the distances known after the search."""
 
     def answer(r: dict, q: Queries) -> pa.RecordBatch:
+        found = [np.repeat(q.ids, [len(d) for d, _ in q.best]), np.concatenate([i for _, i in q.best]), np.concatenate([d for d, _ in q.best])]
         if at_home:
-            return pa.RecordBatch.from_arrays([pa.array([r["q_block"]], pa.int32()), pa.array([q.known.tobytes()], pa.binary())], names=["q_block", "known"])
-        ids = np.repeat(q.ids, [len(d) for d, _ in q.best])
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([i for _, i in q.best])), pa.array(np.concatenate([d for d, _ in q.best]))], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([r["q_block"]], pa.int32()), pa.array([q.known.tobytes()], pa.binary()), *(pa.array([c]) for c in found)], names=["q_block", "known", "query_ids", "vec_ids", "scores"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, q = None, None
@@ -320,8 +321,8 @@ def _needed(index: Index, boxes: dict[int, list[tuple[int, list[float], list[flo
 def _streams(q: DataFrame, x: DataFrame, pairs: DataFrame, slices: int) -> DataFrame:
     """Each block of queries, followed by the blocks of rows that it is to meet, in slices of about SLICE blocks."""
     heads = q.join(pairs.select(F.col("q_block").alias("block"), "slice").distinct(), "block")
-    left = heads.select(F.col("block").alias("q_block"), "slice", F.lit(0).alias("kind"), F.lit(-1.0).alias("bound"), "block", "cell", "dims", "ids", "x", "extra", "known")
-    right = pairs.join(x, "block").select("q_block", "slice", F.lit(1).alias("kind"), "bound", "block", "cell", "dims", "ids", "x", "extra", F.lit(None).cast("binary").alias("known"))
+    left = heads.select(F.col("block").alias("q_block"), "slice", F.lit(0).alias("kind"), F.lit(-1.0).alias("bound"), F.lit(False).alias("home"), "block", "cell", "dims", "ids", "x", "extra", "known")
+    right = pairs.join(x, "block").select("q_block", "slice", F.lit(1).alias("kind"), "bound", "home", "block", "cell", "dims", "ids", "x", "extra", F.lit(None).cast("binary").alias("known"))
     return left.unionByName(right).repartition(slices, "q_block", "slice").sortWithinPartitions("q_block", "slice", "kind", "bound", "block")
 
 
@@ -376,9 +377,10 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int = 10, m: int = DIRECT
     # at home: one block of each query's own cell
     homes = asked.select(F.col("block").alias("q_block"), F.explode(F.expr("cast(lo as array<int>)")).alias("cell"))
     leading = blocks.groupBy("cell").agg(F.min("block").alias("block"))
-    home = homes.join(leading, "cell").select("q_block", "block", F.lit(0).alias("slice"), F.lit(0.0).alias("bound"))
+    home = homes.join(leading, "cell").select("q_block", "block", F.lit(0).alias("slice"), F.lit(0.0).alias("bound"), F.lit(True).alias("home"))
     fresh = asked.withColumn("known", F.lit(None).cast("binary"))
-    known = _streams(fresh, payload, home, min(n_asked, 20_000)).mapInArrow(_searched(k, m, seed, stop, kind, True), "q_block int, known binary")
+    known = _streams(fresh, payload, home, min(n_asked, 20_000)).mapInArrow(_searched(k, m, seed, stop, kind, True), "q_block int, known binary, query_ids array<long>, vec_ids array<long>, scores array<double>")
+    # a block's lists hold k numbers for each of its queries
     ready = written(asked.join(known.withColumnRenamed("q_block", "block"), "block", "left"), "neighbour-known")
     # boxes of cells: fewer than CELLS and one for each further length
     edge = blocks.groupBy("cell", "dims").agg(*[F.min(F.get("lo", F.lit(i))).alias(f"lo{i}") for i in range(m)], *[F.max(F.get("hi", F.lit(i))).alias(f"hi{i}") for i in range(m)])
@@ -387,10 +389,12 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int = 10, m: int = DIRECT
         boxes.setdefault(r["dims"], []).append((r["cell"], [r[f"lo{i}"] for i in range(m)], [r[f"hi{i}"] for i in range(m)]))
     slices = -(-n_blocks // SLICE)
     open_cells = ready.select("block", "dims", "x", "known").mapInArrow(_needed(index, boxes, stop), "q_block int, cell int, bound double")
-    pairs = open_cells.join(blocks.select("block", "cell"), "cell").select("q_block", "block", F.pmod("block", F.lit(slices)).alias("slice"), "bound")
+    pairs = open_cells.join(blocks.select("block", "cell"), "cell").join(leading.withColumnRenamed("block", "leading"), "cell")
+    pairs = pairs.select("q_block", "block", F.pmod("block", F.lit(slices)).alias("slice"), "bound", (F.col("block") == F.col("leading")).alias("home"))
     met = _streams(ready, payload, written(pairs, "neighbour-pairs"), min(n_asked * slices, 20_000)).mapInArrow(_searched(k, m, seed, stop, kind, False), "query_id long, vec_id long, score double")
+    at_home = ready.select(F.explode(F.arrays_zip("query_ids", "vec_ids", "scores")).alias("r")).select("r.query_ids", "r.vec_ids", "r.scores").toDF("query_id", "vec_id", "score")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.unionByName(at_home).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
