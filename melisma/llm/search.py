@@ -16,6 +16,8 @@ from .common import row_key, table, written
 BLOCK_ROWS = 4096
 #: Numbers of segments, coarse to fine.
 RESOLUTIONS = (4, 16)
+#: Blocks of rows that one task streams past a block of queries.
+SLICE = 16
 
 PACKED = "block int, ids binary, dims int, vectors binary, box binary"
 _PACKED = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("dims", pa.int32()), ("vectors", pa.binary()), ("box", pa.binary())])
@@ -94,12 +96,33 @@ def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(_pack, PACKED)
 
 
+_END = 2**63 - 1
+
+
+def reached(score: int) -> float:
+    """What a score tells of those below it: at the lower end of longs, nothing."""
+    return float(score) if score > -_END else -np.inf
+
+
+def products(queries: np.ndarray, rows: np.ndarray):
+    """A function (i, own) of the exact inner products of query i with those rows, as longs; sums beyond a long stand at its ends."""
+    size = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    reach = max(1, queries.shape[1]) * size(queries) * size(rows)
+    if reach < 2**52:
+        q, x = queries.astype(np.float64), rows.astype(np.float64)
+        return lambda i, own: (x[own] @ q[i]).astype(np.int64)
+    if reach < 2**62:
+        return lambda i, own: rows[own] @ queries[i]
+    q, x = queries.astype(object), rows.astype(object)
+    return lambda i, own: np.array([min(max(v, -_END), _END) for v in (x[own] * q[i]).sum(1).tolist()] if len(own) else [], dtype=np.int64)
+
+
 def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, resolutions=RESOLUTIONS, known: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query (query id, row id, score) of its k best rows here, ties to smaller ids; a query's own id is no candidate.
 
     The inner product of two segments is m*mean*mean plus their covariance, which the product of deviations bounds; maximal
-    inner product is minimal distance up to the norms. Bounds are taken coarse to fine, then survivors are scored exactly.
-    Rows below the scores known for the queries may be left out.
+    inner product is minimal distance up to the norms. Bounds, in doubles with a margin, are taken coarse to fine, then
+    survivors are scored exactly in integers. Rows below the scores known for the queries may be left out.
     """
     known = np.full(len(queries), -np.inf) if known is None else known
     order = np.argsort(row_ids, kind="stable")
@@ -107,8 +130,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
     q, x = queries.astype(np.float64), rows.astype(np.float64)
     levels = [(_summaries(q, s), _summaries(x, s)) for s in resolutions if x.shape[1]]
     slack = 1e-6 * (np.abs(q).sum(1).max(initial=0) * np.abs(x).max(initial=0) + 1)
-    exact_int = bool(np.abs(q).sum(1).max(initial=0) * np.abs(x).max(initial=0) < 2**52)
-    dot = (lambda i, own: x[own] @ q[i]) if exact_int else (lambda i, own: np.array([sum(int(a) * int(b) for a, b in zip(queries[i], r, strict=True)) for r in rows[own]], dtype=np.float64))
+    dot = products(queries, rows)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo in range(0, len(q), 256):
         coarse = levels[0][0][lo : lo + 256] @ levels[0][1].T if levels else np.zeros((len(q[lo : lo + 256]), len(x)))
@@ -118,13 +140,13 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
             own = np.flatnonzero(others & (bound + slack >= known[i]))
             if len(own) > k:
                 first = own[np.argpartition(-bound[own], k - 1)[:k]]
-                least = max(np.sort(dot(i, first))[0], known[i])
+                least = max(reached(dot(i, first).min()), known[i])
                 own = own[bound[own] + slack >= least]
                 for fine_q, fine_x in levels[1:]:
                     own = own[fine_x[own] @ fine_q[i] + slack >= least]
             scores = dot(i, own)
             best = np.lexsort((row_ids[own], -scores))[:k]
-            found.append((np.full(len(best), query_ids[i]), row_ids[own][best], scores[best].astype(np.int64)))
+            found.append((np.full(len(best), query_ids[i]), row_ids[own][best], scores[best]))
     return found
 
 
@@ -133,13 +155,31 @@ def _whole(r: dict, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
     return found, np.frombuffer(r[vectors], dtype="<i8").reshape(len(found), r["dims"])
 
 
-def _joined(k: int, resolutions: tuple[int, ...]):
+def _streamed(k: int, resolutions: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block of queries, followed by the blocks of rows that promise it most: each raises what the next ones must reach."""
+        q_ids, q, known, best = np.zeros(0, dtype=np.int64), None, None, []
+        names, kinds = ["query_id", "vec_id", "score"], pa.int64()
+
+        def answer() -> pa.RecordBatch:
+            held = [np.concatenate(c) if best else np.zeros(0, dtype=np.int64) for c in zip(*best, strict=True)] if best else [np.zeros(0, dtype=np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, type=kinds) for c in (np.repeat(q_ids, [len(ids) for ids, _ in best]), *held)], names=names)
+
         for batch in batches:
             for r in batch.to_pylist():
-                (q_ids, q), (ids, x) = _whole(r, "q_ids", "q_vectors"), _whole(r, "ids", "vectors")
-                found = block_top(q, q_ids, x, ids, k, resolutions, np.frombuffer(r["known"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                if r["kind"] == 0:
+                    yield answer()
+                    q_ids, q = _whole(r, "ids", "vectors")
+                    known, best = np.frombuffer(r["known"]).copy(), [(np.zeros(0, dtype=np.int64),) * 2 for _ in q_ids]
+                elif -r["order"] >= known.min(initial=np.inf):
+                    ids, x = _whole(r, "ids", "vectors")
+                    for i, (_, near, score) in enumerate(block_top(q, q_ids, x, ids, k, resolutions, known)):
+                        near, score = np.concatenate((best[i][0], near)), np.concatenate((best[i][1], score))
+                        top = np.lexsort((near, -score))[:k]
+                        best[i] = (near[top], score[top])
+                        if len(top) == k:
+                            known[i] = max(known[i], reached(score[top[-1]]))
+        yield answer()
 
     return run
 
@@ -153,7 +193,7 @@ def _seeded(k: int, resolutions: tuple[int, ...]):
                 q_ids, q = _whole(r, "q_ids", "q_vectors")
                 ids, x = _whole(r, "ids", "vectors")
                 found = block_top(q, q_ids, x, ids, k, resolutions)
-                known.append(np.array([float(score[-1]) if len(score) == k else -np.inf for _, _, score in found]).tobytes())
+                known.append(np.array([reached(score[-1]) if len(score) == k else -np.inf for _, _, score in found]).tobytes())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("q_block", "dims", "q_ids", "q_vectors")), pa.array(known, pa.binary())], names=["q_block", "dims", "q_ids", "q_vectors", "known"])
 
     return run
@@ -187,25 +227,30 @@ def plan(queries: DataFrame, rows: DataFrame, k: int, block_rows: int, resolutio
     def least(values: pd.Series) -> pd.Series:
         return values.map(lambda v: float(np.frombuffer(v).min(initial=np.inf)))
 
-    pairs = reach.join(known.select("q_block", "dims", least("known").alias("least")), ["q_block", "dims"]).where("bound >= least").select("q_block", "dims", "block")
+    pairs = reach.join(known.select("q_block", "dims", least("known").alias("least")), ["q_block", "dims"]).where("bound >= least").select("q_block", "dims", "block", "bound")
     return known, x, pairs
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block_rows: int = BLOCK_ROWS, resolutions: tuple[int, ...] = RESOLUTIONS) -> DataFrame:
     """Each query's k rows of highest integer inner product: (query_id, rank, vec_id, score).
 
-    Ties go to the smaller vec_id, then repeated rows keep one place each. Vectors of other lengths than the query's are no
+    Ties go to the smaller vec_id, then repeated rows keep one place each. Scores are exact integers of any size that a long
+    holds; sums beyond stand at its ends. Vectors of other lengths than the query's are no
     candidates. Null vectors, null ids and vectors that hold null or non-finite components take no part; an empty table gives
     no rows; a query's id that stands twice is answered once for all its rows together. Rows and queries are cut into blocks
     of vectors that are alike. Each query first learns a score from the block whose bound is highest; a block of rows is sent only to
-    the blocks of queries for which the bound of both blocks' summaries reaches what some query knows, and there rows are
-    bounded coarse to fine. Each pair of blocks is one unit of work of bounded size and returns k rows a query at most.
+    the blocks of queries for which the bound of both blocks' summaries reaches what some query knows. There they stream past
+    their block of queries, SLICE to a task, the most promising first, each raising what the next must reach, and rows are
+    bounded coarse to fine. A task holds one block of each and returns k rows a query at most.
     """
     known, x, pairs = plan(whole_vectors(queries, id_col, vector_col, scale), whole_vectors(rows, id_col, vector_col, scale), k, block_rows, tuple(resolutions))
-    pairs = written(pairs, "search-pairs")
-    shipped = pairs.join(x.select("block", "dims", "ids", "vectors"), ["block", "dims"]).join(known.select("q_block", "dims", "q_ids", "q_vectors", "known"), ["q_block", "dims"])
-    spread = shipped.select("dims", "ids", "vectors", "q_ids", "q_vectors", "known").repartition(max(1, min(200_000, pairs.count())))
-    best = spread.mapInArrow(_joined(k, tuple(resolutions)), "query_id long, vec_id long, score long")
+    pairs = written(pairs.withColumn("slice", F.expr(f"block div {SLICE}")), "search-pairs")
+    columns = ["q_block", "dims", "slice", "kind", "order", "ids", "vectors", "known"]
+    heads = pairs.select("q_block", "dims", "slice").distinct().join(known, ["q_block", "dims"]).select("q_block", "dims", "slice", F.lit(0).alias("kind"), F.lit(0.0).alias("order"), F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), "known")
+    sent = pairs.join(x.select("block", "dims", "ids", "vectors"), ["block", "dims"]).select("q_block", "dims", "slice", F.lit(1).alias("kind"), (-F.col("bound")).alias("order"), "ids", "vectors", F.lit(None).cast("binary").alias("known"))
+    groups = pairs.select("q_block", "dims", "slice").distinct().count()
+    spread = heads.unionByName(sent).select(*columns).repartition(max(1, min(200_000, groups)), "q_block", "dims", "slice").sortWithinPartitions("q_block", "dims", "slice", "kind", "order")
+    best = spread.mapInArrow(_streamed(k, tuple(resolutions)), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
