@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,23 @@ def row_key(*cols: str) -> Column:
 
 def whole_row(df: DataFrame) -> Column:
     """A 64-bit hash of all columns, which orders rows that share a key: only equal rows can't be told apart."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
+#: The columns of documents, which stages may name; all others are set aside while they work.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def set_aside(df: DataFrame, named: tuple[str, ...] = DOCUMENT) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(df with all but the named columns in one struct, a function that puts a result's columns back as they were).
+
+    So no column of df, whatever its name, meets one that an operator makes: those begin with an underscore or are new.
+    """
+    names = df.columns
+    rest = [c for c in names if c not in named]
+    inside = {c: f"_{i}" for i, c in enumerate(rest)}
+    packed = df.select(*[F.col(f"`{c}`") for c in names if c in named], F.struct(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()]).alias("_rest")) if rest else df
+    return packed, lambda done: done.select(*[F.col("_rest")[inside[c]].alias(c) if c in inside else F.col(f"`{c}`") for c in names])
 
 
 def lower_ascii(col: Column) -> Column:

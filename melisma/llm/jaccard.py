@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table, whole_row, written
+from .common import row_key, set_aside, table, whole_row, written
 from .components import components
 from .vectors import LOWER, Chunk, chunks, give_back, mix, shingles, word_hashes, words
 
@@ -426,7 +426,9 @@ def join(docs: DataFrame, t: Threshold = Threshold(), id_col: str = "doc_id", te
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) stays: that of the smallest id, of
-    equal ids that of the smallest hash of id and text, of equal texts too that of the smallest hash of all columns. Rows without words are in no group and stay."""
+    equal ids that of the smallest hash of id and text, of equal texts too that of the smallest hash of all columns. Rows without words are in no group and stay.
+    Columns beside those of documents, whatever their names, go along."""
+    docs, back = set_aside(docs)
     found, _ = join(docs, Threshold())
     keep = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("kept")).select(F.col("kept.row_key").alias("_kept")).distinct()
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
@@ -434,7 +436,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # rows of one id and text are one document
     first = F.row_number().over(Window.partitionBy("_key").orderBy(whole_row(docs))) == 1
     empty = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return matched.withColumn("_first", first).where(empty | (F.col("_kept").isNotNull() & F.col("_first"))).select(*docs.columns)
+    return matched.withColumn("_first", first).where(empty | (F.col("_kept").isNotNull() & F.col("_first"))).transform(back)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole_row, written
+from .common import set_aside, table, whole_row, written
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -127,7 +127,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: rows of no copies go, rows of two stand twice. Equal rows count as a group."""
+    """Documents as often as the mix takes them: rows of no copies go, rows of two stand twice. Equal rows count as a group;
+    columns beside those of documents, whatever their names, go along."""
+    docs, back = set_aside(docs)
     own = docs.withColumn("_key", row_key(F.col("doc_id").cast("long"), word_count("text"), F.col("source").cast("string")))
     picked = mix(sized(docs)).groupBy(F.col("row_key").alias("_match")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     joined = own.join(picked, own["_key"] == picked["_match"])
@@ -135,4 +137,4 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     place = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", whole_row(docs)))
     joined = joined.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(1))
     times = F.expr("_copies div _rows") + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
-    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).transform(back)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import forest
-from .common import table
+from .common import set_aside, table
 
 #: A run of 16 or more token letters that holds a digit, or a cloud key id; a run is tried at its start alone.
 CANDIDATE = r"(?<![A-Za-z0-9_/+-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_/+-])|(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+={0,2})"
@@ -170,12 +170,13 @@ def scan(docs: DataFrame, trees: list[forest.Node], least: float = LEAST_SCORE,
 
 
 def redacted(docs: DataFrame, trees: list[forest.Node], least: float = LEAST_SCORE, mask: str = MASK, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """docs with each secret in the text replaced by the mask; all else, and all rows, stay."""
+    """docs with each secret in the text replaced by the mask; all else, and all rows and columns, stay."""
+    docs, back = set_aside(docs, (text_col, path_col))
     out = scored(docs, trees, text_col, path_col)
     parts = F.transform("_found", lambda c, i: F.concat(F.get("_pieces", i), F.when(c["score"] >= least, F.lit(mask)).otherwise(c["candidate"])))
     text = F.concat(F.array_join(parts, ""), F.element_at("_pieces", -1))
     changed = F.exists("_found", lambda c: c["score"] >= least)
-    return out.withColumn(text_col, F.when(changed, text).otherwise(F.col(text_col))).drop("_pieces", "_found")
+    return back(out.withColumn(text_col, F.when(changed, text).otherwise(F.col(text_col))))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Small tables with the cases that every operator must stand: nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import re
+from pathlib import Path
+
+from melisma import llm
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 ODD = [
@@ -30,6 +35,12 @@ def clashing(spark, rows=ODD):
     return frame(spark, rows).withColumns(extra)
 
 
+def own_names():
+    """Every column name beginning with an underscore that the subpackage uses."""
+    code = "".join(p.read_text() for p in Path(llm.__file__).parent.glob("*.py"))
+    return sorted(set(re.findall(r"""["'](_[a-z_0-9]+)["']""", code)) | {"_rest", "_0", "_1"})
+
+
 def saved(spark, tmp_path, rows=ODD, name="documents"):
     frame(spark, rows).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
     return str(tmp_path)

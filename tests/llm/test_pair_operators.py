@@ -6,13 +6,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from melisma.llm import jaccard, mixing, packing, search
+from melisma.llm.common import written
 from melisma.llm.components import components
 
-from .helpers import clashing, documents, frame, saved
+from .helpers import clashing, documents, frame, own_names, saved
 
 
 def brute_search(rows, k):
@@ -282,3 +284,16 @@ def test_search_with_repeated_query_ids(spark):
     df = spark.createDataFrame([*rows, rows[20], rows[20]], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in search.top_k(df.where("vec_id = 20"), df, 5, block_rows=16).collect()]
     assert [r[1] for r in sorted(got)] == [1, 2, 3, 4, 5]
+
+
+def test_stages_keep_columns_named_as_their_own(spark):
+    names = own_names()
+    assert {"_copies", "_match", "_rows", "_key", "_found", "_pieces", "_texts"} <= set(names)
+    docs = frame(spark).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce("doc_id", F.lit(0)).cast("string")) for n in names}).withColumn("a.b", F.create_map(F.lit("k"), "doc_id"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names, "a.b"]
+        docs = written(docs, "clash")
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} of {r['doc_id'] or 0}" for r in rows for n in names) and all(r["a.b"] == {"k": r["doc_id"]} for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
