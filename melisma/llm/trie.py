@@ -58,7 +58,8 @@ def ordered_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     )
     order = ["conv_id", "turn", "a", "b", "row"]
     names = ["part", "conv_id", "a", "b", "words"]
-    parts = small.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # written, so that texts are read once, and not again to find the ranges
+    parts = written(small, "turn-hashes").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     numbered = written(parts.select(*names).mapInArrow(_streamed(["conv_id"], names), "part int, conv_id long, a long, b long, words long, at long"), "turns")
     edges = Window.partitionBy("conv_id").orderBy("part")
     counts = numbered.groupBy("conv_id", "part").agg(F.max("at").alias("n"))
