@@ -1,14 +1,14 @@
 """All registered queries of the library proper, and their SQL."""
 
 from ..functions import scalars  # noqa: F401  (registers its operators)
-from ..operators import aggregates, anchored, decoders, edits, evidence, harmony, joins, phrases, quality, rhythm, scores, sequences  # noqa: F401
+from ..operators import aggregates, anchored, cores, decoders, edits, evidence, harmony, joins, phrases, quality, rhythm, scores, sequences  # noqa: F401
 from ..sources import documents, score_documents, streams
 from ..streaming import jobs
 from .sqlop import REGISTRY
 
 
 def queries() -> dict:
-    return {name: op.query for name, op in REGISTRY.items()} | decoders.QUERIES | phrases.QUERIES | rhythm.QUERIES | harmony.QUERIES | anchored.QUERIES | documents.QUERIES | score_documents.QUERIES | streams.QUERIES | jobs.QUERIES
+    return {name: op.query for name, op in REGISTRY.items()} | cores.QUERIES | decoders.QUERIES | phrases.QUERIES | rhythm.QUERIES | harmony.QUERIES | anchored.QUERIES | documents.QUERIES | score_documents.QUERIES | streams.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,9 @@ from ..sources import adapters
 DIALECT = {
     "quartile1": ("percentile({x}, 25e-2)", "quantile_cont({x}, 25e-2)"),
     "quartile3": ("percentile({x}, 75e-2)", "quantile_cont({x}, 75e-2)"),
+    "lower_of": ("percentile({x}, 25e-2) OVER {y}", "quantile_cont({x}, 25e-2) OVER {y}"),
+    "middle_of": ("percentile({x}, 5e-1) OVER {y}", "quantile_cont({x}, 5e-1) OVER {y}"),
+    "upper_of": ("percentile({x}, 75e-2) OVER {y}", "quantile_cont({x}, 75e-2) OVER {y}"),
     "words": ("split(trim(regexp_replace({x}, '[ \\\\n]+', ' ')), ' ')", "string_split(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g')), ' ')"),
     "replace_all": ("regexp_replace({x}, {y}, {z})", "regexp_replace({x}, {y}, {z}, 'g')"),
     "each_below": ("LATERAL VIEW explode(sequence(0, CAST({x} AS INT) - 1)) AS {y}", "CROSS JOIN unnest(range(CAST({x} AS INTEGER))) AS unnested({y})"),

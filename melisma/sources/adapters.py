@@ -71,9 +71,12 @@ VIEWS |= {
         FROM ({VIEWS["notes"]}) AS s CROSS JOIN (VALUES (0), (1)) AS d(k)""",
     "bar_marks": f"SELECT score_id, note_id AS mark_id, source_s + (note_id % 9 - 4) * 1e-1 AS at FROM ({VIEWS['notes']}) AS s WHERE n_idx = 1 AND source_s IS NOT NULL",
     "frames": """
-        SELECT user_id AS song_id, r AS frame, CASE WHEN event_id % 29 > 0 THEN 55 + (CAST(floor(r / 14) AS BIGINT) * 5) % 9 + (event_id % 5 - 2) * 3e-2 + CASE WHEN r % 14 = 0 THEN -8e-1 ELSE 0e0 END END AS pitch,
-               event_id % 31 > 0 AND r % 70 < 66 AS voiced, CASE WHEN event_id % 17 = 0 THEN 2e-1 ELSE 5e-1 + (event_id % 5) * 1e-1 END AS confidence, CASE WHEN r % 14 = 0 THEN 5e-2 ELSE 3e-1 + (event_id % 3) * 1e-2 END AS energy, r % 14 = 1 AS onset
-        FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS r FROM {events}) AS e""",
+        SELECT user_id AS song_id, r AS frame, CASE WHEN event_id % 29 > 0 THEN 55 + (block * 5) % 9 + (event_id % 5 - 2) * 1e-2
+                    + CASE WHEN block % 3 = 1 THEN CASE WHEN k < 5 THEN -11e-1 WHEN k < 9 THEN (k - 9) * 22e-2 ELSE 0e0 END
+                           WHEN block % 3 = 2 THEN CASE WHEN k < 5 THEN k * 28e-2 WHEN k < 9 THEN (9 - k) * 25e-2 ELSE 0e0 END WHEN k = 0 THEN -8e-1 ELSE 0e0 END END AS pitch,
+               event_id % 31 > 0 AND r % 70 < 66 AS voiced, CASE WHEN event_id % 17 = 0 THEN 2e-1 ELSE 5e-1 + (event_id % 5) * 1e-1 END AS confidence,
+               CASE WHEN k = 0 OR k = 6 AND block % 2 = 0 OR k = 15 AND block % 6 = 0 THEN 5e-2 ELSE 3e-1 + (event_id % 3) * 1e-2 END AS energy, k = 1 OR k = 7 AND block % 2 = 0 OR k = 16 AND block % 6 = 0 AS onset
+        FROM (SELECT user_id, event_id, r, CAST(floor(r / 2e1) AS BIGINT) AS block, r % 20 AS k FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS r FROM {events}) AS x) AS e""",
     "emissions": "SELECT event_id AS frame, CAST(k AS BIGINT) AS token, CAST(floor(k / 2e0) AS BIGINT) AS sound, ln((1 + (event_id * (k + 3)) % 7) / 4e1) AS log_p FROM {events} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS d(k)",
 }
 TABLES = {"note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders", "chords": "orders", "scores": "orders", "characters": "events", "suggestions": "lineitem", "lyric_edits": "lineitem", "bar_marks": "lineitem", "frames": "events", "emissions": "events"}
