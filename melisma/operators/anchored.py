@@ -113,11 +113,13 @@ def merged_reads(notes: DataFrame, near: float = 13.0) -> DataFrame:
 def baseline_rows(observations: DataFrame) -> DataFrame:
     """X24 over (page_id, place, y, height, lyric, music): the printed row of each observation, by its middle. An observation joins
     the first row of its kind (lyrics or not, or both mostly music) whose median lies within .55 of the smaller height, .018 at
-    least; rows are numbered from the top."""
+    least; rows are numbered from the top. Where observations have ys and heights, those of their glyphs, a row's medians are over
+    glyphs; of an even number, the upper one."""
 
     def run(key: tuple, seen: pd.DataFrame) -> pd.DataFrame:
         seen = seen.sort_values("place").reset_index(drop=True)
-        y, height = seen["y"].to_numpy(), seen["height"].to_numpy()
+        glyphs = {c: [np.asarray(v, dtype=float) for v in seen[f"{c}s"]] if f"{c}s" in seen else [np.array([v]) for v in seen[c]] for c in ("y", "height")}
+        upper = lambda v: float(np.sort(v)[len(v) // 2])
         groups: list[dict] = []
         for r in seen.itertuples():
             fits = (g for g in groups if (g["lyric"] == r.lyric or (g["music"] and r.music)) and abs(g["y"] - r.y) < max(0.018, 0.55 * min(g["height"], r.height)))
@@ -126,7 +128,7 @@ def baseline_rows(observations: DataFrame) -> DataFrame:
                 groups.append({"members": [r.Index], "y": r.y, "height": r.height, "lyric": r.lyric, "music": r.music})
             else:
                 g["members"].append(r.Index)
-                g["y"], g["height"] = (float(np.median(v[g["members"]])) for v in (y, height))
+                g["y"], g["height"] = (upper(np.concatenate([glyphs[c][i] for i in g["members"]])) for c in ("y", "height"))
         groups.sort(key=lambda g: g["y"])
         number = {i: n for n, g in enumerate(groups) for i in g["members"]}
         return pd.DataFrame({"page_id": key[0], "place": seen["place"], "page_row": [number[i] for i in range(len(seen))]})
