@@ -13,6 +13,12 @@ from ..sources import adapters
 
 #: What a line keeps for matching: letters, digits and underscores.
 _DROPPED = r"[^\pL\pN_]"
+
+def _apart(df: DataFrame) -> DataFrame:
+    """df under columns of its own, so that it can be grouped with another that comes from the same table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 WINDOWS = "song_id long, line_id long, start_s double, end_s double, similarity double, manual boolean, anchor_places array<int>, anchor_times array<double>"
 
 
@@ -77,7 +83,7 @@ def manual_windows(lines: DataFrame, words: DataFrame, matches: DataFrame) -> Da
     Occurrences are joined; a song's are dealt out in one fold."""
     known = matches.withColumns({"anchor_places": F.coalesce("anchor_places", F.array().cast("array<int>")), "anchor_times": F.coalesce("anchor_times", F.array().cast("array<double>"))})
     clean = lines.withColumn("text", _cleaned("text"))
-    return occurrences(clean, words).groupBy("song_id").cogroup(known.groupBy("song_id")).applyInPandas(_placed, WINDOWS)
+    return occurrences(clean, words).groupBy("song_id").cogroup(_apart(known).groupBy("song_id")).applyInPandas(_placed, WINDOWS)
 
 
 #: What credits call those who made a song.
@@ -156,7 +162,7 @@ def _kept_words(key: tuple, words: pd.DataFrame, spans: pd.DataFrame) -> pd.Data
 def credit_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """DQ11: words (song_id, word_id, text) of the recognizer, and which of them belong to a block of credits of the song's text."""
     spans = credit_spans(texts).join(texts.select("song_id", "text"), "song_id")
-    return words.select("song_id", "word_id", "text").groupBy("song_id").cogroup(spans.groupBy("song_id")).applyInPandas(_kept_words, "song_id long, word_id long, text string, credit boolean").where("word_id IS NOT NULL")
+    return words.select("song_id", "word_id", "text").groupBy("song_id").cogroup(_apart(spans).groupBy("song_id")).applyInPandas(_kept_words, "song_id long, word_id long, text string, credit boolean").where("word_id IS NOT NULL")
 
 
 def _songs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
