@@ -95,11 +95,11 @@ WITH t AS (SELECT song_id, CAST(floor((start_s - min(start_s) OVER (PARTITION BY
 SELECT song_id, bar, count(*) AS onsets FROM t WHERE bar < 4 GROUP BY song_id, bar
 """, "AG22: onsets in each of the first four bars")
 rhythm_anchor = operator("rhythm_anchor", "note_events", """
-WITH b AS (SELECT song_id, event_id, start_s FROM {note_events} WHERE NOT uncertain),
-p AS (SELECT x.song_id, x.event_id, sum(1e0 / (1 + abs(y.start_s - x.start_s) / 2e0)) AS score, count(*) AS agreeing FROM b AS x JOIN b AS y ON x.song_id = y.song_id AND y.start_s BETWEEN x.start_s - 8e0 AND x.start_s + 8e0 GROUP BY x.song_id, x.event_id),
+WITH b AS (SELECT song_id, event_id, start_s, CAST(floor(start_s / 8e0) AS BIGINT) AS slot FROM {note_events} WHERE NOT uncertain), n AS (SELECT song_id, event_id, start_s, slot + i AS slot FROM b CROSS JOIN (VALUES (-1), (0), (1)) AS d(i)),
+p AS (SELECT x.song_id, x.event_id, sum(1e0 / (1 + abs(y.start_s - x.start_s) / 2e0)) AS score, count(*) AS agreeing FROM n AS x JOIN b AS y ON x.song_id = y.song_id AND x.slot = y.slot AND y.start_s BETWEEN x.start_s - 8e0 AND x.start_s + 8e0 GROUP BY x.song_id, x.event_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY round(score, 6) DESC, event_id) AS rank FROM p)
 SELECT song_id, event_id, agreeing, round(score, 6) AS score FROM r WHERE rank = 1
-""", "AG23: the downbeat that most others agree with, by a bounded self range join")
+""", "AG23: the downbeat that most others agree with, within 8 s, by slots as long and their neighbours")
 issue_density = operator("issue_density", "note_events", """
 WITH s AS (SELECT song_id, min(start_s) AS a, max(start_s) AS b FROM {note_events} GROUP BY song_id)
 SELECT e.song_id, CAST(least(179, floor((e.start_s - s.a) / (s.b - s.a) * 180)) AS BIGINT) AS bin, count(*) AS issues

@@ -6,7 +6,9 @@ their keys. Every function sorts by explicit keys first, so results don't depend
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -78,22 +80,26 @@ def _letters(text: str | None) -> np.ndarray:
 
 def correct_text(pairs: DataFrame, most: float = 0.6) -> DataFrame:
     """DP1, DP2 over (pair_id, heard, correct): edit distance, whether it is close enough, characters that keep their time, and the local
-    score. A text without letters, or a pair over MOST_CELLS, is not aligned: all characters differ."""
+    score. Of a text without letters all characters differ. A pair over MOST_CELLS is refused: no figures, and the reason `size`."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples():
             a, b = _letters(r.heard), _letters(r.correct)
-            if not len(a) or not len(b) or (len(a) + 1) * (len(b) + 1) > MOST_CELLS:
-                out.append((r.pair_id, max(len(a), len(b)), False, 0, 0.0))
+            if (len(a) + 1) * (len(b) + 1) > MOST_CELLS:
+                out.append((r.pair_id, None, None, None, None, "size"))
+                continue
+            if not len(a) or not len(b):
+                out.append((r.pair_id, max(len(a), len(b)), False, 0, 0.0, None))
                 continue
             same = a[:, None] == b[None, :]
             total, kept = align_globally(np.where(same, 0.0, -1.0), -1.0)
             local, _ = align_locally(np.where(same, 2.0, -1.1), -0.8)
-            out.append((r.pair_id, int(-total), bool(-total / max(len(a), len(b)) <= most), int(sum(same[i, j] for i, j in kept)), round(local, 4)))
-        return pd.DataFrame(out, columns=["pair_id", "distance", "accepted", "kept", "local_score"])
+            out.append((r.pair_id, int(-total), bool(-total / max(len(a), len(b)) <= most), int(sum(same[i, j] for i, j in kept)), round(local, 4), None))
+        found = pd.DataFrame(out, columns=["pair_id", "distance", "accepted", "kept", "local_score", "refused"])
+        return found.astype({"distance": "Int64", "kept": "Int64", "accepted": "boolean", "local_score": "Float64"})
 
-    schema = "pair_id long, distance long, accepted boolean, kept long, local_score double"
+    schema = "pair_id long, distance long, accepted boolean, kept long, local_score double, refused string"
     return pairs.mapInPandas(lambda batches: (run(b) for b in batches), schema)
 
 
@@ -426,38 +432,97 @@ def align_phrases(lines: DataFrame, blank: int = 0) -> DataFrame:
     return lines.groupBy("line_id").applyInPandas(run, "line_id long, token_place long, frame_from long, frame_to long, probability double")
 
 
-#: Open strings of a guitar from low to high.
+#: Open strings of a guitar from low to high, and the shapes that players know.
 STRINGS = [40, 45, 50, 55, 59, 64]
-
-
-def fingering(root: int, intervals: list[int]) -> list[int]:
-    """SC18: the easiest frets (-1: muted) of a chord with its root in the bass, within four frets; what is easy is stated in `price`."""
-    wanted = {(root + i) % 12 for i in intervals}
-    grids = []
+SHAPES = {
+    "C": [-1, 3, 2, 0, 1, 0], "Cm": [-1, 3, 5, 5, 4, 3], "D": [-1, -1, 0, 2, 3, 2], "Dm": [-1, -1, 0, 2, 3, 1], "E": [0, 2, 2, 1, 0, 0], "Em": [0, 2, 2, 0, 0, 0], "F": [1, 3, 3, 2, 1, 1], "G": [3, 2, 0, 0, 0, 3],
+    "A": [-1, 0, 2, 2, 2, 0], "Am": [-1, 0, 2, 2, 1, 0], "B7": [-1, 2, 1, 2, 0, 2], "C7": [-1, 3, 2, 3, 1, 0], "D7": [-1, -1, 0, 2, 1, 2], "E7": [0, 2, 0, 1, 0, 0], "G7": [3, 2, 0, 0, 0, 1], "A7": [-1, 0, 2, 0, 2, 0],
+    "Am7": [-1, 0, 2, 0, 1, 0], "Dm7": [-1, -1, 0, 2, 1, 1], "Bm": [-1, 2, 4, 4, 3, 2], "Bdim": [-1, 2, 3, 4, 3, -1], "F#dim": [-1, -1, 4, 2, 1, 2], "Gmaj7": [3, 2, 0, 0, 0, 2], "Bm7": [-1, 2, 4, 2, 3, 2], "Gbm": [2, 4, 4, 2, 2, 2],
+    "Gbm7": [2, 4, 2, 2, 2, 2], "Dmaj7": [-1, -1, 0, 2, 2, 2], "Cadd9": [-1, 3, 2, 0, 3, 3], "Fadd9": [-1, -1, 3, 2, 1, 3], "Dadd9": [-1, 5, 4, 2, 5, -1], "Cmaj9": [-1, 3, 2, 4, 3, -1], "Dm9": [-1, 5, 3, 5, 5, -1], "G13": [3, -1, 3, 4, 5, -1],
+    "D13": [-1, 5, -1, 5, 7, 7], "Am9": [-1, 0, 5, 5, 0, 0], "Cmaj7": [-1, 3, 2, 0, 0, 0], "Fmaj7": [-1, -1, 3, 2, 1, 0], "Em7": [0, 2, 0, 0, 0, 0],
+}
+_LABEL = re.compile(r"([A-G])([#b]?)((?:m|maj|dim|aug|sus2|sus4|sus|add9|madd9)?(?:7|9|11|13)?)(?:/([A-G])([#b]?))?")
+_LETTERS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
+
+
+@dataclass(frozen=True)
+class Voicing:
+    """Pitch classes a chord may sound and those it must, its root, and the bass it names."""
+
+    root: int
+    may: frozenset[int]
+    must: frozenset[int]
+    bass: int | None
+
+
+def voicing(label: str) -> Voicing | None:
+    """SC18: what a label asks of a hand; extended chords may leave fifths and inner extensions out. None of an unknown label."""
+    m = _LABEL.fullmatch(label)
+    if not m:
+        return None
+    pc = lambda letter, sign: (_LETTERS[letter] + {"#": 1, "b": -1}.get(sign, 0)) % 12
+    root, kind = pc(m[1], m[2]), m[3]
+    minor, dim = kind.startswith("m") and not kind.startswith("maj"), kind.startswith("dim")
+    third = 2 if kind.startswith("sus2") else 5 if kind.startswith("sus") else 3 if dim or minor else 4
+    steps = [0, third, 6 if dim else 8 if kind.startswith("aug") else 7]
+    number = re.search(r"(7|9|11|13)$", kind)
+    added, high = "add" in kind, int(number[1]) if number else 0
+    seventh = 11 if kind.startswith("maj") else 9 if dim else 10
+    steps += [seventh] * (high > 0 and not added) + [2] * (high >= 9) + [5] * (high >= 11) + [9] * (high >= 13)
+    must = steps
+    if high >= 9:
+        must = [0, third] + [seventh] * (not added) + [{9: 2, 11: 5, 13: 9}[high]]
+    elif high == 7:
+        must = [0, third, seventh]
+    of = lambda xs: frozenset((root + x) % 12 for x in xs)
+    return Voicing(root, of(steps), of(must), pc(m[4], m[5]) if m[4] else None)
+
+
+def fingering(label: str) -> list[int]:
+    """SC18: the frets (-1: muted) of a label: the shape that players know, if it does, else the easiest within four frets; what is
+    easy is stated in `price`. Empty for a label that is none or that no hand can reach."""
+    chord = voicing(label)
+    if chord is None:
+        return []
+    grids = [np.array([SHAPES[label]])] if label in SHAPES else []
+    best = _easiest(grids, chord) if grids else []
+    if best:
+        return best
     for base in range(1, 10):
-        choices = [[-1] + [f for f in sorted({0, *range(base, base + 4)}) if (s + f) % 12 in wanted] for s in STRINGS]
+        choices = [[-1] + [f for f in sorted({0, *range(base, base + 4)}) if (s + f) % 12 in chord.may] for s in STRINGS]
         grids.append(np.stack([g.ravel() for g in np.meshgrid(*choices, indexing="ij")], 1))
+    return _easiest(grids, chord)
+
+
+def _easiest(grids: list[np.ndarray], chord: Voicing) -> list[int]:
     frets = np.unique(np.concatenate(grids), axis=0)
-    pitch = np.where(frets >= 0, frets + np.array(STRINGS), 999)
+    sounds = frets >= 0
+    pitch = np.where(sounds, frets + np.array(STRINGS), 999)
     pressed = np.where(frets > 0, frets, 99).min(1)
     span = np.where(frets.max(1) > 0, frets.max(1) - np.minimum(pressed, frets.max(1)), 0)
-    complete = np.all([((pitch % 12 == p) & (frets >= 0)).any(1) for p in wanted], axis=0)
-    barred = ((frets == pressed[:, None]) & (frets > 0)).sum(1) >= 2
-    # a bar is laid where four fingers don't do; under it all strings between its ends sound at its fret or above
-    low = (frets == pressed[:, None]).argmax(1)
-    high = 5 - (frets == pressed[:, None])[:, ::-1].argmax(1)
+    complete = np.all([((pitch % 12 == p) & sounds).any(1) for p in chord.must], axis=0) & (np.isin(pitch % 12, list(chord.may)) | ~sounds).all(1)
+    first = (frets == pressed[:, None]) & (frets > 0)
+    # a bar is laid where the lowest fret stands twice and nothing between its ends sounds below
+    low, high = first.argmax(1), 5 - first[:, ::-1].argmax(1)
     between = (np.arange(6) >= low[:, None]) & (np.arange(6) <= high[:, None])
-    barred &= ~(between & (frets == 0)).any(1) & ((frets > 0).sum(1) > 4)
-    fingers = (frets > 0).sum(1) - np.where(barred, ((frets == pressed[:, None]) & (frets > 0)).sum(1) - 1, 0)
-    fits = complete & (pitch.min(1) % 12 == root) & ((frets >= 0).sum(1) >= 3) & (span <= 3) & (fingers <= 4)
-    price = 0.7 * (frets < 0).sum(1) + 0.5 * span + 0.12 * frets.max(1) + 0.8 * barred
-    return frets[fits][price[fits].argmin()].tolist() if fits.any() else []
+    barred = (first.sum(1) >= 2) & ~(between & sounds & (frets < pressed[:, None])).any(1)
+    fingers = (frets > 0).sum(1) - np.where(barred, first.sum(1) - 1, 0)
+    bass = chord.root if chord.bass is None else chord.bass
+    fits = complete & (pitch.min(1) % 12 == bass) & (sounds.sum(1) >= 3) & (span <= 3) & (fingers <= 4)
+    price = 0.7 * (~sounds).sum(1) + 0.5 * span + 0.12 * frets.max(1) + 0.8 * barred + 0.6 * (pitch.min(1) % 12 != chord.root)
+    return frets[fits][np.round(price[fits], 9).argmin()].tolist() if fits.any() else []
+
+
+def fingerings(chords: DataFrame) -> DataFrame:
+    """SC18 over (score_id, measure_id, label): each chord with the frets of its label. A label is searched once, however often it
+    stands, in Arrow batches of the distinct labels; unknown labels have no frets."""
+    labels = chords.select("label").where("label IS NOT NULL").distinct()
 
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame({"label": rows["label"], "frets": [fingering(x) for x in rows["label"]]})
 
-def fingerings(spark: SparkSession) -> DataFrame:
-    """(root, kind, frets) of the 60 chords: a dimension table, made once and joined."""
-    rows = [(root, kind, fingering(root, intervals)) for root in range(12) for kind, intervals in CHORDS.items()]
-    return spark.createDataFrame(rows, "root int, kind string, frets array<int>")
+    return chords.select("score_id", "measure_id", "label").join(labels.mapInPandas(run, "label string, frets array<int>"), "label", "left")
 
 
 # --- the decoders on the driver's tables --------------------------------------------------------------------------------
@@ -509,6 +574,6 @@ QUERIES = {
     "row_packing": lambda s, d: pack_rows(adapters.view(s, d, "notes").groupBy("score_id", "m_idx").agg((F.count(F.lit(1)) * 90.0).alias("width"), (F.col("m_idx") % 8 == 0).alias("break_before"))),
     "tempo_autocorrelation": lambda s, d: tempo(_onsets(s, d), 0.125),
     "core_groups": lambda s, d: group_cores(_onsets(s, d).select("song_id", F.col("event_id").alias("place"), F.col("pitch_center").alias("center"), F.col("confidence").alias("length"))),
-    "guitar_fingerings": lambda s, d: fingerings(s),
+    "guitar_fingerings": lambda s, d: fingerings(adapters.view(s, d, "chords")),
     "hann_spectrum": lambda s, d: spectrum(_onsets(s, d).select("song_id", F.expr("row_number() OVER (PARTITION BY song_id ORDER BY unit, event_id)").alias("place"), F.col("pitch_center").alias("x"))),
 }

@@ -1,5 +1,8 @@
 """Chord labels, key votes, lyric placement, edits and windows: evidence composed from the canonical tables."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.fixed import KEY_NAMES, MAJOR, MINOR, SCALE, rows
 from ..functions.scalars import MIDI, TICKS
 from ..plans.sqlop import operator
@@ -59,9 +62,11 @@ anchor = operator("anchor_do", "notes", f"""
 SELECT note_id, CAST(((({MIDI}) - CASE degree {' '.join(f'WHEN {i + 1} THEN {v}' for i, v in enumerate(SCALE))} END - accidental) % 12 + 12) % 12 AS BIGINT) AS do_pc FROM {{notes}} WHERE degree > 0
 """, "SC5: Do from a note of known degree")
 width = operator("lyric_widths", "lines", "SELECT conv_id, turn, CAST(9 * length(text) + 9 * [[count_of:text|'[⺀-￿]']] AS BIGINT) AS width FROM {lines} WHERE text IS NOT NULL", "SC10: 18 for a wide character, 9 for another")
+#: White space between words, the wide blank too.
+SPACES = " \n\t\r\u00a0\u3000"
 tokens = operator("lyric_tokens", "lines", f"""
-WITH t AS (SELECT conv_id, turn, trim(text) AS text FROM {{lines}} WHERE text IS NOT NULL AND trim(text) <> '')
-SELECT conv_id, turn, CASE WHEN [[matches:text|'[ \\n\\t]']] THEN [[replace_all:text|'[ \\n\\t]+'|'¦']] WHEN [[matches:text|'[㐀-鿿]']] THEN [[tokens_of:text|'.[{MARKS}]*']] ELSE text END AS tokens FROM t
+WITH w AS (SELECT conv_id, turn, [[strip:text|'{SPACES}']] AS text FROM {{lines}} WHERE text IS NOT NULL), t AS (SELECT * FROM w WHERE text <> '')
+SELECT conv_id, turn, CASE WHEN [[matches:text|'[{SPACES}]']] THEN [[replace_all:text|'[{SPACES}]+'|'¦']] WHEN [[matches:text|'[㐀-鿿]']] THEN [[tokens_of:text|'.[{MARKS}]*']] ELSE text END AS tokens FROM t
 """, "SC11: words, or wide characters with the marks after them, joined by broken bars")
 aliases = operator("glyph_digits", "lines", """
 WITH g AS (SELECT conv_id, turn, CAST(i AS BIGINT) AS place, substr(text, CAST(i AS INT) + 1, 1) AS glyph FROM (SELECT conv_id, turn, text, length(text) AS n FROM {lines} WHERE length(text) > 0) AS x [[each_below:n|i]])
@@ -143,15 +148,15 @@ x AS (SELECT f.song_id, max(abs(b.t - (f.anchor_s + b.bar * f.bar_s))) AS err FR
 SELECT f.song_id, f.bars, round(f.bar_s, 5) AS bar_s, round(f.anchor_s, 4) AS anchor_s, round(24e1 / f.bar_s, 3) AS bpm, round(x.err, 4) AS error_s,
        CASE WHEN round(24e1 / f.bar_s, 6) < 40 OR round(24e1 / f.bar_s, 6) > 240 THEN 'tempo' WHEN round(x.err, 6) > greatest(12e-2, 6e-2 * f.bar_s) THEN 'uneven' ELSE 'accepted' END AS decision FROM f JOIN x ON x.song_id = f.song_id
 """, "AG18: bar length, anchor and tempo by regression over marked bars of four beats; rejected beyond 40 to 240 bpm or where a mark is off by more than .12 s and 6 % of a bar")
-gap_votes = operator("gap_pitch_votes", "note_events", f"""
+gap_votes = operator("gap_pitch_votes", "note_events song_keys", f"""
 WITH g AS (SELECT song_id, event_id, end_s AS a, lead(start_s) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS b FROM {{note_events}} WHERE NOT uncertain),
 p AS (SELECT *, CAST(floor(a / 2e0) AS BIGINT) AS first_slot, CAST(floor(b / 2e0) AS BIGINT) - CAST(floor(a / 2e0) AS BIGINT) + 1 AS slots FROM g WHERE round(b - a, 9) >= 8e-2),
 q AS (SELECT song_id, event_id, a, b, first_slot + i AS slot FROM p [[each_below:slots|i]]),
-v AS (SELECT q.song_id, q.event_id, e.midi, count(*) AS n, round(sum(e.confidence), 6) AS weight FROM q JOIN {{note_events}} AS e ON e.song_id = q.song_id AND CAST(floor(e.start_s / 2e0) AS BIGINT) = q.slot AND e.start_s >= q.a AND e.start_s < q.b
-  WHERE e.uncertain AND e.confidence >= 35e-2 AND ((e.midi % 12) + 12) % 12 IN ({', '.join(map(str, SCALE))}) GROUP BY q.song_id, q.event_id, e.midi),
+v AS (SELECT q.song_id, q.event_id, e.midi, count(*) AS n, round(sum(e.confidence), 6) AS weight FROM q JOIN {{song_keys}} AS k ON k.song_id = q.song_id JOIN {{note_events}} AS e ON e.song_id = q.song_id AND CAST(floor(e.start_s / 2e0) AS BIGINT) = q.slot AND e.start_s >= q.a AND e.start_s < q.b
+  WHERE e.uncertain AND e.confidence >= 35e-2 AND (((e.midi - k.do_pc) % 12) + 12) % 12 IN ({', '.join(map(str, SCALE))}) GROUP BY q.song_id, q.event_id, e.midi),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id, event_id ORDER BY weight DESC, midi) AS rank FROM v WHERE n >= 2)
 SELECT song_id, event_id, midi, n, weight FROM r WHERE rank = 1
-""", "AG28: pitch of a gap by weighted votes of uncertain frames in it, of two at least, natural degrees alone")
+""", "AG28: pitch of a gap by weighted votes of uncertain frames in it, of two at least, degrees of the song's own key alone")
 
 #: Nearest note of each character within 1.2 s of its middle, by slots of 4 s: the distance to the note's span, the earliest on a tie.
 PLACED_CHARS = """
@@ -201,10 +206,15 @@ SELECT score_id, bar, beat, round(end_s * (bar + beat * 1e0 / meter) / bars, 5)
 distinct_ids = operator("distinct_anchors", "notes", f"SELECT score_id, count(DISTINCT degree) AS degrees, count(DISTINCT {MIDI}) AS pitches, count(*) AS anchors FROM {{notes}} WHERE degree > 0 GROUP BY score_id", "U4: distinct degrees and pitches of a score's anchors")
 projects = operator("project_list", "library", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY revision DESC) AS latest FROM {library} WHERE title IS NOT NULL AND audio_offset IS NOT NULL)
-SELECT project_id, revision, title, CAST(row_number() OVER (PARTITION BY project_id % 64 ORDER BY revision DESC, project_id) AS BIGINT) AS place FROM r WHERE latest = 1
-""", "IO10: each project's latest readable record, the most changed first within each shelf")
+SELECT project_id, revision, title, published_at FROM r WHERE latest = 1
+""", "IO10: each project's latest readable record with its time, by which a reader orders: listed()")
 mono = operator("mono_channels", "note_events", """
 WITH s AS (SELECT song_id, pitch_center - 6e1 AS left_x, CASE WHEN song_id % 3 = 0 THEN 59e0 - pitch_center ELSE midi - 6e1 END AS right_x FROM {note_events}),
 a AS (SELECT song_id, sqrt(avg(left_x * left_x)) AS left_rms, sqrt(avg(right_x * right_x)) AS right_rms, sqrt(avg((left_x + right_x) * (left_x + right_x) / 4)) AS mixed FROM s GROUP BY song_id)
 SELECT song_id, round(mixed / greatest(left_rms, right_rms, 1e-9), 6) AS phase_ratio, CASE WHEN round(mixed / greatest(left_rms, right_rms, 1e-9), 9) >= 35e-2 THEN 'mean' WHEN round(left_rms - right_rms, 9) >= 0 THEN 'channel-0' ELSE 'channel-1' END AS channel FROM a
 """, "SG12: the mean of two channels, or the louder one where they cancel each other")
+
+
+def listed(library: DataFrame) -> DataFrame:
+    """IO10: the projects of `library`, the latest changed first; unreadable records are left out."""
+    return projects(library).orderBy(F.desc("published_at"), "project_id")

@@ -18,21 +18,23 @@ WITH {PLACED}, r AS (SELECT p.measure_id, w.half, p.note_id, ({MIDI}) AS midi, r
 SELECT measure_id, half, note_id, CAST(midi AS BIGINT) AS midi FROM r WHERE last_first = 1
 """, "J4: notes whose onset lies in a window, the last of each pitch")
 nearest = operator("nearest_certain_event", "note_events", """
-WITH q AS (SELECT song_id, event_id, start_s FROM {note_events} WHERE uncertain), c AS (SELECT song_id, event_id, start_s FROM {note_events} WHERE NOT uncertain),
-m AS (SELECT q.song_id, q.event_id, c.event_id AS near_id, round(abs(c.start_s - q.start_s), 6) AS gap FROM q JOIN c ON c.song_id = q.song_id AND c.start_s BETWEEN q.start_s - 12e-1 AND q.start_s + 12e-1),
+WITH q AS (SELECT song_id, event_id, start_s, CAST(floor(start_s / 12e-1) AS BIGINT) + i AS slot FROM {note_events} CROSS JOIN (VALUES (-1), (0), (1)) AS d(i) WHERE uncertain), c AS (SELECT song_id, event_id, start_s, CAST(floor(start_s / 12e-1) AS BIGINT) AS slot FROM {note_events} WHERE NOT uncertain),
+m AS (SELECT q.song_id, q.event_id, c.event_id AS near_id, round(abs(c.start_s - q.start_s), 6) AS gap FROM q JOIN c ON c.song_id = q.song_id AND c.slot = q.slot AND c.start_s BETWEEN q.start_s - 12e-1 AND q.start_s + 12e-1),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id, event_id ORDER BY gap, near_id) AS rank FROM m)
 SELECT song_id, event_id, near_id, gap FROM r WHERE rank = 1
-""", "J6: nearest event within 1.2 s, the earliest on a tie")
+""", "J6: nearest event within 1.2 s, by slots as long and their neighbours, the earliest on a tie")
 as_of = operator("as_of_previous", "note_events", """
 WITH s AS (SELECT *, sum(CASE WHEN uncertain THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY start_s, event_id) AS seen FROM {note_events}),
 t AS (SELECT song_id, seen, event_id AS at_id, start_s AS at_s FROM s WHERE NOT uncertain)
 SELECT s.song_id, s.event_id, t.at_id, round(s.start_s - t.at_s, 6) AS since FROM s LEFT JOIN t ON t.song_id = s.song_id AND t.seen = s.seen WHERE s.uncertain
 """, "J9: the latest certain event at or before each uncertain one, by a running count instead of a search")
 manual_over = operator("manual_over_automatic", "note_events", """
-WITH m AS (SELECT * FROM {note_events} WHERE event_id % 10 = 0), a AS (SELECT * FROM {note_events} WHERE event_id % 10 <> 0)
-SELECT song_id, event_id, 'manual' AS origin FROM m UNION ALL
-SELECT a.song_id, a.event_id, 'automatic' AS origin FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.song_id = a.song_id AND m.start_s < a.end_s AND m.end_s > a.start_s)
-""", "J11, U1: automatic events stay where no manual one overlaps")
+WITH e AS (SELECT *, CAST(floor(start_s / 2e0) AS BIGINT) AS first_slot, CAST(floor(end_s / 2e0) AS BIGINT) - CAST(floor(start_s / 2e0) AS BIGINT) + 1 AS slots FROM {note_events}),
+h AS (SELECT song_id, event_id, start_s, end_s, first_slot + i AS slot FROM e [[each_below:slots|i]]),
+o AS (SELECT DISTINCT a.song_id, a.event_id FROM h AS a JOIN h AS m ON m.song_id = a.song_id AND m.slot = a.slot AND m.start_s < a.end_s AND m.end_s > a.start_s WHERE m.event_id % 10 = 0 AND a.event_id % 10 <> 0)
+SELECT song_id, event_id, 'manual' AS origin FROM e WHERE event_id % 10 = 0 UNION ALL
+SELECT e.song_id, e.event_id, 'automatic' AS origin FROM e LEFT JOIN o ON o.song_id = e.song_id AND o.event_id = e.event_id WHERE e.event_id % 10 <> 0 AND o.event_id IS NULL
+""", "J11, U1: automatic events stay where no manual one overlaps, by slots of 2 s")
 mixed_stems = operator("mixed_stems", "note_events", """
 WITH n AS (SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id, event_id % 2 ORDER BY start_s, event_id) AS BIGINT) AS i, event_id % 2 AS stem, pitch_center AS x FROM {note_events}),
 a AS (SELECT * FROM n WHERE stem = 0), b AS (SELECT * FROM n WHERE stem = 1)
@@ -52,10 +54,11 @@ WITH c AS (SELECT song_id, event_id, midi, lag(midi) OVER w AS before, lead(midi
 SELECT song_id, before, midi, after, count(*) AS times FROM c WHERE before IS NOT NULL AND after IS NOT NULL GROUP BY song_id, before, midi, after HAVING count(*) >= 2
 """, "J15: a pitch between the same neighbours again")
 recovery = operator("retained_recoveries", "note_events", """
-WITH n AS (SELECT song_id, event_id, start_s, end_s, uncertain FROM {note_events}), p AS (SELECT song_id, start_s AS a, end_s AS b FROM n WHERE NOT uncertain),
-x AS (SELECT e.song_id, e.event_id, max(coalesce((least(e.end_s, p.b) - greatest(e.start_s, p.a)) / (e.end_s - e.start_s), 0e0)) AS covered FROM n AS e LEFT JOIN p ON p.song_id = e.song_id AND p.a < e.end_s AND p.b > e.start_s WHERE e.uncertain GROUP BY e.song_id, e.event_id)
-SELECT song_id, event_id, round(covered, 6) AS covered FROM x WHERE covered <= 5e-1
-""", "J16")
+WITH e AS (SELECT *, CAST(floor(start_s / 2e0) AS BIGINT) AS first_slot, CAST(floor(end_s / 2e0) AS BIGINT) - CAST(floor(start_s / 2e0) AS BIGINT) + 1 AS slots FROM {note_events}),
+h AS (SELECT song_id, event_id, start_s, end_s, uncertain, first_slot + i AS slot FROM e [[each_below:slots|i]]),
+x AS (SELECT u.song_id, u.event_id, max((least(u.end_s, p.end_s) - greatest(u.start_s, p.start_s)) / (u.end_s - u.start_s)) AS covered FROM h AS u JOIN h AS p ON p.song_id = u.song_id AND p.slot = u.slot AND p.start_s < u.end_s AND p.end_s > u.start_s WHERE u.uncertain AND NOT p.uncertain GROUP BY u.song_id, u.event_id)
+SELECT e.song_id, e.event_id, round(coalesce(x.covered, 0e0), 6) AS covered FROM e LEFT JOIN x ON x.song_id = e.song_id AND x.event_id = e.event_id WHERE e.uncertain AND coalesce(x.covered, 0e0) <= 5e-1
+""", "J16: recovered events that no certain one covers by more than half, by slots of 2 s")
 ties = operator("tie_targets", "notes", """
 WITH n AS (SELECT note_id, lag(tie) OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS held FROM {notes})
 SELECT note_id FROM n WHERE NOT coalesce(held, FALSE)

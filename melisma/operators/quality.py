@@ -86,7 +86,7 @@ p AS (SELECT song_id, event_id, bar, 0 AS part, CAST({LONGEST.replace("{x}", "le
 q AS (SELECT song_id, event_id, bar, part, amount FROM p UNION ALL SELECT song_id, event_id, bar, 1, len - amount FROM p WHERE len > amount)
 SELECT song_id, event_id, bar, part, amount FROM q
 """, "X33: a length in sixteenths split at bars, each part by the longest spellable value first; what it leaves of a bar is spellable")
-provenance = operator("provenance_links", "note_events", """
-WITH b AS (SELECT song_id, event_id, start_s, CAST(floor(start_s / 1e-2) AS BIGINT) AS slot FROM {note_events}), n AS (SELECT song_id, event_id, start_s, slot + d.i AS slot FROM b CROSS JOIN (VALUES (-1), (0), (1)) AS d(i))
-SELECT b.event_id, n.event_id AS linked FROM b JOIN n ON n.song_id = b.song_id AND n.slot = b.slot AND b.event_id < n.event_id AND abs(n.start_s - b.start_s) < 3e-3
-""", "X39: starts less than 3 ms apart, by slots of 10 ms and their neighbours")
+provenance = operator("provenance_links", "note_events sourced_notes", """
+WITH n AS (SELECT song_id, note_id, source_s, CAST(floor(source_s / 1e-2) AS BIGINT) + d.i AS slot FROM {sourced_notes} CROSS JOIN (VALUES (-1), (0), (1)) AS d(i))
+SELECT e.song_id, e.event_id, n.note_id FROM {note_events} AS e JOIN n ON n.song_id = e.song_id AND n.slot = CAST(floor(e.start_s / 1e-2) AS BIGINT) AND round(abs(n.source_s - e.start_s), 6) < 3e-3
+""", "X39: the score's notes whose recorded time is less than 3 ms from a detected start, by slots of 10 ms and their neighbours")

@@ -11,11 +11,18 @@ s AS (SELECT w.song_id, w.bar, h.half, (w.bar + (h.half + 5e-1) / 2) * 3e0 AS mi
 SELECT s.song_id, s.bar, s.half, c.label FROM s JOIN c ON c.song_id = s.song_id AND c.bar = CAST(floor(s.middle / 2e0) AS BIGINT)
 """, "J5: labels go to the bars of another tempo by each half's middle")
 containing = operator("containing_or_nearest_segment", "note_events", """
-WITH s AS (SELECT song_id, event_id AS segment, start_s AS a, end_s AS b FROM {note_events} WHERE NOT uncertain), q AS (SELECT song_id, event_id, start_s AS t FROM {note_events} WHERE uncertain),
-m AS (SELECT q.song_id, q.event_id, s.segment, CASE WHEN q.t >= s.a AND q.t < s.b THEN 0e0 ELSE round(least(abs(q.t - s.a), abs(q.t - s.b)), 6) END AS gap FROM q JOIN s ON s.song_id = q.song_id AND q.t BETWEEN s.a - 6e1 AND s.b + 6e1),
-r AS (SELECT *, row_number() OVER (PARTITION BY song_id, event_id ORDER BY gap, segment) AS rank FROM m)
-SELECT song_id, event_id, segment, gap FROM r WHERE rank = 1
-""", "J8: the segment that holds a time, else the nearest")
+WITH s AS (SELECT song_id, event_id AS segment, start_s AS a, end_s AS b, CAST(floor(start_s / 2e0) AS BIGINT) AS first_slot, CAST(floor(end_s / 2e0) AS BIGINT) - CAST(floor(start_s / 2e0) AS BIGINT) + 1 AS slots FROM {note_events} WHERE NOT uncertain),
+q AS (SELECT song_id, event_id, start_s AS t FROM {note_events} WHERE uncertain),
+h AS (SELECT song_id, segment, a, b, first_slot + i AS slot FROM s [[each_below:slots|i]]),
+c AS (SELECT q.song_id, q.event_id, min(h.segment) AS segment FROM q JOIN h ON h.song_id = q.song_id AND h.slot = CAST(floor(q.t / 2e0) AS BIGINT) AND q.t >= h.a AND q.t < h.b GROUP BY q.song_id, q.event_id),
+u AS (SELECT song_id, b AS moment, 0 AS kind, NULL AS event_id FROM s UNION ALL SELECT song_id, a, 2, NULL FROM s UNION ALL SELECT song_id, t, 1, event_id FROM q),
+w AS (SELECT song_id, event_id, kind, moment, max(CASE WHEN kind = 0 THEN moment END) OVER (PARTITION BY song_id ORDER BY moment, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended, min(CASE WHEN kind = 2 THEN moment END) OVER (PARTITION BY song_id ORDER BY moment, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS begun FROM u),
+e AS (SELECT song_id, b, min(segment) AS segment FROM s GROUP BY song_id, b), f AS (SELECT song_id, a, min(segment) AS segment FROM s GROUP BY song_id, a),
+n AS (SELECT w.song_id, w.event_id, e.segment AS left_segment, f.segment AS right_segment, round(w.moment - w.ended, 6) AS left_gap, round(w.begun - w.moment, 6) AS right_gap FROM w LEFT JOIN e ON e.song_id = w.song_id AND e.b = w.ended LEFT JOIN f ON f.song_id = w.song_id AND f.a = w.begun WHERE w.kind = 1)
+SELECT n.song_id, n.event_id, CASE WHEN c.segment IS NOT NULL THEN c.segment WHEN right_gap IS NULL OR left_gap < right_gap OR left_gap = right_gap AND left_segment < right_segment THEN left_segment ELSE right_segment END AS segment,
+       CASE WHEN c.segment IS NOT NULL THEN 0e0 WHEN right_gap IS NULL OR left_gap <= right_gap THEN left_gap ELSE right_gap END AS gap
+FROM n LEFT JOIN c ON c.song_id = n.song_id AND c.event_id = n.event_id WHERE c.segment IS NOT NULL OR left_gap IS NOT NULL OR right_gap IS NOT NULL
+""", "J8: the segment that holds a time, by slots of 2 s, else the nearest, however far, by the last end before and the first start after")
 chroma_mix = operator("combined_chroma", "note_events", """
 WITH h AS (SELECT song_id, midi % 12 AS pc, event_id % 3 AS stem, sum(end_s - start_s) AS weight FROM {note_events} GROUP BY 1, 2, 3),
 n AS (SELECT song_id, pc, stem, weight / sum(weight) OVER (PARTITION BY song_id, stem) AS share FROM h), s AS (SELECT song_id, sum(v) AS total FROM (SELECT DISTINCT song_id, stem, CASE stem WHEN 0 THEN 65e-2 WHEN 1 THEN 2e-1 ELSE 15e-2 END AS v FROM h) AS x GROUP BY song_id)

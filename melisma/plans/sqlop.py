@@ -16,6 +16,7 @@ DIALECT = {
     "lower_of": ("percentile({x}, 25e-2) OVER {y}", "quantile_cont({x}, 25e-2) OVER {y}"),
     "middle_of": ("percentile({x}, 5e-1) OVER {y}", "quantile_cont({x}, 5e-1) OVER {y}"),
     "upper_of": ("percentile({x}, 75e-2) OVER {y}", "quantile_cont({x}, 75e-2) OVER {y}"),
+    "strip": ("trim(BOTH {y} FROM {x})", "trim({x}, {y})"),
     "words": ("split(trim(regexp_replace({x}, '[ \\\\n]+', ' ')), ' ')", "string_split(trim(regexp_replace({x}, '[ \\n]+', ' ', 'g')), ' ')"),
     "replace_all": ("regexp_replace({x}, {y}, {z})", "regexp_replace({x}, {y}, {z}, 'g')"),
     "each_below": ("LATERAL VIEW explode(sequence(0, CAST({x} AS INT) - 1)) AS {y}", "CROSS JOIN unnest(range(CAST({x} AS INTEGER))) AS unnested({y})"),
@@ -38,7 +39,7 @@ def _dialect(text: str, which: int) -> str:
             out = out.replace("{" + key + "}", arg)
         return out
 
-    return re.sub(r"\[\[(\w+):(.*?)\]\]", put, text)
+    return re.sub(r"\[\[(\w+):(.*?)\]\]", put, text, flags=re.S)
 
 
 @dataclass(frozen=True)

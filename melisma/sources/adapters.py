@@ -2,7 +2,7 @@
 
 note_events(song_id, event_id, start_s, end_s, midi, pitch_center, confidence, uncertain, core_start, core_end, performance_end,
     pitch_reliability, recovery_reason): detector output in seconds of the song, from events. A song's events follow each other by
-    half a second and pause after every eighth; a note's stable core, its performed end and its reliability may be unknown.
+    half a second and pause after every eighth, some hold a flat peak or begin together; a note's stable core, its performed end and its reliability may be unknown.
 notes(score_id, measure_id, m_idx, n_idx, note_id, degree, base, octave, dots, accidental, tie, source_s): written notes, from
     lineitem; tie: the note is held into the next one; source_s: its time in the recording, if known.
 chords(score_id, measure_id, label): a chord label of each measure, from orders.
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "note_events": """
         SELECT user_id AS song_id, event_id, s AS start_s, round(s + (1e-1 + (event_id % 16) * 5e-2), 3) AS end_s,
-               CAST(48 + (CAST(floor(value) AS BIGINT) % 24) AS BIGINT) AS midi,
-               48 + (CAST(floor(value) AS BIGINT) % 24) + (event_id % 7 - 3) * 1e-1 AS pitch_center,
-               5e-1 + (event_id % 6) * 1e-1 AS confidence, event_type = 'error' AS uncertain,
+               CAST(CASE WHEN r % 40 = 11 THEN 57 WHEN r % 40 IN (12, 13) THEN 59 ELSE 48 + (CAST(floor(value) AS BIGINT) % 24) END AS BIGINT) AS midi,
+               CASE WHEN r % 40 = 11 THEN 57e0 WHEN r % 40 = 12 THEN 594e-1 WHEN r % 40 = 13 THEN 5905e-2 ELSE 48 + (CAST(floor(value) AS BIGINT) % 24) + (event_id % 7 - 3) * 1e-1 END AS pitch_center,
+               5e-1 + (event_id % 6) * 1e-1 AS confidence, CASE WHEN r % 40 IN (11, 13) THEN false WHEN r % 40 = 12 THEN true ELSE event_type = 'error' END AS uncertain,
                CASE WHEN event_id % 9 > 0 THEN round(s + 2e-2, 3) END AS core_start, CASE WHEN event_id % 9 > 0 THEN round(s + (8e-2 + (event_id % 16) * 5e-2), 3) END AS core_end,
                CASE WHEN event_id % 4 = 0 THEN round(s + (15e-2 + (event_id % 16) * 5e-2), 3) END AS performance_end,
                CASE WHEN event_id % 3 = 0 THEN 4e-1 + (event_id % 5) * 1e-1 END AS pitch_reliability, CASE WHEN event_id % 23 = 0 THEN 'gap' END AS recovery_reason
-        FROM (SELECT user_id, event_id, value, event_type, round((r - 1) * 5e-1 + floor((r - 1) / 8) + (event_id % 7) * 3e-2, 3) AS s
+        FROM (SELECT user_id, event_id, value, event_type, r, CASE WHEN r % 41 = 20 THEN (r - 1) * 5e-1 + floor((r - 1) / 8) WHEN r % 41 = 21 THEN round((r - 2) * 5e-1 + floor((r - 2) / 8) + 1e-3, 3) ELSE round((r - 1) * 5e-1 + floor((r - 1) / 8) + (event_id % 7) * 3e-2, 3) END AS s
               FROM (SELECT user_id, event_id, value, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS r FROM {events}) AS x) AS e""",
     "notes": """
         SELECT CAST(floor(l_orderkey / 32) AS BIGINT) AS score_id, l_orderkey AS measure_id, l_orderkey % 32 AS m_idx, n_idx,
@@ -42,8 +42,10 @@ VIEWS = {
     "lines": "SELECT conv_id, turn, role, text FROM {conversations}",
     "library": """
         SELECT o_custkey AS project_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS revision,
-               o_orderkey AS score_id, o_orderstatus AS status, o_totalprice AS audio_offset, o_orderpriority AS title
+               o_orderkey AS score_id, o_orderstatus AS status, o_totalprice AS audio_offset, o_orderpriority AS title, o_orderdate AS published_at
         FROM {orders}""",
+    "song_keys": "SELECT DISTINCT user_id AS song_id, user_id % 12 AS do_pc FROM {events}",
+    "sourced_notes": "SELECT user_id AS song_id, event_id * 10 AS note_id, round((r - 1) * 5e-1 + floor((r - 1) / 8) + (event_id % 9 - 4) * 1e-3, 3) AS source_s FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS r FROM {events}) AS x WHERE event_id % 5 > 0",
     "chords": """
         SELECT CAST(floor(o_orderkey / 32) AS BIGINT) AS score_id, o_orderkey AS measure_id,
                concat(substr('C D E F G A B ', CAST(o_custkey % 7 AS INT) * 2 + 1, 1), CASE WHEN o_custkey % 5 = 1 THEN 'b' WHEN o_custkey % 5 = 2 THEN '#' ELSE '' END,
@@ -79,7 +81,7 @@ VIEWS |= {
         FROM (SELECT user_id, event_id, r, CAST(floor(r / 2e1) AS BIGINT) AS block, r % 20 AS k FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS r FROM {events}) AS x) AS e""",
     "emissions": "SELECT event_id AS frame, CAST(k AS BIGINT) AS token, CAST(floor(k / 2e0) AS BIGINT) AS sound, ln((1 + (event_id * (k + 3)) % 7) / 4e1) AS log_p FROM {events} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS d(k)",
 }
-TABLES = {"note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders", "chords": "orders", "scores": "orders", "characters": "events", "suggestions": "lineitem", "lyric_edits": "lineitem", "bar_marks": "lineitem", "frames": "events", "emissions": "events"}
+TABLES = {"song_keys": "events", "sourced_notes": "events", "note_events": "events", "notes": "lineitem", "lines": "conversations", "library": "orders", "chords": "orders", "scores": "orders", "characters": "events", "suggestions": "lineitem", "lyric_edits": "lineitem", "bar_marks": "lineitem", "frames": "events", "emissions": "events"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

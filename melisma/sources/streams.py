@@ -50,6 +50,32 @@ def sent_events(streams: DataFrame) -> DataFrame:
     return read.select("stream_id", "text", problem.alias("problem"))
 
 
+def sent_choices(streams: DataFrame) -> DataFrame:
+    """IO16 over (stream_id, body): text of server-sent events whose data hold choices with deltas. Comments and [DONE] don't count.
+    problem: the error's message, 'size', 'finish' (not stopped by itself) or 'empty'."""
+    blocks = F.split(F.regexp_replace(F.coalesce("body", F.lit("")), "\r\n", "\n"), "\n\n")
+    data = F.transform(blocks, lambda b: F.array_join(F.transform(F.filter(F.split(b, "\n"), lambda x: x.startswith("data:")), lambda x: F.ltrim(F.substring(x, 6, 1 << 30))), "\n"))
+    schema = "error struct<message:string>, choices array<struct<delta:struct<content:string>,finish_reason:string>>, usage struct<total_tokens:bigint>"
+    values = F.transform(F.filter(data, lambda x: ~x.isin("", "[DONE]")), lambda x: F.from_json(x, schema))
+    first = lambda v: F.get(v["choices"], 0)
+    known = lambda get: F.filter(F.transform("values", get), lambda x: x.isNotNull())
+    read = streams.select("stream_id", values.alias("values")).select(
+        "stream_id", F.array_join(known(lambda v: first(v)["delta"]["content"]), "").alias("text"), F.get(known(lambda v: F.when(v["error"].isNotNull(), F.coalesce(v["error"]["message"], F.lit("error")))), 0).alias("error"),
+        F.try_element_at(known(lambda v: first(v)["finish_reason"]), F.lit(-1)).alias("finish"), F.try_element_at(known(lambda v: v["usage"]["total_tokens"]), F.lit(-1)).alias("tokens"),
+    )
+    problem = F.when(F.col("error").isNotNull(), F.col("error")).when(F.length("text") > MOST_TEXT, "size").when(~F.col("finish").eqNullSafe("stop"), "finish").when(F.col("text") == "", "empty")
+    return read.select("stream_id", "text", "tokens", problem.alias("problem"))
+
+
+def _chosen(spark, sf_dir):
+    """Each conversation as a recorded answer of choices."""
+    lines = adapters.view(spark, sf_dir, "lines").where("text IS NOT NULL")
+    event = F.concat(F.lit(": kept alive\n\ndata: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
+    whole = lines.withColumn("event", event).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "event"))), lambda x: x["event"]), "\n\n").alias("pieces"))
+    end = '\n\ndata: {"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"total_tokens":7}}\n\ndata: [DONE]\n\n'
+    return whole.select(F.col("conv_id").alias("stream_id"), F.when(F.col("conv_id") % 5 == 0, F.col("pieces")).otherwise(F.concat("pieces", F.lit(end))).alias("body"))
+
+
 def _bodies(spark, sf_dir, sent: bool):
     """Each conversation as a recorded answer: its turns are the pieces, every fifth breaks off."""
     lines = adapters.view(spark, sf_dir, "lines").where("text IS NOT NULL")
@@ -64,8 +90,9 @@ def _bodies(spark, sf_dir, sent: bool):
 
 
 _TEXT = "WITH t AS (SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn, role) AS whole FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) "
-QUERIES = {"event_lines": lambda s, d: event_lines(_bodies(s, d, sent=False)), "sent_events": lambda s, d: sent_events(_bodies(s, d, sent=True))}
+QUERIES = {"event_lines": lambda s, d: event_lines(_bodies(s, d, sent=False)), "sent_events": lambda s, d: sent_events(_bodies(s, d, sent=True)), "sent_choices": lambda s, d: sent_choices(_chosen(s, d))}
 ORACLES = {
     "event_lines": _TEXT + """SELECT stream_id, whole AS delta_text, CAST(0 AS BIGINT) AS progress, CASE WHEN stream_id % 5 > 0 THEN '{"type":"result","text":"done"}' END AS result, CASE WHEN stream_id % 5 = 0 THEN 'no result' END AS problem FROM t""",
+    "sent_choices": _TEXT + "SELECT stream_id, whole AS text, CASE WHEN stream_id % 5 > 0 THEN CAST(7 AS BIGINT) END AS tokens, CASE WHEN stream_id % 5 = 0 THEN 'finish' END AS problem FROM t",
     "sent_events": _TEXT + "SELECT stream_id, whole AS text, CASE WHEN stream_id % 5 = 0 THEN 'finish' END AS problem FROM t",
 }

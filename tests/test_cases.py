@@ -84,11 +84,11 @@ def test_capo(spark):
 
 
 def test_lyric_text(spark):
-    texts = ["你好，世界！", "two  words", "word", "，你", "see https://x.y", "Guitar: 我", "ab你"]
+    texts = ["你好，世界！", "two  words", "word", "，你", "see https://x.y", "Guitar: 我", "ab你", "\u3000你好\u3000世界\r\n"]
     df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
-    assert [r["tokens"] for r in evidence.tokens(df).orderBy("turn").collect()][:4] == ["你¦好，¦世¦界！", "two¦words", "word", "，¦你"]
-    assert [r["cleaned"] for r in evidence.cleaned(df).orderBy("turn").collect()] == ["你好世界", "twowords", "word", "你", None, "吉他我", "ab你"]
-    assert [r["width"] for r in evidence.width(df).orderBy("turn").collect()] == [108, 90, 36, 36, 135, 9 * 8 + 18, 36]
+    assert [r["tokens"] for r in evidence.tokens(df).orderBy("turn").collect()][:4] == ["你¦好，¦世¦界！", "two¦words", "word", "，¦你"] and evidence.tokens(df).where("turn = 7").first()["tokens"] == "你好¦世界"
+    assert [r["cleaned"] for r in evidence.cleaned(df).orderBy("turn").collect()] == ["你好世界", "twowords", "word", "你", None, "吉他我", "ab你", "你好世界"]
+    assert [r["width"] for r in evidence.width(df).orderBy("turn").collect()] == [108, 90, 36, 36, 135, 9 * 8 + 18, 36, 18 * 6 + 9 * 2]
 
 
 def test_glyphs(spark):
@@ -158,4 +158,27 @@ def test_cancelling_channels(spark):
 
 def test_starts_three_milliseconds_apart(spark):
     df = events(spark, [event(1, 60, 1.0), event(2, 61, 1.002), event(3, 62, 1.0049), event(4, 63, 1.02)])
-    assert rows(quality.provenance(df)) == [(1, 2), (2, 3)]
+    notes = spark.createDataFrame([(1, 10, 1.001), (1, 20, 1.0205), (1, 30, 1.0249), (2, 40, 1.0), (1, 50, None), (1, 60, 0.9979)], "song_id long, note_id long, source_s double")
+    assert rows(quality.provenance(df, notes)) == [(1, 1, 10), (1, 1, 60), (1, 2, 10), (1, 4, 20)]
+
+
+def test_nearest_segment_however_far(spark):
+    from melisma.operators import scores
+
+    df = events(spark, [event(1, 60, 0, 1), event(2, 60, 500, 40), event(3, 60, 505, 1), event(10, 60, 200, uncertain=True), event(11, 60, 300, uncertain=True), event(12, 60, 505.5, uncertain=True), event(13, 60, 9000, uncertain=True), event(14, 60, 250.5, uncertain=True), event(15, 60, 540, uncertain=True)])
+    got = {r["event_id"]: (r["segment"], r["gap"]) for r in scores.containing(df).collect()}
+    assert got == {10: (1, 199.0), 11: (2, 200.0), 12: (2, 0.0), 13: (2, 8460.0), 14: (1, 249.5), 15: (2, 0.0)}
+    assert scores.containing(df.where("uncertain")).count() == 0
+
+
+def test_gap_pitch_follows_the_song_key(spark):
+    rows_ = [event(1, 60, 0, 1), event(2, 61, 1.2, 0.1, uncertain=True), event(3, 61, 1.4, 0.1, uncertain=True), event(4, 60, 2, 1)]
+    key = lambda pc: spark.createDataFrame([(1, pc)], "song_id long, do_pc int")
+    assert [r["midi"] for r in evidence.gap_votes(events(spark, rows_), key(1)).collect()] == [61]
+    assert evidence.gap_votes(events(spark, rows_), key(0)).count() == 0
+
+
+def test_projects_are_listed_by_time(spark):
+    rows_ = [(1, 1, 5, "F", 1.0, "a", "2024-01-01"), (1, 2, 6, "F", 1.0, "b", "2024-03-01"), (2, 1, 7, "F", 1.0, "c", "2024-05-01"), (3, 9, 8, "F", None, "d", "2025-01-01"), (4, 1, 9, "F", 2.0, "e", "2024-02-01")]
+    df = spark.createDataFrame(rows_, "project_id long, revision long, score_id long, status string, audio_offset double, title string, published_at string")
+    assert [(r["project_id"], r["revision"]) for r in evidence.listed(df).collect()] == [(2, 1), (1, 2), (4, 1)]

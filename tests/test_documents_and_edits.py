@@ -59,3 +59,31 @@ def test_contextual_target_raises_a_flat_peak(spark):
     schema = "song_id long, event_id long, midi long, pitch_center double, start_s double, end_s double, core_start double, core_end double, confidence double, uncertain boolean"
     rows = [(1, 1, 60, 60.0, 0.0, 0.5, 0.1, 0.4, 0.9, False), (1, 2, 62, 62.4, 0.5, 1.0, 0.6, 0.9, 0.9, True), (1, 3, 62, 61.9, 1.1, 1.5, 1.2, 1.4, 0.9, False)]
     assert [tuple(r) for r in edits.targets(spark.createDataFrame(rows, schema)).collect()] == [(1, 2, 62, 63, 60.0)]
+
+
+def test_what_broke_off_or_is_no_score(spark):
+    from melisma.sources import documents, score_documents
+
+    for text in ("[1]", "7", '"text"', "null", "", None):
+        assert documents.whole_measures(text) is None
+    whole = lambda text: json.loads(documents.whole_measures(text))
+    assert whole('{"measures": [{"id": "m", "notes": [{"degree": 1}]}], "lyrics": [{"noteId": "n"}]}')["lyrics"] == []
+    assert whole('{"measures": [{"id": "m", "notes": null}, 5], "spans": {"from": "a"}, "chords": [{"measureId": "m"}, {"measureId": ["m"]}, 3]}')["chords"] == [{"measureId": "m"}]
+    assert whole('{"measures": null}') == {"measures": None}
+    body = '{"version": 2, "measures": [{"id": "a", "notes": [{"id": "1"}, {"id": "2"}]}, {"id": "b", "notes": [{"id": "3"}]}], "lyrics": [{"noteId": "1"}, {"noteId": "3"}], "spans": []}'
+    rows = [(0, body), (1, body[:100]), (2, body[:20]), (3, "[1]"), (4, None), (5, body[:-30])]
+    got = {r["score_id"]: (r["measures"], r["notes"], r["lyrics"]) for r in score_documents.recovered_measures(spark.createDataFrame(rows, "score_id long, body string")).collect()}
+    assert got == {0: (2, 3, 2), 1: (1, 2, None), 2: (None, None, None), 3: (None, None, None), 4: (None, None, None), 5: (2, 3, None)}
+
+
+def test_choices_of_a_stream(spark):
+    from melisma.sources import streams
+
+    piece = lambda text: 'data: {"choices":[{"delta":{"content":"' + text + '"}}]}\n\n'
+    end = 'data: {"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"total_tokens":9}}\n\ndata: [DONE]\n\n'
+    bodies = {
+        "whole": piece("a") + ": kept alive\n\n" + piece("b").replace("\n", "\r\n") + end, "cut": piece("a"), "length": piece("a") + end.replace('"stop"', '"length"'),
+        "error": piece("a") + 'data: {"error":{"message":"too many"}}\n\n', "empty": end, "nothing": None, "two lines": 'data: {"choices":[{"delta":\ndata: {"content":"x"}}]}\n\n' + end,
+    }
+    got = {list(bodies)[r["stream_id"]]: (r["text"], r["problem"]) for r in streams.sent_choices(spark.createDataFrame(list(enumerate(bodies.values())), "stream_id long, body string")).collect()}
+    assert got == {"whole": ("ab", None), "cut": ("a", "finish"), "length": ("a", "finish"), "error": ("a", "too many"), "empty": ("", "empty"), "nothing": ("", "finish"), "two lines": ("x", None)}

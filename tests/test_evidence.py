@@ -19,7 +19,7 @@ def test_queries_run_and_repeat(spark, sf_dir, name):
 
 
 def test_letters_and_likeness():
-    assert phrases.letters("Ａｂ①, 你-好！") == "ab1你好" and phrases.letters(None) == ""
+    assert phrases.letters("Ａｂ①, 你-好！") == "Ab1你好" and phrases.phrase_letters("这 Guitar 弹得") == "这吉他弹得" and phrases.letters(None) == ""
     assert phrases.likeness("abcd", "abxd") == 0.75 and phrases.likeness("abcd", "axbxc") == 0 and phrases.likeness("", "") == 0
     assert phrases.likeness("一二三四", "一二三四") == 1
 
@@ -173,5 +173,9 @@ def test_reads_of_a_measure(spark):
 def test_rows_of_a_page(spark):
     rows = [(1, 1, 0.50, 0.04, False, True), (1, 2, 0.515, 0.04, False, True), (1, 3, 0.10, 0.04, False, True), (1, 4, 0.505, 0.04, True, False), (1, 5, 0.53, 0.04, False, True)]
     got = [r["page_row"] for r in anchored.baseline_rows(spark.createDataFrame(rows, "page_id long, place long, y double, height double, lyric boolean, music boolean")).orderBy("place").collect()]
-    # the middle of the first row is 0.5075, below the lyric's
-    assert got == [2, 2, 0, 1, 3]
+    # the middle of two is the upper one, 0.515: near enough to the last, and below the lyric's
+    assert got == [2, 2, 0, 1, 2]
+    kind = "page_id long, place long, y double, height double, lyric boolean, music boolean, ys array<double>, heights array<double>"
+    many = [(1, 1, 0.5, 0.04, False, True, [0.5] * 5, [0.04] * 5), (1, 2, 0.515, 0.04, False, True, [0.515], [0.04]), (1, 3, 0.53, 0.04, False, True, [0.53], [0.04])]
+    got = [r["page_row"] for r in anchored.baseline_rows(spark.createDataFrame(many, kind)).orderBy("place").collect()]
+    assert got == [0, 0, 1]  # glyphs weigh, not observations

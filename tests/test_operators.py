@@ -108,12 +108,19 @@ def test_phrase_alignment(spark):
     assert [(r["frame_from"], r["frame_to"]) for r in got] == [(3, 4), (5, 6)] and all(r["probability"] == 0.9 for r in got)
 
 
-def test_fingerings():
-    assert decoders.fingering(4, [0, 3, 7]) == [0, 2, 2, 0, 0, 0]  # E minor
-    for root in range(12):
-        frets = decoders.fingering(root, [0, 4, 7])
-        sounding = [s + f for s, f in zip(decoders.STRINGS, frets) if f >= 0]
-        assert min(sounding) % 12 == root and {p % 12 for p in sounding} == {(root + i) % 12 for i in (0, 4, 7)}
+def test_fingerings(spark):
+    assert decoders.fingering("Em") == [0, 2, 2, 0, 0, 0] and decoders.fingering("C") == [-1, 3, 2, 0, 1, 0]
+    sounding = lambda label: [s + f for s, f in zip(decoders.STRINGS, decoders.fingering(label)) if f >= 0]
+    for root, name in enumerate(["C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B"]):
+        found = sounding(name)
+        assert min(found) % 12 == root and {p % 12 for p in found} == {(root + i) % 12 for i in (0, 4, 7)}
+    assert min(sounding("C/G")) % 12 == 7 and min(sounding("D/F#")) % 12 == 6
+    ninth = decoders.voicing("G9")
+    assert ninth.must == {7, 11, 5, 9} and ninth.may == {7, 11, 2, 5, 9}  # the fifth may be left out
+    assert decoders.voicing("Cadd9").must == {0, 4, 2} and decoders.voicing("Bdim7").may == {11, 2, 5, 8} and decoders.fingering("H7") == [] and decoders.fingering("Cm11b5") == []
+    chords = spark.createDataFrame([(1, 1, "G"), (1, 2, "nothing"), (1, 3, None), (2, 1, "G")], "score_id long, measure_id long, label string")
+    got = {(r["score_id"], r["measure_id"]): r["frets"] for r in decoders.fingerings(chords).collect()}
+    assert got == {(1, 1): [3, 2, 0, 0, 0, 3], (1, 2): [], (1, 3): None, (2, 1): [3, 2, 0, 0, 0, 3]}
 
 
 def test_documents(spark, tmp_path):
