@@ -89,3 +89,25 @@ def looked_up(many: DataFrame, one: DataFrame, keys: list[str], asked: str, tota
     near = many.join(F.broadcast(hot), keys, "inner")
     far = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "left")
     return near.unionByName(far)
+
+
+#: Equal rows that one task numbers at most.
+COPIES = 4096
+
+
+def with_copies(df: DataFrame, out: str = "copy") -> DataFrame:
+    """df with a number from 0 among rows that are equal in all columns, however many there are, and the same on every run.
+
+    Equal rows are counted where they are read and made again, COPIES to a row of the second step, so no task holds them all.
+    For tables of few narrow columns.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES}L)")))
+    spread = parts.withColumn("_many", F.col("_n") > COPIES)
+    # only rows of many copies are dealt out anew
+    few = spread.where("NOT _many")
+    many = spread.where("_many").repartition("_part", *columns)
+    first = F.col("_part") * COPIES
+    numbers = F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)
+    return few.unionByName(many).select(*columns, F.explode(numbers).alias(out))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_copies
 
 ROUNDS = 6
 #: Rows in one numbering block on average; a block is one window partition.
@@ -61,14 +61,15 @@ def numbered(df: DataFrame, order: list[str], total: int, out: str = "row_number
     """Global row numbers 0..total-1, the same however the rows are partitioned.
 
     Rows are ordered by (hash block, order columns). Blocks hold about block_rows rows each, and only their counts are summed
-    in one place. Rows equal in all order columns take the block's neighbouring numbers in either order.
+    in one place. df has no other columns than those of order; equal rows are told apart by a number among them.
     """
     blocks = max(64, -(-total // block_rows))
-    df = df.withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(blocks).cast("long")))
+    # equal rows part too: a large group of them is no large block
+    df = with_copies(df, "_copy").withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in order], F.col("_copy")), F.lit(blocks).cast("long")))
     counts = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
-    return df.withColumn("_within", within).join(before, "_block").withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_block", "_within", "_before")
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(*order, "_copy")) - 1
+    return df.withColumn("_within", within).join(before, "_block").withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_block", "_within", "_before", "_copy")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
