@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import set_aside, table, whole_row, written
+from .common import set_aside, table, whole_row, with_copies, written
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -93,16 +93,16 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5
     A row of a source is expected target/source_size times: its whole part surely, its fraction by pivotal rounding. Pairs of
     fractions within a unit exchange words until one is whole; a unit's last fraction goes on to the next level of the tree,
     until each source has one, which is rounded to the nearer side. So a source's taken words differ from its target by at
-    most half that row's size, and units go through their rows by falling size to leave a small one. Units take hashed rows, unit_rows on average, whichever source is large. The same rows give the same
+    most half that row's size, and units go through their rows by falling size to leave a small one. Units take hashed rows, unit_rows on average, whichever source is large, and copies of a row apart. The same rows give the same
     result. Rows of size 0 are taken 0 words; null ids are rows like others; an empty table gives no rows.
     """
-    sizes = written(sizes, "mix-sizes")
+    sizes = written(with_copies(sizes), "mix-sizes")
     goal = written(targets(sizes, weights, total, cap), "mix-targets")
     rows = sizes.withColumn("row_key", row_key(sizes["doc_id"], sizes["size"], sizes["source"])).join(goal, sizes["source"].eqNullSafe(goal["source"]), "inner").drop(goal["source"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("base", F.floor(each).cast("int")).withColumn("share", each - F.floor(each))
     units = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / unit_rows)).cast("long")
-    level = rows.select("source_rank", F.pmod(F.xxhash64(F.lit(seed), "row_key"), units).alias("unit"), "row_key", "doc_id", "size", "base", "share")
+    level = rows.select("source_rank", F.pmod(F.xxhash64(F.lit(seed), "row_key", "copy"), units).alias("unit"), "row_key", "doc_id", "size", "base", "share")
     done, depth = None, 0
     most = goal.agg(F.max("n_rows")).first()[0] or 0
     units_left = -(-most // unit_rows)
