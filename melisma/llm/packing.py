@@ -213,7 +213,8 @@ def pack(cut_pieces: DataFrame, capacity: int = WINDOW, unit_tokens: int = UNIT_
     """
     totals = cut_pieces.agg(F.sum("length").alias("tokens")).first()
     units = max(1, -(-int(totals["tokens"] or 0) // unit_tokens))
-    dealt = cut_pieces.withColumn("unit", F.pmod(F.xxhash64("row_key", "start"), F.lit(units).cast("long")))
+    # by where a piece stands as well: pieces of equal rows go to many units
+    dealt = cut_pieces.withColumn("unit", F.pmod(F.xxhash64("row_key", "start", F.monotonically_increasing_id()), F.lit(units).cast("long")))
     return dealt.groupBy("unit").applyInArrow(_packed_unit(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
