@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import table, written
 
 #: Vectors in one block of candidates or of queries; a task holds one of each.
 BLOCK_ROWS = 4096
@@ -70,7 +70,7 @@ def _pack(group: pa.Table) -> pa.Table:
 
 def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     """Blocks of about block_rows vectors that are alike: of one cell, which tells the signs of four stretches' sums and the
-    power of two of the norm, dealt out within it by a hash of the id and the row so that no key makes a large block. Small
+    power of two of the norm, dealt out within it by a hash of the row and where it stands, so that neither a key nor equal rows make a large block. Small
     cells share a block with the next ones.
 
     Only the number of rows in each cell reaches the driver: 16 * 128 numbers at most.
@@ -92,7 +92,7 @@ def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     if not found:
         return vectors.sparkSession.createDataFrame([], PACKED)
     of_cell = lambda values: F.element_at(F.create_map(*[F.lit(x) for c in sorted(values) for x in (c, values[c])]), F.col("cell"))
-    dealt = celled.withColumn("block", (of_cell(first) + F.pmod(row_key("vec_id", "v"), of_cell(parts))).cast("int"))
+    dealt = celled.withColumn("block", (of_cell(first) + F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), of_cell(parts))).cast("int"))
     return dealt.groupBy("block").applyInArrow(_pack, PACKED)
 
 
