@@ -215,3 +215,32 @@ def test_hot_keys_are_looked_up_apart(spark):
     one = many.groupBy("k").count().withColumn("v", F.col("k") * 2)
     got = looked_up(many, one, ["k"], "count", 5000)
     assert got.count() == 5000 and got.where("v <> k * 2 OR v IS NULL").count() == 0
+
+
+def test_copies_are_numbered_and_equal_rows_part(spark):
+    from melisma.llm import common, packing, sharding
+
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("s").alias("source")).unionByName(spark.range(50).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("source")))
+    got = common.with_copies(df)
+    assert got.count() == 20_050 and got.where("source = 's'").agg(F.count_distinct("copy"), F.min("copy"), F.max("copy")).first() == (20_000, 0, 19_999)
+    assert got.where("source IS NULL").agg(F.max("copy")).first()[0] == 0
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(3).cast("long").alias("size"))
+    numbered = sharding.numbered(rows, ["doc_id", "size"], 20_000, block_rows=1000)
+    assert numbered.agg(F.count_distinct("row_number"), F.max("row_number")).first() == (20_000, 19_999)
+    # 20,000 equal pieces, and 20,000 of null ids: no unit holds more than twice its share
+    for doc in (F.lit(5), F.lit(None)):
+        pieces = common.written(spark.range(20_000, numPartitions=8).select(F.lit(1).cast("long").alias("row_key"), doc.cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(512).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"), F.lit(512).cast("long").alias("doc_tokens")), "equal-pieces")
+        out = packing.pack(pieces)
+        most = out.groupBy(F.shiftright("sequence_id", 32).alias("unit")).agg(F.sum("length").alias("tokens")).agg(F.max("tokens")).first()[0]
+        assert out.count() == 20_000 and most <= 2 * packing.UNIT_TOKENS
+        assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_equal_rows_part_in_mixing(spark):
+    from melisma.llm import mixing
+
+    sizes = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).cast("long").alias("size")).unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), (F.col("id") % 7).alias("size")))
+    runs = [sorted(map(str, mixing.mix(sizes.repartition(n)).drop("row_key").collect())) for n in (3, 8)]
+    assert runs[0] == runs[1] and len(runs[0]) == 23_000
+    for r in mixing.mix(sizes).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 10
