@@ -267,7 +267,7 @@ q AS (SELECT x.*, p.peak, p.top, x.valid AND p.top - x.pitch <= 35e-2 AS near FR
 r AS (SELECT song_id, event_a, coalesce(max(CASE WHEN NOT near AND i < peak THEN i + 1 END), min(low)) AS lo, coalesce(min(CASE WHEN NOT near AND i > peak THEN i - 1 END), max(high) - 1) AS hi FROM q GROUP BY song_id, event_a),
 w AS (SELECT q.song_id, q.event_a, q.midi, r.lo, r.hi, q.top, q.center, q.pitch, sum(q.confidence) OVER (PARTITION BY q.song_id, q.event_a ORDER BY q.pitch, q.i) AS so_far, sum(q.confidence) OVER (PARTITION BY q.song_id, q.event_a) AS whole, avg(q.confidence) OVER (PARTITION BY q.song_id, q.event_a) AS voicing
       FROM q JOIN r ON r.song_id = q.song_id AND r.event_a = q.event_a WHERE q.i BETWEEN r.lo AND r.hi AND r.hi - r.lo + 1 >= 3),
-m AS (SELECT song_id, event_a, max(midi) AS midi, max(hi) + 1 AS cut, max(hi) - max(lo) + 1 AS near_frames, min(CASE WHEN so_far >= whole / 2 - 1e-12 THEN pitch END) AS crest, max(voicing) AS voicing FROM w GROUP BY song_id, event_a),
+m AS (SELECT song_id, event_a, max(midi) AS midi, max(hi) + 1 AS cut, max(lo) AS lo, max(top) AS top, max(center) AS center, max(hi) - max(lo) + 1 AS near_frames, min(CASE WHEN so_far >= whole / 2 - 1e-12 THEN pitch END) AS crest, max(voicing) AS voicing FROM w GROUP BY song_id, event_a),
 k AS (SELECT * FROM m WHERE CAST(floor(crest + 5e-1) AS BIGINT) <> midi)
 SELECT e.song_id, coalesce(k.cut, e.a) AS a, e.b, e.midi, e.center, e.core_a, e.core_b, e.spread, e.voicing, e.uncertain, e.recovered, CASE WHEN k.cut IS NULL OR e.scoop_b > k.cut THEN e.scoop_b END AS scoop_b, e.fall_a, false AS crest
 FROM {{core_events}} AS e LEFT JOIN k ON k.song_id = e.song_id AND k.event_a = e.a
