@@ -1,7 +1,7 @@
 """All registered queries of the library proper, and their SQL."""
 
 from ..functions import scalars  # noqa: F401  (registers its operators)
-from ..operators import aggregates, anchored, articulation, bars, cores, decoders, drafts, edits, evidence, grid, harmony, joins, pages, phrases, playback, quality, quantization, refine, rhythm, scores, sequences, words  # noqa: F401
+from ..operators import aggregates, anchored, articulation, bars, cores, decoders, drafts, edits, evidence, grid, harmony, joins, levels, pages, phrases, playback, quality, quantization, refine, rhythm, scores, sequences, words  # noqa: F401
 from ..sources import documents, projects, score_documents, streams
 from ..streaming import jobs
 from .sqlop import REGISTRY
