@@ -125,7 +125,6 @@ def test_fingerings(spark):
 
 def test_documents(spark, tmp_path):
     import json
-    import zipfile
 
     from melisma.sources import documents
 
@@ -137,14 +136,39 @@ def test_documents(spark, tmp_path):
     assert [m["id"] for m in got["measures"]] == ["m1"] and got["lyrics"] == [{"noteId": "n1"}] and documents.whole_measures('{"measures": [') is None
     song = spark.createDataFrame([(1, "[00:01.5][00:05.0]la\n[00:03]lo\n[ar:x]\n")], "song_id long, text string")
     assert sorted((r["start_s"], r["end_s"], r["words"]) for r in documents.lrc_lines(song, duration=9).collect()) == [(1.5, 3.0, "la"), (3.0, 5.0, "lo"), (5.0, 9.0, "la")]
-    for name, files in (("good", ["manifest.json", "score/a.jpu"]), ("bad", ["../x"])):
-        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
-            for f in files:
-                z.writestr(f, "12345")
+
+
+def test_packages(spark, tmp_path):
+    import hashlib
+    import json
+    import zipfile
+
+    from melisma.sources import documents
+
+    run = "runs/3f2504e0-4f89-41d3-9a0c-0305e82c3301"
+    base = {"score/edited.jpu": b"{}", "state/workspace.json": b"{}", f"{run}/clip.wav": b"abc"}
+
+    def package(name, files=base, manifest=None, kind=zipfile.ZIP_DEFLATED, **more):
+        assets = [{"path": p, "size": len(c), "sha256": hashlib.sha256(c).hexdigest()} for p, c in files.items()]
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", kind) as z:
+            z.writestr("manifest.json", json.dumps({"version": 1, "assets": assets, "runs": [], **more}) if manifest is None else manifest)
+            for p, c in files.items():
+                z.writestr(p, c)
+
+    package("good")
+    package("outside", base | {"../x": b"1"})
+    package("lacking", {"score/edited.jpu": b"{}"})
+    package("bzip", kind=zipfile.ZIP_BZIP2)
+    package("changed", manifest=json.dumps({"version": 1, "runs": [], "assets": [{"path": p, "size": len(c), "sha256": "0"} for p, c in base.items()]}))
+    package("unlisted", assets=[{"path": "score/edited.jpu", "size": 2, "sha256": hashlib.sha256(b"{}").hexdigest()}])
+    package("unfinished", runs=[{"id": run.split("/")[1], "status": "done"}])
+    package("no manifest", manifest="[]")
     (tmp_path / "none.zip").write_text("no")
     rows_ = documents.read_packages(spark, str(tmp_path / "*.zip")).collect()
-    assert sorted((r["package"].rsplit("/", 1)[1], r["name"], r["problem"]) for r in rows_ if r["problem"]) == [("bad.zip", None, "path"), ("none.zip", None, "no archive")]
-    assert {r["name"] for r in rows_ if not r["problem"]} == {"manifest.json", "score/a.jpu"}
+    assert {r["package"].rsplit("/", 1)[1][:-4].replace("%20", " "): r["problem"] for r in rows_ if r["problem"]} == {
+        "outside": "path, repeat, link or encryption", "lacking": "required file", "bzip": "compression", "changed": "digest", "unlisted": "required file", "unfinished": "run", "no manifest": "manifest", "none": "no archive",
+    }
+    assert {r["name"]: (r["size"], r["sha256"]) for r in rows_ if not r["problem"] and r["name"] != "manifest.json"} == {p: (len(c), hashlib.sha256(c).hexdigest()) for p, c in base.items()}
 
 
 def test_lrc_query_keeps_every_turn(spark, tmp_path):
