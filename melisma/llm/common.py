@@ -103,11 +103,7 @@ def with_copies(df: DataFrame, out: str = "copy") -> DataFrame:
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    parts = counted.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES}L)")))
-    spread = parts.withColumn("_many", F.col("_n") > COPIES)
-    # only rows of many copies are dealt out anew
-    few = spread.where("NOT _many")
-    many = spread.where("_many").repartition("_part", *columns)
+    parts = counted.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES}L)"))).repartition("_part", *columns)
     first = F.col("_part") * COPIES
     numbers = F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)
-    return few.unionByName(many).select(*columns, F.explode(numbers).alias(out))
+    return parts.select(*columns, F.explode(numbers).alias(out))
