@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..plans.shared import kept
 from ..plans.sqlop import operator
 from ..sources import adapters
+from .decoders import segment_events
 
 #: Fixed values of the analysis, in seconds, half tones and probabilities.
 STEP = 0.016
@@ -325,6 +326,30 @@ def stable_events(frames: DataFrame) -> DataFrame:
     return out.select("song_id", second_of("a").alias("start_s"), second_of("b").alias("end_s"), "midi", "nearest_midi", "center", second_of("core_a").alias("core_start_s"), second_of("core_b").alias("core_end_s"), "uncertain", "recovered", "crest", "absorbed", F.coalesce("tails", F.lit(0)).alias("tails"))
 
 
+def replayed(frames: DataFrame, after: float = 0.0, before: float | None = None) -> DataFrame:
+    """X31 over the same frames, from after to before seconds: (song_id, decoder, start_s, end_s, midi, uncertain) of the baseline and of
+    the stable-core decoder, times from the first of the frames kept. Songs of under three frames there have no rows."""
+    time = F.col("frame") * STEP
+    own = frames.where((time >= after) & ((time < before) if before is not None else F.lit(True)))
+    own = own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("song_id"))).where("n >= 3").drop("n")
+    own = own.withColumn("frame", F.row_number().over(Window.partitionBy("song_id").orderBy("frame")) - 1)
+    heard = own.select("song_id", "frame", F.when(F.col("voiced"), F.col("pitch")).alias("pitch"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("energy", F.lit(0.0)).alias("energy"), F.coalesce("onset", F.lit(False)).alias("onset"))
+    old = segment_events(heard, STEP).select("song_id", F.lit("baseline").alias("decoder"), "start_s", "end_s", F.col("midi").cast("long").alias("midi"), F.lit(False).alias("uncertain"))
+    return old.unionByName(stable_events(own).select("song_id", F.lit("stable cores").alias("decoder"), "start_s", "end_s", "midi", "uncertain"))
+
+
+def compared(events: DataFrame, frames: DataFrame) -> DataFrame:
+    """X31: of each song the events of both decoders, the uncertain ones, and the stable-core events at whose middle the baseline has
+    the same pitch; warning: `energy` where frames lack it, so that no gap was bridged and no attack told. No truth is claimed."""
+    missing = frames.groupBy("song_id").agg(F.max(F.col("energy").isNull()).alias("lacking"))
+    both = events.withColumn("middle", (F.col("start_s") + F.col("end_s")) / 2).withColumn("slot", F.explode(F.sequence(F.floor("start_s"), F.floor("end_s"))))
+    new, old = both.where("decoder = 'stable cores'"), both.where("decoder = 'baseline'").select("song_id", "slot", "midi", F.col("start_s").alias("a"), F.col("end_s").alias("b"))
+    same = new.where(F.floor("middle") == F.col("slot")).join(old, ["song_id", "slot", "midi"]).where("middle >= a AND middle < b").select("song_id", "start_s").distinct().groupBy("song_id").agg(F.count(F.lit(1)).alias("same"))
+    count = lambda c: F.count_if(c).alias
+    totals = events.groupBy("song_id").agg(count(F.col("decoder") == "baseline")("baseline"), count(F.col("decoder") == "stable cores")("stable_cores"), count((F.col("decoder") == "stable cores") & F.col("uncertain"))("uncertain"))
+    return totals.join(same, "song_id", "left").join(missing, "song_id").select("song_id", "baseline", "stable_cores", "uncertain", F.coalesce("same", F.lit(0)).cast("long").alias("same"), F.when(F.col("lacking"), "energy").alias("warning"))
+
+
 _FRAMES = f"SELECT song_id, i, pitch, voiced, confidence, energy, onset, quiet, audible AND voiced AND pitch IS NOT NULL AND confidence >= 35e-2 AS valid FROM ({observed.text.replace('{frames}', '(' + adapters.VIEWS['frames'] + ') AS f')}) AS o"
 _BLOCKS = f"SELECT *, CAST(floor(i / 2e1) AS BIGINT) AS block, i % 20 AS k FROM ({_FRAMES}) AS f WHERE pitch IS NOT NULL"
 _MAINS = f"""SELECT song_id, block * 20 AS a, block * 20 + 16 AS b, max(CASE WHEN k = 12 THEN CAST(floor(pitch + 5e-1) AS BIGINT) END) AS midi, round(max(CASE WHEN k >= 9 AND k < 16 THEN pitch END), 4) AS center, CASE WHEN block % 3 = 0 THEN block * 20 + 2 ELSE block * 20 + 9 END AS core_a, block * 20 + 16 AS core_b,
@@ -347,4 +372,4 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.view(spark, sf_dir, "frames")
 
 
-QUERIES = {"stable_core_events": lambda s, d: stable_events(_frames(s, d))}
+QUERIES = {"stable_core_events": lambda s, d: stable_events(_frames(s, d)), "decoders_compared": lambda s, d: compared(kept(replayed(_frames(s, d)), "replayed"), _frames(s, d))}

@@ -272,6 +272,7 @@ def segment_events(frames: DataFrame, step: float, seed: float = 0.65, follow: f
 
     A run of followable frames with a sure one in it is labelled by its rounded pitches; labels without a sure frame go. A short
     excursion between equal neighbours is smoothed, a short dropout of sustained energy filled, each seeing the passes before it.
+    Where frames have `onset`, a note is cut at those before which its energy dips.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -295,7 +296,18 @@ def segment_events(frames: DataFrame, step: float, seed: float = 0.65, follow: f
                 edge = min(energy[a - 1], energy[b])
                 if edge > 0 and energy[a:b].min() >= 0.45 * edge:
                     label[a:b] = label[b]
-        found = [(key[0], round(a * step, 4), round(b * step, 4), int(label[a]), round(float(sure[a:b].mean()), 3)) for a, b in _runs(label) if label[a] and (b - a) * step >= 0.075]
+        struck = np.flatnonzero(rows["onset"].to_numpy(dtype=bool)).tolist() if "onset" in rows else []
+        found = []
+        for first, last in _runs(label):
+            if not label[first] or (last - first) * step < 0.075:
+                continue
+            cuts = [first]
+            for k in struck:
+                if first < k < last and k - cuts[-1] >= round(0.12 / step) and last - k >= round(0.09 / step) and k + 2 < len(energy):
+                    before, after = energy[max(first, k - round(0.09 / step)) : k], energy[k : min(last, k + round(0.08 / step))]
+                    if before.min() < 0.65 * after.max():
+                        cuts.append(k)
+            found += [(key[0], round(a * step, 4), round(b * step, 4), int(label[a]), round(float(sure[a:b].mean()), 3)) for a, b in zip(cuts, [*cuts[1:], last], strict=True)]
         return pd.DataFrame(found, columns=["song_id", "start_s", "end_s", "midi", "confidence"])
 
     return frames.groupBy("song_id").applyInPandas(run, "song_id long, start_s double, end_s double, midi int, confidence double")

@@ -149,5 +149,28 @@ def test_noise_goes_to_the_note_that_it_touches(spark):
     assert absorbed(spark, [MAIN, NOISE, (*second[:4], 61.0, *second[5:]), right], [1.0] * 70) == [(0, 35, 60, 60.1, 23, 2), (35, 60, 64, 64.0, 58, 0)]
 
 
+def test_baseline_cuts_a_note_that_is_struck_again(spark):
+    from melisma.operators import decoders
+
+    energy = dipped(40, 16, 20, 0.3)
+    frames = lambda at: spark.createDataFrame([(1, i, 60.0, 0.9, energy[i], i in at) for i in range(40)], "song_id long, frame long, pitch double, confidence double, energy double, onset boolean")
+    found = lambda at: [(r["start_s"], r["end_s"]) for r in decoders.segment_events(frames(at), cores.STEP).orderBy("start_s").collect()]
+    assert found({20}) == [(0.0, 0.32), (0.32, 0.64)] and found(set()) == found({33}) == found({3}) == [(0.0, 0.64)]
+
+
 def test_empty_frames(spark):
     assert cores.stable_events(spark.createDataFrame([], FRAMES)).count() == 0
+
+
+def test_decoders_replayed_on_the_same_frames(spark):
+    pitch = SONGS["peak"]["pitch"] + [None] * 10
+    rows = [(1, i, None if p is None or p != p else float(p), p is not None and p == p, 0.9, 1.0, False) for i, p in enumerate([None] * 100 + pitch)] + [(2, i, 60.0, True, 0.9, None, False) for i in range(130)]
+    frames = spark.createDataFrame(rows, FRAMES)
+    events = cores.replayed(frames, after=1.6)
+    got = {(r["song_id"], r["decoder"]): [] for r in events.collect()}
+    for r in events.orderBy("start_s").collect():
+        got[r["song_id"], r["decoder"]].append((r["start_s"], r["midi"]))
+    assert [m for _, m in got[1, "stable cores"]] == [57, 60, 59, 57] and got[1, "stable cores"][0][0] == 0 and [m for _, m in got[1, "baseline"]] == [57, 59, 59, 57]
+    assert [m for _, m in got[2, "baseline"]] == [m for _, m in got[2, "stable cores"]] == [60]
+    found = {r["song_id"]: tuple(r)[1:] for r in cores.compared(events, frames).collect()}
+    assert found == {1: (4, 4, 1, 3, None), 2: (1, 1, 0, 1, "energy")}
