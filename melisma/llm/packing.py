@@ -48,6 +48,7 @@ class WordTokenizer:
 
     #: Lower-cased words: the pre-tokenizer's contractions, letters, digits one by one, and the rest.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-zß-öø-ž0-9]+")
+    MARKS = frozenset(b".,;:!?")
     PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-įı-ž]+")
 
     def __init__(self, path: str):
@@ -68,6 +69,11 @@ class WordTokenizer:
         return found
 
     def _word(self, word: bytes) -> bytes:
+        # most words are ASCII letters, or these and one mark after them: their parts are plain to see
+        if word.isalpha():
+            return self._part(word.lower().decode())
+        if word[-1] in self.MARKS and word[:-1].isalpha():
+            return self._part(word[:-1].lower().decode()) + self._part(chr(word[-1]))
         text = word.decode()
         if self.PLAIN.fullmatch(text):
             return b"".join(map(self._part, self.PARTS.findall(text.lower())))
