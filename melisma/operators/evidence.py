@@ -205,9 +205,12 @@ SELECT score_id, bar, beat, round(end_s * (bar + beat * 1e0 / meter) / bars, 5)
 """, "U3: measures of rests, a beat each, that fill the time before the first one")
 distinct_ids = operator("distinct_anchors", "notes", f"SELECT score_id, count(DISTINCT degree) AS degrees, count(DISTINCT {MIDI}) AS pitches, count(*) AS anchors FROM {{notes}} WHERE degree > 0 GROUP BY score_id", "U4: distinct degrees and pitches of a score's anchors")
 projects = operator("project_list", "library", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY revision DESC) AS latest FROM {library} WHERE title IS NOT NULL AND audio_offset IS NOT NULL)
-SELECT project_id, revision, title, published_at FROM r WHERE latest = 1
-""", "IO10: each project's latest readable record with its time, by which a reader orders: listed()")
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY revision DESC) AS latest FROM {library} WHERE title IS NOT NULL AND audio_offset IS NOT NULL),
+p AS (SELECT project_id, revision, title, published_at, coalesce(CAST(published_at AS DATE), DATE '0001-01-01') AS day FROM r WHERE latest = 1),
+d AS (SELECT day, coalesce(sum(count(*)) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM p GROUP BY day)
+SELECT p.project_id, p.revision, p.title, p.published_at, CAST(row_number() OVER (PARTITION BY p.project_id % 64 ORDER BY p.revision DESC, p.project_id) AS BIGINT) AS place,
+       CAST(d.later + row_number() OVER (PARTITION BY p.day ORDER BY p.published_at DESC NULLS LAST, p.project_id) AS BIGINT) AS list_place FROM p JOIN d ON d.day = p.day
+""", "IO10: each project's latest readable record; its place on its shelf, the most changed first, and in the whole list, the latest changed first, by days and within them")
 mono = operator("mono_channels", "note_events", """
 WITH s AS (SELECT song_id, pitch_center - 6e1 AS left_x, CASE WHEN song_id % 3 = 0 THEN 59e0 - pitch_center ELSE midi - 6e1 END AS right_x FROM {note_events}),
 a AS (SELECT song_id, sqrt(avg(left_x * left_x)) AS left_rms, sqrt(avg(right_x * right_x)) AS right_rms, sqrt(avg((left_x + right_x) * (left_x + right_x) / 4)) AS mixed FROM s GROUP BY song_id)

@@ -182,3 +182,9 @@ def test_projects_are_listed_by_time(spark):
     rows_ = [(1, 1, 5, "F", 1.0, "a", "2024-01-01"), (1, 2, 6, "F", 1.0, "b", "2024-03-01"), (2, 1, 7, "F", 1.0, "c", "2024-05-01"), (3, 9, 8, "F", None, "d", "2025-01-01"), (4, 1, 9, "F", 2.0, "e", "2024-02-01")]
     df = spark.createDataFrame(rows_, "project_id long, revision long, score_id long, status string, audio_offset double, title string, published_at string")
     assert [(r["project_id"], r["revision"]) for r in evidence.listed(df).collect()] == [(2, 1), (1, 2), (4, 1)]
+
+
+def test_projects_have_their_places(spark):
+    rows_ = [(1, 2, 6, "F", 1.0, "b", "2024-03-01"), (65, 5, 7, "F", 1.0, "c", "2024-05-01"), (3, 9, 8, "F", None, "d", "2025-01-01"), (4, 1, 9, "F", 2.0, "e", "2024-03-01"), (5, 1, 9, "F", 2.0, "e", None)]
+    df = spark.createDataFrame(rows_, "project_id long, revision long, score_id long, status string, audio_offset double, title string, published_at string")
+    assert [(r["project_id"], r["place"], r["list_place"]) for r in evidence.projects(df).orderBy("list_place").collect()] == [(65, 1, 1), (1, 2, 2), (4, 1, 3), (5, 1, 4)]
