@@ -1,7 +1,7 @@
 """Notes out of continuous pitch: stable cores by two thresholds, a second lane that fills gaps only, and passes over what they found.
 
-Frames become islands, steady frames and runs by window functions; a run is cut into cores and an island's cores become events in
-Arrow groups of one run or island. No task holds more than a song's window, none a song's whole search.
+Frames become islands, steady frames and runs by window functions; a run and an island with its cores are one row each, and batches of
+such rows are cut into cores and events. No row holds more than a song's island, none a song's whole search.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..plans.shared import kept
 from ..plans.sqlop import operator
 from ..sources import adapters
-from .decoders import segment_events
+from .decoders import segment_events, spread
 
 #: Fixed values of the analysis, in seconds, half tones and probabilities.
 STEP = 0.016
@@ -61,6 +61,12 @@ SELECT song_id, samples, distinct_notes, round(coalesce(concentration, 0e0), 6)
 STRUCK = f"onset AND min(energy) OVER (PARTITION BY song_id ORDER BY i ROWS BETWEEN {BEFORE} PRECEDING AND 1 PRECEDING) < {DIP} * max(energy) OVER (PARTITION BY song_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {AFTER - 1} FOLLOWING)"
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """kept(), joined by merging: a stored table's size on disk says little about its rows once they are unrolled to frames, and the
+    driver would have to hold them for a broadcast."""
+    return kept(df, label).hint("merge")
+
+
 def _quantile(xs: list[float], p: float) -> float:
     """Of sorted numbers, between the two that stand around the place."""
     at = (len(xs) - 1) * p
@@ -112,28 +118,43 @@ def islands(frames: DataFrame, lane: Lane) -> DataFrame:
     bridged = (F.col("n") * STEP <= lane.gap + 1e-9) & (F.abs(F.col("before_pitch") - F.col("after_pitch")) < 0.5) & (F.col("least") >= 0.45 * F.least("before_energy", "after_energy"))
     runs = runs.withColumn("held", F.col("ok") | F.coalesce(bridged, F.lit(False)))
     runs = runs.withColumn("island", F.sum(F.when(~F.col("held"), 1).otherwise(0)).over(order)).where("held").select("song_id", "run", "island")
-    joined = marked.join(runs, ["song_id", "run"], "left").drop("run")
+    joined = marked.join(runs.hint("merge"), ["song_id", "run"], "left").drop("run")
     seeded = F.max(F.col("valid") & (F.col("confidence") >= lane.seed)).over(Window.partitionBy("song_id", "island"))
     return joined.withColumn("island", F.when(F.col("island").isNotNull() & seeded, F.col("island")))
 
 
+def _together(frames: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """One row for each group of frames, with the columns as doubles in the order of i, which comes first (null: NaN): many small
+    groups go to Python in one batch, a large one is one row."""
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
+    return frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *values))).alias("x")).select(*keys, F.flatten(F.transform("x", lambda s: F.array(s["i"].cast("double"), *[s[c] for c in columns]))).alias("frames"))
+
+
+def _matrix(frames: np.ndarray, width: int = 3) -> np.ndarray:
+    return np.asarray(frames, dtype=float).reshape(-1, width)
+
+
 def _cut(lane: Lane):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """A steady run's cores: cut where the trend leaves the median of the core so far."""
-        rows = rows.sort_values("i")
-        at, trend, prob = rows["i"].to_numpy(), rows["trend"].to_numpy(), rows["confidence"].to_numpy()
+    def run(song: int, island: int, frames: np.ndarray) -> list[tuple]:
+        """A steady run's cores: cut where the trend leaves the median of the core so far. Rows of frames: place, trend, confidence."""
+        at, trend, prob = frames.T
         out, start, seen = [], 0, [trend[0]]
         for k in range(1, len(at) + 1):
             middle = (seen[len(seen) // 2] + seen[(len(seen) - 1) // 2]) / 2
             if k == len(at) or abs(trend[k] - middle) > TOLERANCE:
                 if (k - start) * STEP >= lane.min_core and (prob[start:k] >= lane.seed).any():
-                    out.append((key[0], key[1], int(at[start]), int(at[k - 1]) + 1, weighted_median(trend[start:k], prob[start:k])))
+                    out.append((song, island, int(at[start]), int(at[k - 1]) + 1, weighted_median(trend[start:k], prob[start:k])))
                 start, seen = k, []
             if k < len(at):
                 bisect.insort(seen, trend[k])
-        return pd.DataFrame(out, columns=["song_id", "island", "a", "b", "center"])
+        return out
+
+    def batch(batches):
+        for rows in batches:
+            out = [core for r in rows.itertuples() for core in run(r.song_id, r.island, _matrix(r.frames))]
+            yield pd.DataFrame(out, columns=["song_id", "island", "a", "b", "center"])
 
-    return run
+    return batch
 
 
 def raw_cores(frames: DataFrame, lane: Lane) -> DataFrame:
@@ -155,7 +176,7 @@ def raw_cores(frames: DataFrame, lane: Lane) -> DataFrame:
     found = found.select("song_id", "island", "i", "confidence", trend.alias("trend"), (F.col("steady") | joins).alias("steady"))
     order = Window.partitionBy("song_id", "island").orderBy("i")
     runs = found.withColumn("run", F.sum(F.when(F.col("steady") == F.lag("steady").over(order), 0).otherwise(1)).over(order)).where("steady")
-    return runs.groupBy("song_id", "island", "run").applyInPandas(_cut(lane), "song_id long, island long, a long, b long, center double")
+    return _together(runs, ["song_id", "island", "run"], "trend", "confidence").select("song_id", "island", "frames").mapInPandas(_cut(lane), "song_id long, island long, a long, b long, center double")
 
 
 transitions = operator("transition_cores", "cores frames_of_cores", f"""
@@ -194,13 +215,10 @@ def _groups(cores: list[tuple[int, int, float]]) -> list[list[tuple[int, int, fl
 EVENTS = "song_id long, a long, b long, midi long, center double, core_a long, core_b long, spread double, voicing double, uncertain boolean, core_frames long, scoop_b long, fall_a long"
 
 
-def _island_events(key: tuple, frames: pd.DataFrame, cores: pd.DataFrame) -> pd.DataFrame:
-    frames = frames.sort_values("i")
-    at, first = frames["i"].to_numpy(), int(frames["i"].min())
-    last = int(at[-1]) + 1
-    pitch, prob, valid = frames["pitch"].to_numpy(dtype=float), frames["confidence"].to_numpy(), frames["valid"].to_numpy(dtype=bool)
-    energy, onsets = frames["energy"].to_numpy(dtype=float), at[frames["onset"].to_numpy(dtype=bool)].tolist()
-    found = sorted(zip(cores["a"].tolist(), cores["b"].tolist(), cores["center"].tolist(), strict=True))
+def _island_events(song: int, frames: np.ndarray, found: list[tuple[int, int, float]]) -> list[tuple]:
+    at, pitch, prob, valid, energy, onset = frames.T
+    at, valid = at.astype(int), valid > 0
+    first, last, onsets = int(at[0]), int(at[-1]) + 1, at[onset > 0].tolist()
     groups = _groups(found) or [[]]
     middles = [weighted_median(np.array([c for _, _, c in g]), np.array([b - a for a, b, _ in g])) if g else None for g in groups]
     bounds = [first]
@@ -229,17 +247,25 @@ def _island_events(key: tuple, frames: pd.DataFrame, cores: pd.DataFrame) -> pd.
             scoop = core_b is not None and far[a - first : core_a - first].any()
             fall = core_b is not None and far[core_b - first : b - first].any()
             uncertain = not own or abs(center - midi) > 0.35 or spread > 35
-            out.append((key[0], a, b, midi, round(center, 4), core_a, core_b, round(spread, 1), round(float(prob[rows].mean()), 3), uncertain, sum(y - x for x, y in own), core_a if scoop else None, core_b if fall else None))
-    named = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
-    return named.astype({c: "Int64" for c in ("core_a", "core_b", "scoop_b", "fall_a")})
+            out.append((song, a, b, midi, round(center, 4), core_a, core_b, round(spread, 1), round(float(prob[rows].mean()), 3), uncertain, sum(y - x for x, y in own), core_a if scoop else None, core_b if fall else None))
+    return out
+
+
+def _events_of_islands(batches):
+    for rows in batches:
+        out = [e for r in rows.itertuples() for e in _island_events(r.song_id, _matrix(r.frames, 6), [(int(a), int(b), c) for a, b, c in _matrix([] if r.cores is None else r.cores).tolist()])]
+        named = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+        yield named.astype({c: "Int64" for c in ("core_a", "core_b", "scoop_b", "fall_a")})
 
 
 def lane_events(frames: DataFrame, lane: Lane) -> DataFrame:
     """EVENTS of one lane, out of islands(): a note for each group of cores, cut where it is struck again; a coreless island is one
     uncertain event. Times are frames; scoop_b and fall_a tell where a scoop ends and a fall begins."""
     own = frames.where("island IS NOT NULL")
-    cores = transitions(kept(raw_cores(frames, lane), "raw-cores"), frames).where("NOT absorbed")
-    return own.select("song_id", "island", "i", "pitch", "confidence", "valid", "energy", "onset").groupBy("song_id", "island").cogroup(cores.groupBy("song_id", "island")).applyInPandas(_island_events, EVENTS)
+    cores = transitions(_kept(raw_cores(frames, lane), "raw-cores"), frames).where("NOT absorbed")
+    found = cores.groupBy("song_id", "island").agg(F.array_sort(F.collect_list(F.struct("a", "b", "center"))).alias("x")).select("song_id", "island", F.flatten(F.transform("x", lambda s: F.array(s["a"].cast("double"), s["b"].cast("double"), s["center"]))).alias("cores"))
+    whole = _together(own, ["song_id", "island"], "pitch", "confidence", "valid", "energy", "onset")
+    return spread(whole.join(found, ["song_id", "island"], "left"), "song_id").select("song_id", "frames", "cores").mapInPandas(_events_of_islands, EVENTS)
 
 
 #: Events of both lanes in order: a weak tail that touches a strict event of the same pitch, and wasn't struck, goes on with it.
@@ -306,21 +332,21 @@ def stable_events(frames: DataFrame) -> DataFrame:
     onset: none; a song without any energy has no silence, attacks or second lane.
     """
     seen = observed(frames)
-    cents = tuning(frames).select("song_id", F.col("cents").alias("off"))
+    cents = tuning(frames).select("song_id", F.col("cents").alias("off")).hint("merge")
     seen = seen.join(cents, "song_id").withColumn("pitch", F.col("pitch") - F.col("off") / 100).drop("off")
-    strict = kept(islands(seen.withColumn("allowed", F.lit(True)), STRICT), "strict-frames")
-    first = kept(lane_events(strict, STRICT), "strict-events")
+    strict = _kept(islands(seen.withColumn("allowed", F.lit(True)), STRICT), "strict-frames")
+    first = _kept(lane_events(strict, STRICT), "strict-events")
     ends = first.groupBy("song_id").agg(F.min("a").alias("first_a"), F.max("b").alias("last_b"))
     lookback = int(0.8 / STEP)
     free = strict.join(ends, "song_id").withColumn("allowed", F.col("island").isNull() & F.col("energy").isNotNull() & (F.col("i") >= F.col("first_a") - lookback) & (F.col("i") < F.col("last_b")))
-    weak = kept(islands(free.drop("valid", "island", "last_b"), WEAK), "weak-frames")
+    weak = _kept(islands(free.drop("valid", "island", "last_b"), WEAK), "weak-frames")
     second = lane_events(weak, WEAK).where(((F.col("b") - F.col("a")) * STEP >= 0.16 - 1e-8) & (F.col("core_frames") * STEP >= 0.12 - 1e-8)).join(ends, "song_id")
     # a weak first note needs an onset within 80 ms
     near = strict.where("onset").select("song_id", F.explode(F.sequence(F.col("i") - 5, F.col("i") + 5)).alias("a")).distinct()
     second = second.join(near.withColumn("begun", F.lit(True)), ["song_id", "a"], "left").where(F.col("begun") | (F.col("a") >= F.col("first_a")))
-    both = kept(first.withColumn("recovered", F.lit(False)).unionByName(second.drop("first_a", "last_b", "begun").withColumn("recovered", F.lit(True))), "events-of-both-lanes")
-    whole = kept(joined_tails(both, strict), "joined-events")
-    passed = kept(noise(kept(crests(whole, strict), "crest-events"), strict), "passed-events")
+    both = _kept(first.withColumn("recovered", F.lit(False)).unionByName(second.drop("first_a", "last_b", "begun").withColumn("recovered", F.lit(True))), "events-of-both-lanes")
+    whole = _kept(joined_tails(both, strict), "joined-events")
+    passed = _kept(noise(_kept(crests(whole, strict), "crest-events"), strict), "passed-events")
     out = contour(passed).join(passed.select("song_id", "a", "b", "crest", "absorbed"), ["song_id", "a", "b"]).join(whole.groupBy("song_id", "core_a").agg(F.max("tails").alias("tails")), ["song_id", "core_a"], "left")
     second_of = lambda c: F.round(F.col(c) * STEP, 4)
     return out.select("song_id", second_of("a").alias("start_s"), second_of("b").alias("end_s"), "midi", "nearest_midi", "center", second_of("core_a").alias("core_start_s"), second_of("core_b").alias("core_end_s"), "uncertain", "recovered", "crest", "absorbed", F.coalesce("tails", F.lit(0)).alias("tails"))
@@ -372,4 +398,4 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.view(spark, sf_dir, "frames")
 
 
-QUERIES = {"stable_core_events": lambda s, d: stable_events(_frames(s, d)), "decoders_compared": lambda s, d: compared(kept(replayed(_frames(s, d)), "replayed"), _frames(s, d))}
+QUERIES = {"stable_core_events": lambda s, d: stable_events(_frames(s, d)), "decoders_compared": lambda s, d: compared(_kept(replayed(_frames(s, d)), "replayed"), _frames(s, d))}
