@@ -237,3 +237,17 @@ def test_fingerprint_counts_have_no_cap(spark):
     sigs = fingerprints.signatures([b"a " * 70_000, b"a " * 200_000, b"a " * 70_000 + b"b"])
     assert abs(fingerprints.likeness(sigs[0], sigs[1]) - 0.35) < 0.2
     assert fingerprints.likeness(sigs[0], sigs[2]) > 0.9
+
+
+def test_lm_learns_from_every_training_text(spark):
+    # far more texts than any sample of a fixed size held: a byte that few of them have still counts for the code
+    docs = [(i, "aa bb" if i % 100 else "qq zz", None, None, None) for i in range(3000)]
+    train = frame(spark, docs)
+    text = "".join(t for _, t, *_ in docs)
+    counts = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
+    counts[0] += len(docs)
+    got, want = lm.learned_code(train), lm.code_from(counts)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    # all 30 rare texts count alike, whichever they are
+    scores = {(r["held_out"], round(r["score"], 9)) for r in lm.score(train).collect() if r["doc_id"] % 100 == 0}
+    assert len({s for held, s in scores if held}) <= 1 and len({s for held, s in scores if not held}) == 1
