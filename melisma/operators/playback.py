@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ SELECT m.score_id, m.moment, f.note_id, round((m.moment - f.start_s) / (f.end_s
 
 #: Fixed values of the file format: ticks of a quarter note, velocity of notes.
 PPQ, VELOCITY = 480, 88
+#: Scores whose events are Python objects at once.
+TOGETHER = 64
 
 
 def variable_length(value: int) -> bytes:
@@ -88,12 +91,15 @@ def midi_files(marks: DataFrame, heads: DataFrame) -> DataFrame:
     without sounding notes has the tempo alone. A row holds one score's events."""
     sounding = marks.where("kind <> 'mark' AND midi BETWEEN 0 AND 127").groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "midi"))).alias("events"))
 
-    def run(batches):
-        for rows in batches:
-            files = [midi_bytes([(e["midi"], e["start_s"], e["end_s"]) for e in (r.events if r.events is not None else [])], float(r.bpm), (int(r.beats), int(r.beat_unit)), float(r.duration_s)) for r in rows.itertuples()]
-            yield pd.DataFrame({"score_id": rows["score_id"], "midi": files})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                score, bpm, beats, unit, duration, events = (part[i].to_pylist() for i in range(6))
+                files = [midi_bytes([(e["midi"], e["start_s"], e["end_s"]) for e in own or []], float(b), (int(n), int(u)), float(d)) for b, n, u, d, own in zip(bpm, beats, unit, duration, events, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(score, pa.int64()), pa.array(files, pa.binary())], names=["score_id", "midi"])
 
-    return heads.select("score_id", "bpm", "beats", "beat_unit", "duration_s").join(sounding, "score_id", "left").mapInPandas(run, "score_id long, midi binary")
+    return heads.select("score_id", "bpm", "beats", "beat_unit", "duration_s").join(sounding, "score_id", "left").select("score_id", "bpm", "beats", "beat_unit", "duration_s", "events").mapInArrow(run, "score_id long, midi binary")
 
 
 _N = adapters.VIEWS["notes"]

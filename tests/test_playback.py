@@ -89,3 +89,17 @@ def test_midi_file(spark, tables):
     assert data[:4] == b"MThd" and data[8:14] == bytes([0, 0, 0, 1, 1, 224]) and struct.unpack(">I", data[18:22])[0] == len(data) - 22
     assert data.count(bytes([144, 67, 88])) == 2 and data.index(bytes([128, 67, 0])) < data.rindex(bytes([144, 67, 88])) and data.endswith(b"\xff\x2f\x00")
     assert bytes([255, 81, 3]) + (375_000).to_bytes(3, "big") in data and bytes([255, 88, 4, 6, 3, 36, 8]) in got[2]
+
+
+def test_only_a_few_scores_at_once_are_python_objects(spark, monkeypatch):
+    seen = []
+    heads = spark.createDataFrame([(1, 60, 4, 4, 1.0)], "score_id long, bpm long, beats long, beat_unit long, duration_s double")
+    monkeypatch.setattr(type(heads), "mapInArrow", lambda df, run, schema: seen.append(run))
+    playback.midi_files(spark.createDataFrame([], "score_id long, kind string, midi long, start_s double, end_s double"), heads)
+    n = 3 * playback.TOGETHER + 1
+    kind = playback.pa.list_(playback.pa.struct([("start_s", playback.pa.float64()), ("end_s", playback.pa.float64()), ("midi", playback.pa.int64())]))
+    events = playback.pa.array([None if i % 2 else [{"start_s": 0.0, "end_s": 0.5, "midi": 60 + i % 12}] for i in range(n)], kind)
+    batch = playback.pa.RecordBatch.from_arrays([playback.pa.array(x) for x in (list(range(n)), [60] * n, [4] * n, [4] * n, [1.0] * n)] + [events], names=["score_id", "bpm", "beats", "beat_unit", "duration_s", "events"])
+    got = list(seen[0]([batch]))
+    assert [b.num_rows for b in got] == [playback.TOGETHER] * 3 + [1]
+    assert [x for b in got for x in b["midi"].to_pylist()] == [playback.midi_bytes([] if i % 2 else [(60 + i % 12, 0.0, 0.5)], 60.0, (4, 4), 1.0) for i in range(n)]
