@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import adapters
 from .cores import DIP, STEP
+from .decoders import spread
 
 #: Fixed values of the analysis: samples a second and between frames, bands from 150 Hz to 6 kHz, seconds compared on each side.
 RATE, HOP, BANDS = 16_000, 256, 24
@@ -18,17 +19,22 @@ SIZE = round(0.064 * RATE) + round(0.064 * RATE) % 2
 CHUNK = 2048
 
 
-def spectral_changes(blocks: DataFrame) -> DataFrame:
+def spectral_changes(blocks: DataFrame, xs: Column | None = None) -> DataFrame:
     """SG9 over blocks (song_id, first, xs) of samples at RATE: (song_id, frame, change), one less the likeness of the spectral
     shapes REACH frames before and after; 0 at both ends. Loudness doesn't matter.
 
     A block goes to the chunks of frames that need it; no task holds more than a chunk. Samples that no block covers are silent.
+    Where a block's samples follow from its other columns, blocks have their number as size, and xs is the expression of them:
+    it is evaluated in the chunks, so that only what it needs is shuffled and sorted.
     """
-    samples = F.max(F.col("first") + F.size("xs")).over(Window.partitionBy("song_id"))
+    if xs is None:
+        blocks, xs = blocks.withColumn("size", F.size("xs")), F.col("xs")
+    samples = F.max(F.col("first") + F.col("size")).over(Window.partitionBy("song_id"))
     span, before = CHUNK * HOP, REACH * HOP + SIZE // 2
     low = F.greatest(F.lit(0), F.floor((F.col("first") - before) / span)).cast("long")
-    high = F.least(F.floor((F.col("first") + F.size("xs") - 1 + before) / span), F.floor(F.col("samples") / span)).cast("long")
-    dealt = blocks.where(F.size("xs") > 0).withColumn("samples", samples).withColumn("chunk", F.explode(F.sequence(low, high)))
+    high = F.least(F.floor((F.col("first") + F.col("size") - 1 + before) / span), F.floor(F.col("samples") / span)).cast("long")
+    dealt = blocks.where(F.col("size") > 0).withColumn("samples", samples).withColumn("chunk", F.explode(F.sequence(low, high)))
+    met = spread(dealt, "song_id", "chunk").sortWithinPartitions("song_id", "chunk").select("song_id", "chunk", "samples", "first", xs.alias("xs"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         song, chunk = key
@@ -50,7 +56,7 @@ def spectral_changes(blocks: DataFrame) -> DataFrame:
         change[(number < REACH) | (number >= frames - REACH)] = 0
         return pd.DataFrame({"song_id": song, "frame": number, "change": np.round(change, 9)})
 
-    return dealt.groupBy("song_id", "chunk").applyInPandas(run, "song_id long, frame long, change double")
+    return met.groupBy("song_id", "chunk").applyInPandas(run, "song_id long, frame long, change double")
 
 
 PIECES = "song_id long, event_a long, kind string, start_s double, end_s double, midi long, core_start_s double, core_end_s double, uncertain boolean, boundary_s double, change double, attack_s double"
@@ -150,13 +156,14 @@ def _sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("song_id", "i", "pitch", "voiced", "energy", "onset", F.when(F.col("onset"), 0.7).otherwise(F.col("i") % 5 * 0.02).alias("change"))
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """A tone of 512 samples for each event, one after the other."""
     e = adapters.view(spark, sf_dir, "note_events").selectExpr("song_id", "row_number() OVER (PARTITION BY song_id ORDER BY start_s, event_id) - 1 AS r", "midi")
     tone = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.sin(2 * np.pi * 220 * F.pow(F.lit(2.0), (F.col("midi") - 57) / 12) * i / RATE))
-    return e.select("song_id", (F.col("r") * 512).alias("first"), tone.alias("xs"))
+    return e.select("song_id", (F.col("r") * 512).alias("first"), F.lit(512).alias("size"), "midi"), tone
 
 
 QUERIES = {
-    "spectral_changes": lambda s, d: spectral_changes(_blocks(s, d)),
+    "spectral_changes": lambda s, d: spectral_changes(*_blocks(s, d)),
     "articulation_splits": lambda s, d: split_articulations(adapters.view(s, d, "core_events"), _sound(s, d)),
 }

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from melisma.operators import articulation, grid
 
@@ -66,6 +67,16 @@ def test_spectral_shape_does_not_depend_on_loudness_or_chunks(spark, monkeypatch
     assert again == pytest.approx(found, abs=1e-9)
 
 
+def test_samples_that_follow_from_other_columns_are_made_after_the_shuffle_and_sort(spark):
+    tone = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.sin(i * F.col("pitch") / 100))
+    small = spark.createDataFrame([(song, at * 512, 512, 3.0 + (at + song) % 5) for song in (1, 2) for at in range(9)], "song_id long, first long, size int, pitch double")
+    lazy = articulation.spectral_changes(small, tone)
+    whole = articulation.spectral_changes(small.select("song_id", "first", tone.alias("xs")))
+    assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, whole.collect()))
+    below = lazy._jdf.queryExecution().sparkPlan().toString()
+    assert "SIN(" in below and "SIN(" not in below[below.index("Sort ["):]
+
+
 def test_fixed_grid_of_a_long_song(spark):
     rng = np.random.default_rng(7)
     period = 60 / 79
