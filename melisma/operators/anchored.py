@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from bisect import insort
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from .decoders import spread
 
 #: Lengths of lyric phrases that may be landmarks.
 SIZES = (5, 4, 3)
+#: Pages whose observations are Python objects at once.
+TOGETHER = 64
 
 
 def _own(df: DataFrame, **types: str) -> DataFrame:
@@ -110,30 +117,68 @@ def merged_reads(notes: DataFrame, near: float = 13.0) -> DataFrame:
     return merged.select("measure_id", "k.place", "k.x", "k.lyric", "k.second")
 
 
+def _insorted(values: list[float], new: list[float], clean: bool) -> None:
+    """Values stay sorted, as numpy does it where some are no numbers."""
+    if clean:
+        for v in new:
+            insort(values, v)
+    else:
+        values[:] = np.sort(np.array([*values, *new], dtype=float)).tolist()
+
+
+def _rows_of_page(place: list, y: list, height: list, lyric: list, music: list, ys: list, heights: list) -> list[int]:
+    """The row of each observation of one page, numbered from the top."""
+    number = lambda v: math.nan if v is None else v
+    y, height = [number(v) for v in y], [number(v) for v in height]
+    ys, heights = ([[number(v) for v in g or ()] for g in c] for c in (ys, heights))
+    clean = not any(v != v for c in (*ys, *heights) for v in c)
+    groups: list[dict] = []
+    found = [0] * len(place)
+    for i in sorted(range(len(place)), key=lambda i: (place[i] is None, place[i])):
+        at, tall, sung, played = y[i], height[i], lyric[i], music[i]
+        for g in groups:
+            if (g["lyric"] == sung or (g["music"] and played)) and abs(g["y"] - at) < max(0.018, 0.55 * min(g["height"], tall)):
+                _insorted(g["ys"], ys[i], clean)
+                _insorted(g["heights"], heights[i], clean)
+                g["y"], g["height"] = g["ys"][len(g["ys"]) // 2], g["heights"][len(g["heights"]) // 2]
+                break
+        else:
+            g = {"y": at, "height": tall, "lyric": sung, "music": played, "ys": [], "heights": []}
+            _insorted(g["ys"], ys[i], clean)
+            _insorted(g["heights"], heights[i], clean)
+            groups.append(g)
+        g.setdefault("members", []).append(i)
+    groups.sort(key=lambda g: g["y"])
+    for n, g in enumerate(groups):
+        for i in g["members"]:
+            found[i] = n
+    return found
+
+
 def baseline_rows(observations: DataFrame) -> DataFrame:
     """X24 over (page_id, place, y, height, lyric, music): the printed row of each observation, by its middle. An observation joins
     the first row of its kind (lyrics or not, or both mostly music) whose median lies within .55 of the smaller height, .018 at
     least; rows are numbered from the top. Where observations have ys and heights, those of their glyphs, a row's medians are over
-    glyphs; of an even number, the upper one."""
-
-    def run(key: tuple, seen: pd.DataFrame) -> pd.DataFrame:
-        seen = seen.sort_values("place").reset_index(drop=True)
-        glyphs = {c: [np.asarray(v, dtype=float) for v in seen[f"{c}s"]] if f"{c}s" in seen else [np.array([v]) for v in seen[c]] for c in ("y", "height")}
-        upper = lambda v: float(np.sort(v)[len(v) // 2])
-        groups: list[dict] = []
-        for r in seen.itertuples():
-            fits = (g for g in groups if (g["lyric"] == r.lyric or (g["music"] and r.music)) and abs(g["y"] - r.y) < max(0.018, 0.55 * min(g["height"], r.height)))
-            g = next(fits, None)
-            if g is None:
-                groups.append({"members": [r.Index], "y": r.y, "height": r.height, "lyric": r.lyric, "music": r.music})
-            else:
-                g["members"].append(r.Index)
-                g["y"], g["height"] = (upper(np.concatenate([glyphs[c][i] for i in g["members"]])) for c in ("y", "height"))
-        groups.sort(key=lambda g: g["y"])
-        number = {i: n for n, g in enumerate(groups) for i in g["members"]}
-        return pd.DataFrame({"page_id": key[0], "place": seen["place"], "page_row": [number[i] for i in range(len(seen))]})
-
-    return spread(observations.withColumns({c: F.col(c).cast("double") for c in ("y", "height")}), "page_id").groupBy("page_id").applyInPandas(run, "page_id long, place long, page_row long")
+    glyphs; of an even number, the upper one. A row of a batch holds one page."""
+
+    y, height = (F.col(c).cast("double").alias(c) for c in ("y", "height"))
+    one = lambda c: F.col(f"{c}s").cast("array<double>") if f"{c}s" in observations.columns else F.array(F.col(c).cast("double"))
+    row = F.struct("place", y, height, F.col("lyric"), F.col("music"), one("y").alias("ys"), one("height").alias("heights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                pages, lists = batch.slice(start, TOGETHER).columns
+                place, *columns = (c.to_pylist() for c in lists.flatten().flatten())
+                ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+                number: list[int] = []
+                for a, z in zip([0, *ends], ends, strict=False):
+                    number += _rows_of_page(place[a:z], *(c[a:z] for c in columns))
+                page = np.repeat(np.arange(len(pages)), np.diff([0, *ends]))
+                yield pa.RecordBatch.from_arrays([pages.cast(pa.int64()).take(pa.array(page)), pa.array(place, pa.int64()), pa.array(number, pa.int64())], names=["page_id", "place", "page_row"])
+
+    pages = spread(observations.withColumn("seen", row), "page_id").groupBy("page_id").agg(F.collect_list("seen").alias("seen"))
+    return pages.mapInArrow(run, "page_id long, place long, page_row long")
 
 
 def _pair(spark, sf_dir):

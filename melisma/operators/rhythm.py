@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import adapters
+from .decoders import spread
 
 #: Fixed values of the analysis: samples a second, samples between frames, samples in a frame.
 RATE, HOP, SIZE = 11025, 110, 1024
@@ -69,17 +70,25 @@ def _peaks(x: np.ndarray, distance: int) -> list[int]:
     return kept
 
 
-def _folded(x: np.ndarray, step: float, period: float) -> float:
-    """Median over pieces of 24 s of how far the fullest phase of a period stands out."""
-    piece, phases, found = round(24 / step), max(8, round(period / step)), []
-    for start in range(0, len(x), piece):
-        part = x[start : start + piece]
-        if len(part) >= 3 / step:
-            place = np.floor(np.arange(len(part)) * step / period * phases).astype(int) % phases
-            sums = np.bincount(place, weights=part, minlength=phases)
-            smooth = 0.6 * sums + 0.2 * (np.roll(sums, 1) + np.roll(sums, -1))
-            found.append(smooth.max() / max(smooth.mean(), 1e-8))
-    return float(np.median(found)) if found else 0.0
+def _folded(x: np.ndarray, step: float, periods: np.ndarray) -> np.ndarray:
+    """For each period the median over pieces of 24 s of how far its fullest phase stands out. Periods of as many phases fold together;
+    frames without strength add nothing."""
+    piece = round(24 / step)
+    parts = [p for p in (x[start : start + piece] for start in range(0, len(x), piece)) if len(p) >= 3 / step]
+    if not parts:
+        return np.zeros(len(periods))
+    struck = [np.flatnonzero(p) for p in parts]
+    time, part = np.concatenate(struck) * step, np.repeat(np.arange(len(parts)), [len(at) for at in struck])
+    weight = np.concatenate([p[at] for p, at in zip(parts, struck, strict=True)])
+    phases, found = np.array([max(8, round(p / step)) for p in periods]), np.empty((len(periods), len(parts)))
+    for n in np.unique(phases).tolist():
+        own = np.flatnonzero(phases == n)
+        place = np.floor(time / periods[own, None] * n).astype(int) % n + (np.arange(len(own))[:, None] * len(parts) + part) * n
+        sums = np.bincount(place.ravel(), weights=np.tile(weight, len(own)), minlength=len(own) * len(parts) * n).reshape(-1, n)
+        around = np.concatenate([sums[:, -1:], sums, sums[:, :1]], axis=1)
+        smooth = 0.6 * sums + 0.2 * (around[:, :-2] + around[:, 2:])
+        found[own] = (smooth.max(1) / np.maximum(smooth.mean(1), 1e-8)).reshape(-1, len(parts))
+    return np.median(found, axis=1)
 
 
 def tempo_candidates(onsets: DataFrame, frame_s: float, most: int = 16) -> DataFrame:
@@ -97,15 +106,15 @@ def tempo_candidates(onsets: DataFrame, frame_s: float, most: int = 16) -> DataF
         same = np.fft.irfft(spectrum * np.conj(spectrum))[: len(x)]
         low, high = max(1, round(60 / 220 / frame_s)), round(60 / 45 / frame_s)
         lags = [p + low for p in _peaks(same[low:high], 3)[:12]] or [int(same[low:high].argmax()) + low]
-        raw = []
-        for lag in lags:
-            for period in np.linspace(lag - 1, lag + 1, 17) * frame_s:
-                if period > 0:
-                    value = _folded(x, frame_s, period) * max(same[lag] / max(same[0], 1e-8), 0.01) ** 0.25 * np.exp(-0.3 * np.log2(60 / period / 95) ** 2)
-                    raw.append((lag, value, period))
-        best = pd.DataFrame(raw, columns=["lag", "value", "period"]).sort_values("value", ascending=False, kind="stable").drop_duplicates("lag")
+        lag = np.repeat(lags, 17)
+        period = np.concatenate([np.linspace(p - 1, p + 1, 17) for p in lags]) * frame_s
+        lag, period = lag[period > 0], period[period > 0]
+        sure = {p: max(same[p] / max(same[0], 1e-8), 0.01) ** 0.25 for p in lags}
+        value = np.array([f * sure[p] * np.exp(-0.3 * np.log2(60 / t / 95) ** 2) for f, p, t in zip(_folded(x, frame_s, period), lag, period, strict=True)])
+        order = np.argsort(-value, kind="stable")
+        best = order[np.sort(np.unique(lag[order], return_index=True)[1])]
         kept: list[tuple[float, float, float | None]] = []
-        for bpm, value in zip((60 / best["period"]).round(2), best["value"].round(3), strict=True):
+        for bpm, value in zip((60 / period[best]).round(2).tolist(), value[best].round(3).tolist(), strict=True):
             if all(abs(bpm - other) > 2 for other, _, _ in kept):
                 kept.append((bpm, value, None))
         for source, value, _ in kept[:6]:
@@ -115,7 +124,7 @@ def tempo_candidates(onsets: DataFrame, frame_s: float, most: int = 16) -> DataF
         kept = sorted(kept, key=lambda c: -c[1])[:most]
         return pd.DataFrame([(key[0], i + 1, float(b), float(v), s) for i, (b, v, s) in enumerate(kept)], columns=none.columns)
 
-    return onsets.groupBy("song_id").applyInPandas(run, "song_id long, rank long, bpm double, score double, derived_from double")
+    return spread(onsets, "song_id").groupBy("song_id").applyInPandas(run, "song_id long, rank long, bpm double, score double, derived_from double")
 
 
 def sounding_part(frames: DataFrame, hop_s: float = 0.08, window_s: float = 30.0) -> DataFrame:

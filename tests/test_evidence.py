@@ -4,6 +4,8 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from melisma.operators import anchored, harmony, phrases, rhythm
 from melisma.plans import catalog
@@ -70,6 +72,24 @@ def test_tempo_of_pulses(spark, bpm):
     assert all(abs(a - b) > 2 for i, a in enumerate(own) for b in own[:i])
 
 
+def test_periods_fold_together_as_alone_and_songs_are_dealt_out(spark):
+    x = np.random.default_rng(5).random(3100) * (np.arange(3100) % 7 < 2)
+    periods = np.linspace(0.3, 1.4, 60)
+
+    def alone(period):
+        n, found = max(8, round(period / 0.02)), []
+        for part in (x[:1200], x[1200:2400], x[2400:]):
+            sums = np.bincount(np.floor(np.arange(len(part)) * 0.02 / period * n).astype(int) % n, weights=part, minlength=n)
+            smooth = 0.6 * sums + 0.2 * (np.roll(sums, 1) + np.roll(sums, -1))
+            found.append(smooth.max() / smooth.mean())
+        return np.median(found)
+
+    assert rhythm._folded(x, 0.02, periods).tolist() == [alone(p) for p in periods]
+    songs = spark.range(4000).selectExpr("id % 40 AS song_id", "id AS frame", "1D AS strength")
+    dealt = songs.withColumn("frame", F.row_number().over(Window.partitionBy("song_id").orderBy("frame")).cast("long"))
+    assert rhythm.tempo_candidates(dealt, 0.02).rdd.getNumPartitions() > 1
+
+
 def test_novelty_equals_one_pass_over_the_sound(spark):
     x = np.random.default_rng(1).normal(0, 0.01, 3 * rhythm.CHUNK * rhythm.HOP // 2)
     for at in range(2000, len(x) - 400, 5500):
@@ -179,3 +199,11 @@ def test_rows_of_a_page(spark):
     many = [(1, 1, 0.5, 0.04, False, True, [0.5] * 5, [0.04] * 5), (1, 2, 0.515, 0.04, False, True, [0.515], [0.04]), (1, 3, 0.53, 0.04, False, True, [0.53], [0.04])]
     got = [r["page_row"] for r in anchored.baseline_rows(spark.createDataFrame(many, kind)).orderBy("place").collect()]
     assert got == [0, 0, 1]  # glyphs weigh, not observations
+
+
+def test_pages_are_rows_of_a_batch(spark):
+    rows = [(p, i, y, 0.04, None if i == 2 else False, i != 1) for p in range(200) for i, y in enumerate((0.5, None, 0.9, 0.51 + p % 2))]
+    found = anchored.baseline_rows(spark.createDataFrame(rows, "page_id long, place long, y double, height double, lyric boolean, music boolean"))
+    got = {(r["page_id"], r["place"]): r["page_row"] for r in found.collect()}
+    assert len(got) == 800 and all(got[p, 0] < got[p, 2] and (got[p, 3] == got[p, 0]) == (p % 2 == 0) for p in range(200))
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().toString()) and "FlatMapGroups" not in plan
