@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +16,53 @@ CJK, DIGITS = "[\\u3400-\\u9fff]", "[0-7]"
 UNTITLED = "图片导入的简谱"
 
 
-class Page(NamedTuple):
-    """notes, chords, heads (one row a page: key, meter, title, rows without bars): all carry page_id."""
+class Page:
+    """notes, chords, heads (one row a page: key, meter, title, rows without bars): all carry page_id. Each is worked out when it is
+    asked for, so that heads don't wait for notes; tables that several of them need are written once."""
 
-    notes: DataFrame
-    chords: DataFrame
-    heads: DataFrame
+    def __init__(self, observations: DataFrame, bars: DataFrame, printed: DataFrame):
+        self._observations, self._given, self._printed = observations, bars, printed
+
+    def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        return self._observations.sparkSession.sql(text, **frames)
+
+    @cached_property
+    def _bars(self) -> DataFrame:
+        return kept(self._given.select("page_id", "y", "x"), "page-bars")
+
+    @cached_property
+    def _glyphs(self) -> DataFrame:
+        seen = kept(self._observations.where(F.size("glyphs") > 0).withColumns({"tab": F.coalesce("tab", F.lit(False)), "width": F.col("width").cast("double")}), "page-glyphs")
+        music = F.size(F.filter("glyphs", lambda g: g["ch"].rlike("^[0-7iIjJlL•.\\-—|:：]$"))) / F.size("glyphs") > 0.55
+        measured = seen.select("page_id", "place", _middle("y").alias("y"), _middle("height").alias("height"), F.exists("glyphs", lambda g: g["ch"].rlike(CJK)).alias("lyric"), music.alias("music"), F.transform("glyphs", lambda g: g["y"]).alias("ys"), F.transform("glyphs", lambda g: g["height"]).alias("heights"))
+        fields = ("ch", "x", "y", "height", "octave", "dots", "beams")
+        return kept(seen.join(baseline_rows(measured), ["page_id", "place"]).select("page_id", "page_row", "tab", "width", F.explode("glyphs").alias("g")).select("page_id", "page_row", "tab", "width", *[F.col(f"g.{c}").alias(c) for c in fields]), "page-rows-of-glyphs")
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return kept(self._sql(ROWS, glyphs=self._glyphs, bars=self._bars), "page-rows")
+
+    @cached_property
+    def _written(self) -> DataFrame:
+        return kept(self._sql(NOTES, glyphs=self._glyphs, rows=self._rows, bars=self._bars), "page-notes")
+
+    @property
+    def notes(self) -> DataFrame:
+        notes = self._written
+        sung = notes.join(self._sql(LYRICS, glyphs=self._glyphs, rows=self._rows, notes=notes), ["page_id", "place"], "left").withColumn("lyric", F.coalesce("lyric", F.lit("")))
+        return sung.select("page_id", "place", "measure", "degree", "accidental", "octave", "base", "dots", "hold", "lyric")
+
+    @property
+    def chords(self) -> DataFrame:
+        notes, rows, bars = self._written, self._rows, self._bars
+        # a row's first measure, from any of its notes
+        first = notes.join(rows.where("melody").select("page_id", "system"), ["page_id", "system"]).groupBy("page_id", "system").agg(F.min("measure").alias("least"), F.min("x").alias("x"))
+        begun = first.join(bars.join(rows.where("melody").select("page_id", "system", F.col("y").alias("row_y"), "height"), "page_id").where("abs(y - row_y) <= greatest(18e-3, 75e-2 * height)").select("page_id", "system", F.col("x").alias("bar_x")), ["page_id", "system"], "left").groupBy("page_id", "system").agg((F.min("least") - F.count(F.when(F.col("bar_x") < F.col("x"), 1))).alias("first_measure"))
+        return self._sql(CHORDS, glyphs=self._glyphs, rows=rows, bars=bars, printed=self._printed).join(begun, ["page_id", "system"]).select("page_id", (F.col("first_measure") + F.col("bars_before")).alias("measure"), "x", "label")
+
+    @property
+    def heads(self) -> DataFrame:
+        return self._sql(HEADS, rows=self._rows)
 
 
 def _middle(column: str):
@@ -95,26 +136,12 @@ def parsed_pages(observations: DataFrame, bars: DataFrame, printed: DataFrame) -
     above a row to their measure, or, where none are printed there, letters below it. Pages without melody rows have a head
     with 0 systems and no notes. Null glyph lists are empty.
     """
-    spark = observations.sparkSession
-    sql = lambda text, **frames: spark.sql(text, **frames)
-    seen = kept(observations.where(F.size("glyphs") > 0).withColumns({"tab": F.coalesce("tab", F.lit(False)), "width": F.col("width").cast("double")}), "page-glyphs")
-    music = F.size(F.filter("glyphs", lambda g: g["ch"].rlike("^[0-7iIjJlL•.\\-—|:：]$"))) / F.size("glyphs") > 0.55
-    measured = seen.select("page_id", "place", _middle("y").alias("y"), _middle("height").alias("height"), F.exists("glyphs", lambda g: g["ch"].rlike(CJK)).alias("lyric"), music.alias("music"), F.transform("glyphs", lambda g: g["y"]).alias("ys"), F.transform("glyphs", lambda g: g["height"]).alias("heights"))
-    fields = ("ch", "x", "y", "height", "octave", "dots", "beams")
-    glyphs = kept(seen.join(baseline_rows(measured), ["page_id", "place"]).select("page_id", "page_row", "tab", "width", F.explode("glyphs").alias("g")).select("page_id", "page_row", "tab", "width", *[F.col(f"g.{c}").alias(c) for c in fields]), "page-rows-of-glyphs")
-    rows = kept(sql(ROWS, glyphs=glyphs, bars=bars), "page-rows")
-    notes = kept(sql(NOTES, glyphs=glyphs, rows=rows, bars=bars), "page-notes")
-    sung = notes.join(sql(LYRICS, glyphs=glyphs, rows=rows, notes=notes), ["page_id", "place"], "left").withColumn("lyric", F.coalesce("lyric", F.lit("")))
-    # a row's first measure, from any of its notes
-    first = notes.join(rows.where("melody").select("page_id", "system"), ["page_id", "system"]).groupBy("page_id", "system").agg(F.min("measure").alias("least"), F.min("x").alias("x"))
-    begun = first.join(bars.join(rows.where("melody").select("page_id", "system", F.col("y").alias("row_y"), "height"), "page_id").where("abs(y - row_y) <= greatest(18e-3, 75e-2 * height)").select("page_id", "system", F.col("x").alias("bar_x")), ["page_id", "system"], "left").groupBy("page_id", "system").agg((F.min("least") - F.count(F.when(F.col("bar_x") < F.col("x"), 1))).alias("first_measure"))
-    chords = sql(CHORDS, glyphs=glyphs, rows=rows, bars=bars, printed=printed).join(begun, ["page_id", "system"]).select("page_id", (F.col("first_measure") + F.col("bars_before")).alias("measure"), "x", "label")
-    return Page(sung.select("page_id", "place", "measure", "degree", "accidental", "octave", "base", "dots", "hold", "lyric"), chords, sql(HEADS, rows=rows))
+    return Page(observations, bars, printed)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> Page:
     """Each score as a page: four measures a row, a row of syllables below, a head with key and meter."""
-    n = adapters.view(spark, sf_dir, "notes").withColumn("system", F.floor(F.col("m_idx") / 4))
+    n = kept(adapters.view(spark, sf_dir, "notes").select("score_id", "m_idx", "n_idx", "note_id", "degree", "base", "octave", "dots"), "page-written").withColumn("system", F.floor(F.col("m_idx") / 4))
     n = n.withColumns({"x": 0.05 + (F.col("m_idx") % 4) * 0.23 + F.col("n_idx") * 0.028, "y": 0.1 + F.col("system") * 0.1})
     glyph = lambda ch, y: F.struct(ch.alias("ch"), F.col("x").alias("x"), y.alias("y"), F.lit(0.02).alias("height"), F.least(F.col("octave"), F.lit(1)).cast("int").alias("octave"), F.col("dots").cast("int").alias("dots"), (F.col("base") / 8).cast("int").alias("beams"))
     sung = F.when((F.col("degree") > 0) & (F.col("note_id") % 3 > 0), F.substring(F.lit("天地人你我他好春夏秋冬山水火"), (F.col("note_id") % 14 + 1).cast("int"), F.lit(1)))

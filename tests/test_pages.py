@@ -79,3 +79,12 @@ def test_rows_key_meter_title_and_letters_below(read):
 def test_pages_without_notes(read):
     notes, _, heads = read
     assert notes["words only"] == [] and heads["words only"][0]["systems"] == 0 and heads["words only"][0]["meter"] == "4/4"
+
+
+def test_heads_do_not_wait_for_notes(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(pages, "kept", lambda df, label: wrote.append(label) or df)
+    seen = spark.createDataFrame([], OBSERVED)
+    bars, chords = spark.createDataFrame([], "page_id long, y double, x double"), spark.createDataFrame([], "page_id long, y double, x double, label string")
+    assert pages.parsed_pages(seen, bars, chords).heads.count() == 0
+    assert "page-rows" in wrote and "page-notes" not in wrote
