@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..plans.sqlop import operator
 from ..sources import adapters
+from .decoders import spread
 
 #: Least likeness of a phrase and a window of heard characters, and least run of equal characters.
 LIKE, RUN = 0.55, 2
@@ -81,6 +84,7 @@ class Heard:
 
     def __init__(self, text: str):
         self.text, self.known = text, {}
+        self.letters = np.array(list(text), dtype=object)
 
     def like(self, phrase: str, window: str):
         if (phrase, window) not in self.known:
@@ -97,9 +101,14 @@ class Heard:
         found = []
         if hits is None:
             return found
+        # of each letter of the phrase how many stand before a place: letters in common bound the likeness of a window
+        own = Counter(phrase)
+        before = np.array([np.concatenate(([0], np.cumsum(self.letters == c))) for c in own])
+        most = np.array(list(own.values()))[:, None]
         for length in range(max(RUN, int(size * 0.7)), min(n, int(size * 1.3) + 2) + 1):
-            starts = np.arange(n - length + 1)
-            for start in starts[hits[starts + length - RUN + 1] > hits[starts]].tolist():
+            starts = np.flatnonzero(hits[length - RUN + 1 :] > hits[: n - length + 1])
+            common = np.minimum(before[:, starts + length] - before[:, starts], most).sum(0)
+            for start in starts[2.0 * common / (size + length) >= LIKE].tolist():
                 ratio, blocks = self.like(phrase, self.text[start : start + length])
                 if blocks:
                     found.append((start, length, ratio, blocks))
@@ -167,7 +176,7 @@ def phrase_windows(lines: DataFrame, heard: DataFrame, ordered: bool = True) ->
         return pd.DataFrame(out, columns=["song_id", "line_id", "start_s", "end_s", "similarity", "places", "times"])
 
     schema = "song_id long, line_id long, start_s double, end_s double, similarity double, places array<int>, times array<double>"
-    return lines.groupBy("song_id").cogroup(heard.groupBy("song_id")).applyInPandas(run, schema)
+    return spread(lines, "song_id").groupBy("song_id").cogroup(spread(heard, "song_id").groupBy("song_id")).applyInPandas(run, schema)
 
 
 def ordered_lines(characters: DataFrame) -> DataFrame:
@@ -177,13 +186,16 @@ def ordered_lines(characters: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["line_id", "char_id"]).reset_index(drop=True)
-        timed = np.isfinite(rows["start_s"].astype(float)) & np.isfinite(rows["end_s"].astype(float))
-        parts = list(rows.groupby("line_id").indices.values())
-        sure = [rows.loc[p, "start_s"][timed[p] & rows.loc[p, "acoustic"].astype(bool)] for p in parts]
+        start, stop = (rows[c].to_numpy(dtype=float, na_value=np.nan) for c in ("start_s", "end_s"))
+        timed = np.isfinite(start) & np.isfinite(stop)
+        acoustic, line = timed & rows["acoustic"].astype(bool).to_numpy(), rows["line_id"][rows["line_id"].notna()].to_numpy()
+        edges = [0, *(np.flatnonzero(line[1:] != line[:-1]) + 1).tolist(), len(line)] if len(line) else [0]
+        parts = [slice(a, z) for a, z in pairwise(edges)]
+        sure = [start[p][acoustic[p]] for p in parts]
         first = np.array([s.min() if len(s) >= 2 else np.inf for s in sure])
         end, waits = 0.0, np.zeros(len(rows), dtype=bool)
         for i, p in enumerate(parts):
-            s, e = (rows.loc[p, c][timed[p]].to_numpy(float) for c in ("start_s", "end_s"))
+            s, e = start[p][timed[p]], stop[p][timed[p]]
             if not len(s):
                 continue
             later = first[i + 1 :]
@@ -196,7 +208,7 @@ def ordered_lines(characters: DataFrame) -> DataFrame:
         kept = lambda c, drop: rows[c].astype(float).mask(drop)
         return pd.DataFrame({"song_id": key[0], "char_id": rows["char_id"], "line_id": rows["line_id"], "start_s": kept("start_s", lost), "end_s": kept("end_s", lost), "observed_start": kept("start_s", ~lost), "observed_end": kept("end_s", ~lost), "pending": waits})
 
-    return characters.groupBy("song_id").applyInPandas(run, "song_id long, char_id long, line_id long, start_s double, end_s double, observed_start double, observed_end double, pending boolean")
+    return spread(characters, "song_id").groupBy("song_id").applyInPandas(run, "song_id long, char_id long, line_id long, start_s double, end_s double, observed_start double, observed_end double, pending boolean")
 
 
 def _sung(spark, sf_dir):
