@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import adapters
+from .decoders import spread
 
 #: Grid units of a bar; the least core in seconds that counts as stable.
 BAR, CORE = 16, 0.08
@@ -118,7 +119,7 @@ def placed_onsets(events: DataFrame, bar: int = BAR) -> DataFrame:
     """
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("manual", "uncertain", "recovered", "crest")}
     evidence = bar_evidence(sung_events(events.withColumns(flags)), bar)
-    return evidence.groupBy("song_id").applyInPandas(_path, PLACED)
+    return spread(evidence, "song_id").groupBy("song_id").applyInPandas(_path, PLACED)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
