@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TICKS
+from ..plans.shared import kept
 from ..sources import adapters
 from .documents import recovered
 
@@ -43,25 +44,28 @@ def parsed(documents: DataFrame) -> DataFrame:
     return documents.select("score_id", first.alias("s")).select("score_id", F.when(F.col("s.version").isNotNull() | F.col("s.measures").isNotNull(), s).alias("s"))
 
 
-def tables(documents: DataFrame) -> ScoreTables:
-    """IO1: the tables of (score_id, body). Each is planned from the bodies; write them where several steps read them."""
-    s = parsed(documents)
+def tables(documents: DataFrame, stored: bool = False) -> ScoreTables:
+    """IO1: the tables of (score_id, body). Each is planned from the bodies; stored: the bodies are read once, and what was read and
+    the notes are written to the shared folder, for steps that read them often. place: of a note in its score, from 1."""
+    s = kept(parsed(documents), "score-bodies") if stored else parsed(documents)
     heads = s.select(
         "score_id", F.col("s").isNotNull().alias("readable"), "s.version", "s.title", "s.key", F.concat_ws("/", F.get("s.meter", 0), F.get("s.meter", 1)).alias("meter"), F.size("s.meter").alias("meter_parts"), "s.tempo",
         F.coalesce("s.manualBarlines", F.lit(False)).alias("manual"), F.size("s.measures").alias("n_measures"), F.size("s.spans").alias("n_spans"), F.coalesce(F.size("s.endings"), F.lit(-1)).alias("n_endings"), F.coalesce(F.size("s.lyrics"), F.lit(-1)).alias("n_lyrics"),
     )
     measures = s.select("score_id", F.posexplode("s.measures").alias("m_idx", "m")).select("score_id", "m_idx", F.col("m.id").alias("measure_id"), F.size("m.notes").alias("n_notes"), (F.col("m.repeatStart").isNotNull() & F.col("m.repeatEnd").isNotNull()).alias("repeats"), "m.notes")
-    notes = measures.select("score_id", "m_idx", "measure_id", F.posexplode("notes").alias("n_idx", "n")).select(
-        "score_id", "m_idx", "measure_id", "n_idx", F.col("n.id").alias("note_id"), "n.degree", "n.base", "n.octave", "n.dots", F.coalesce("n.accidental", F.lit(0)).alias("accidental"),
+    in_measure = lambda m, i: F.transform(F.coalesce(m["notes"], F.array()), lambda n, j: F.struct(i.alias("m_idx"), m["id"].alias("measure_id"), j.alias("n_idx"), n.alias("n")))
+    notes = s.select("score_id", F.posexplode(F.flatten(F.transform("s.measures", in_measure))).alias("before", "x")).select("score_id", (F.col("before") + 1).alias("place"), "x.*").select(
+        "score_id", "m_idx", "measure_id", "n_idx", "place", F.col("n.id").alias("note_id"), "n.degree", "n.base", "n.octave", "n.dots", F.coalesce("n.accidental", F.lit(0)).alias("accidental"),
         F.col("n.tuplet").isNotNull().alias("in_tuplet"), F.col("n.tuplet.id").alias("tuplet_id"), F.col("n.tuplet.actual").alias("actual"), F.col("n.tuplet.normal").alias("normal"),
         F.col("n.grace").isNotNull().alias("graced"), F.col("n.grace.degree").alias("grace_degree"), F.col("n.grace.octave").alias("grace_octave"), F.col("n.grace.base").alias("grace_base"),
     )
     flat = lambda name: s.select("score_id", F.inline(f"s.{name}"))
+    notes = kept(notes, "score-notes") if stored else notes
     return ScoreTables(heads, measures.drop("notes"), notes, flat("spans"), flat("endings"), flat("lyrics"))
 
 
 _RULES = f"""
-WITH n AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS place, CASE WHEN in_tuplet THEN 2e0 / 3 ELSE 1e0 END * {TICKS} AS ticks FROM {{notes}}),
+WITH n AS (SELECT *, CASE WHEN in_tuplet THEN 2e0 / 3 ELSE 1e0 END * {TICKS} AS ticks FROM {{notes}}),
 ids AS (SELECT score_id, measure_id AS id FROM {{measures}} UNION ALL SELECT score_id, note_id FROM {{notes}} UNION ALL SELECT score_id, id FROM {{spans}} UNION ALL SELECT score_id, id FROM {{endings}}
         UNION ALL SELECT DISTINCT score_id, tuplet_id FROM {{notes}} WHERE in_tuplet AND tuplet_id IS NOT NULL),
 t AS (SELECT score_id, m_idx, tuplet_id, count(*) AS n, max(n_idx) - min(n_idx) AS width, count(DISTINCT base) AS bases FROM {{notes}} WHERE in_tuplet AND tuplet_id IS NOT NULL GROUP BY score_id, m_idx, tuplet_id),
@@ -160,7 +164,7 @@ def _broken(spark, sf_dir):
 
 QUERIES = {
     "document_notes": lambda s, d: tables(_documents(s, d)).notes.select("score_id", F.col("m_idx").cast("long").alias("m_idx"), F.col("note_id").cast("long").alias("note_id"), *[F.col(c).cast("long").alias(c) for c in ("degree", "base", "octave", "dots", "accidental")]),
-    "document_violations": lambda s, d: violations(tables(_documents(s, d))),
+    "document_violations": lambda s, d: violations(tables(_documents(s, d), stored=True)),
     "result_notes": lambda s, d: result_notes(_results(s, d)),
     "recovered_measures": lambda s, d: recovered_measures(_broken(s, d)),
 }
