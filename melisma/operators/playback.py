@@ -15,18 +15,18 @@ from ..sources import adapters
 
 #: Where each note stands as written: measures keep their silent rest, missing ones their whole length.
 _WRITTEN = f"""
-WITH m AS (SELECT n.score_id, n.m_idx, coalesce(max(n.manual_ticks), max(s.meter) * 16) AS length, max(s.meter) * 16 AS capacity FROM {{played_notes}} AS n JOIN {{plays}} AS s ON s.score_id = n.score_id GROUP BY n.score_id, n.m_idx),
+WITH m AS (SELECT n.score_id, n.m_idx, coalesce(max(n.manual_ticks), max(s.meter) * 16) AS length, max(s.meter) * 16 AS capacity FROM {{played_notes}} AS n JOIN {{plays}} AS s ON s.score_id = n.score_id GROUP BY n.score_id, n.m_idx)[[stored:m|*]],
 b AS (SELECT *, sum(length) OVER (w) - length + (m_idx - row_number() OVER (w) + 1) * capacity AS before FROM m WINDOW w AS (PARTITION BY score_id ORDER BY m_idx)),
 o AS (SELECT p.score_id, coalesce(min(CASE WHEN b.m_idx = p.first_measure THEN b.before - (b.m_idx - p.start_measure) * b.capacity END), 0) AS origin FROM (SELECT y.score_id, y.start_measure, min(x.m_idx) AS first_measure FROM {{plays}} AS y LEFT JOIN m AS x ON x.score_id = y.score_id AND x.m_idx >= y.start_measure GROUP BY y.score_id, y.start_measure) AS p LEFT JOIN b ON b.score_id = p.score_id GROUP BY p.score_id),
 n AS (SELECT p.*, {TICKS} AS ticks, b.before + sum({TICKS}) OVER (PARTITION BY p.score_id, p.m_idx ORDER BY p.n_idx) - {TICKS} AS placed, row_number() OVER (PARTITION BY p.score_id ORDER BY p.m_idx, p.n_idx) AS i FROM {{played_notes}} AS p JOIN b ON b.score_id = p.score_id AND b.m_idx = p.m_idx),
 w AS (SELECT n.*, s.bpm, s.start_measure, s.clip_start, 60e0 / s.bpm / 16 AS unit, s.do_midi, n.placed - o.origin AS at_tick FROM n JOIN {{plays}} AS s ON s.score_id = n.score_id JOIN o ON o.score_id = n.score_id)
 """
 timeline = operator("score_timeline", "played_notes plays", f"""{_WRITTEN.rstrip()},
-t AS (SELECT *, at_tick * unit AS a, (at_tick + ticks) * unit AS z, lag(tie AND degree > 0 AND at_tick + ticks >= 0) OVER p AS held, lag(at_tick + ticks) OVER p AS held_to, {MIDI} - 60 + do_midi AS midi, do_midi + (CASE grace_degree WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 7 WHEN 6 THEN 9 WHEN 7 THEN 11 END) + 12 * grace_octave AS grace_midi FROM w WHERE m_idx >= start_measure WINDOW p AS (PARTITION BY score_id ORDER BY i)),
+t AS (SELECT *, at_tick * unit AS a, (at_tick + ticks) * unit AS z, lag(tie AND degree > 0 AND at_tick + ticks >= 0) OVER p AS held, lag(at_tick + ticks) OVER p AS held_to, {MIDI} - 60 + do_midi AS midi, do_midi + (CASE grace_degree WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 7 WHEN 6 THEN 9 WHEN 7 THEN 11 END) + 12 * grace_octave AS grace_midi FROM w WHERE m_idx >= start_measure WINDOW p AS (PARTITION BY score_id ORDER BY i))[[stored:t|score_id, note_id, m_idx, i, bpm, degree, at_tick, a, z, held, held_to, midi, grace_degree, grace_midi]],
 e AS (SELECT *, CASE WHEN degree = 0 THEN 0 WHEN coalesce(held, false) AND abs(held_to - at_tick) < 1e-6 AND grace_degree IS NULL THEN 0 ELSE 1 END AS begins FROM t),
 g AS (SELECT *, sum(begins) OVER (PARTITION BY score_id ORDER BY i) AS event FROM e WHERE degree > 0),
 h AS (SELECT score_id, event, min(i) AS i, max(z) AS z FROM g GROUP BY score_id, event),
-x AS (SELECT g.*, h.z AS event_end, CASE WHEN g.grace_degree IS NOT NULL THEN least((g.z - g.a) / 4, 15e0 / g.bpm) ELSE 0e0 END AS leans FROM g JOIN h ON h.score_id = g.score_id AND h.event = g.event AND h.i = g.i)
+x AS (SELECT g.*, h.z AS event_end, CASE WHEN g.grace_degree IS NOT NULL THEN least((g.z - g.a) / 4, 15e0 / g.bpm) ELSE 0e0 END AS leans FROM g JOIN h ON h.score_id = g.score_id AND h.event = g.event AND h.i = g.i)[[stored:x|score_id, note_id, m_idx, midi, grace_degree, grace_midi, a, leans, event_end]]
 SELECT score_id, 'mark' AS kind, note_id, m_idx, CAST(NULL AS BIGINT) AS midi, round(a, 6) AS start_s, round(z, 6) AS end_s FROM t
 UNION ALL SELECT score_id, 'note', note_id, m_idx, CAST(midi AS BIGINT), round(a + leans, 6), round(event_end, 6) FROM x
 UNION ALL SELECT score_id, 'grace', note_id, m_idx, CAST(grace_midi AS BIGINT), round(a, 6), round(a + leans, 6) FROM x WHERE grace_degree IS NOT NULL
@@ -35,15 +35,15 @@ UNION ALL SELECT score_id, 'grace', note_id, m_idx, CAST(grace_midi AS BIGINT),
 segments = operator("recording_segments", "played_notes plays", f"""{_WRITTEN.rstrip()},
 r AS (SELECT *, coalesce(grid_start, source_s) AS begun, CASE WHEN grid_start IS NOT NULL THEN grid_end ELSE source_end END AS ended, grid_start IS NOT NULL AS gridded, grid_start IS NOT NULL OR source_s IS NOT NULL AS known FROM w),
 c AS (SELECT *, sum(CASE WHEN known THEN 1 ELSE 0 END) OVER (PARTITION BY score_id ORDER BY i) AS k, CASE WHEN known THEN CASE WHEN NOT gridded AND coalesce(lag(known AND NOT gridded) OVER p, false) AND lag(source_s) OVER p = source_s AND coalesce(lag(source_end) OVER p, -1e0) = coalesce(source_end, -1e0) THEN 0 ELSE 1 END ELSE 0 END AS fresh FROM r WINDOW p AS (PARTITION BY score_id ORDER BY i)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id ORDER BY i) AS grp FROM c),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id ORDER BY i) AS grp FROM c)[[stored:g|score_id, note_id, i, k, grp, known, begun, ended, ticks, unit, at_tick, degree, clip_start]],
 q AS (SELECT score_id, grp, min(begun) AS begun, max(ended) AS ended, sum(ticks) AS ticks, max(unit) AS unit FROM g WHERE known GROUP BY score_id, grp),
 l AS (SELECT *, lead(begun) OVER (PARTITION BY score_id ORDER BY grp) AS next_begun FROM q),
 d AS (SELECT score_id, grp, begun, ticks, coalesce(ended, CASE WHEN next_begun > begun THEN least(next_begun, begun + ticks * unit) ELSE begun + ticks * unit END) AS ended FROM l),
-s AS (SELECT g.score_id, g.note_id, g.i, g.k, g.ticks, g.unit, g.at_tick, d.begun + (d.ended - d.begun) * (sum(g.ticks) OVER (u) - g.ticks) / d.ticks AS a, d.begun + (d.ended - d.begun) * sum(g.ticks) OVER (u) / d.ticks AS z FROM g JOIN d ON d.score_id = g.score_id AND d.grp = g.grp WHERE g.known WINDOW u AS (PARTITION BY g.score_id, g.grp ORDER BY g.i)),
+s AS (SELECT g.score_id, g.note_id, g.i, g.k, g.ticks, g.unit, g.at_tick, d.begun + (d.ended - d.begun) * (sum(g.ticks) OVER (u) - g.ticks) / d.ticks AS a, d.begun + (d.ended - d.begun) * sum(g.ticks) OVER (u) / d.ticks AS z FROM g JOIN d ON d.score_id = g.score_id AND d.grp = g.grp WHERE g.known WINDOW u AS (PARTITION BY g.score_id, g.grp ORDER BY g.i))[[stored:s|score_id, note_id, k, ticks, at_tick, a, z]],
 f AS (SELECT score_id, max(k) AS last_k FROM s GROUP BY score_id),
 v AS (SELECT g.*, sum(g.ticks) OVER (PARTITION BY g.score_id, g.k) AS gap_ticks, sum(g.ticks) OVER (PARTITION BY g.score_id, g.k ORDER BY g.i) AS so_far, max(g.degree) OVER (PARTITION BY g.score_id, g.k) AS loudest FROM g WHERE NOT g.known),
 y AS (SELECT v.score_id, v.note_id, v.i, v.ticks, v.gap_ticks, v.so_far, v.loudest, v.unit, v.at_tick, v.clip_start, v.k, f.last_k, x.a AS left_a, x.z AS left_z, x.at_tick + x.ticks AS left_tick, n.a AS right_a, n.at_tick AS right_tick
-      FROM v JOIN f ON f.score_id = v.score_id LEFT JOIN s AS x ON x.score_id = v.score_id AND x.k = v.k LEFT JOIN s AS n ON n.score_id = v.score_id AND n.k = v.k + 1),
+      FROM v JOIN f ON f.score_id = v.score_id LEFT JOIN s AS x ON x.score_id = v.score_id AND x.k = v.k LEFT JOIN s AS n ON n.score_id = v.score_id AND n.k = v.k + 1)[[stored:y|*]],
 z AS (SELECT score_id, note_id, 'rest' AS timing, left_z + (right_a - left_z) * (so_far - ticks) / gap_ticks AS a, left_z + (right_a - left_z) * so_far / gap_ticks AS b, clip_start FROM y WHERE k > 0 AND k < last_k AND loudest = 0 AND right_a > left_z
       UNION ALL SELECT score_id, note_id, 'estimated-prefix', right_a + (at_tick - right_tick) * unit, right_a + (at_tick - right_tick + ticks) * unit, clip_start FROM y WHERE k = 0
       UNION ALL SELECT score_id, note_id, 'estimated-suffix', left_z + (at_tick - left_tick) * unit, left_z + (at_tick - left_tick + ticks) * unit, clip_start FROM y WHERE k = last_k)

@@ -8,7 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import adapters
+from .shared import kept
 
+#: Behind a table of a text that several later ones read. Spark would plan it anew for each reader, and at worst twice as often with
+#: every table between; its columns that are named are written to the shared folder instead, and read from there. Of the tables
+#: before it only stored ones can be read behind it.
+STORED = re.compile(r"\[\[stored:(\w+)\|([^\]]+)\]\],?")
 #: Spellings that differ: [[name]] in a text stands for the first in Spark, the second in DuckDB.
 DIALECT = {
     "quartile1": ("percentile({x}, 25e-2)", "quantile_cont({x}, 25e-2)"),
@@ -52,13 +57,18 @@ class SqlOperator:
     doc: str = ""
 
     def __call__(self, *frames: DataFrame) -> DataFrame:
-        return frames[0].sparkSession.sql(_dialect(self.text, 0), **dict(zip(self.inputs, frames, strict=True)))
+        spark, known, told = frames[0].sparkSession, dict(zip(self.inputs, frames, strict=True)), ""
+        *steps, last = STORED.split(self.text)
+        for text, name, columns in zip(steps[::3], steps[1::3], steps[2::3], strict=True):
+            known[f"stored_{name}"] = kept(spark.sql(_dialect(f"{told}{text}\nSELECT {columns} FROM {name}", 0), **known), f"{self.name}-{name}")
+            told = f"{told or 'WITH '}{name} AS (SELECT * FROM {{stored_{name}}}),"
+        return spark.sql(_dialect((told if " AS (" in last.partition("SELECT")[0] else told.rstrip(",")) + last, 0), **known)
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self(*[adapters.view(spark, sf_dir, name) for name in self.inputs])
 
     def oracle(self) -> str:
-        body = _dialect(self.text, 1).strip()
+        body = _dialect(STORED.sub(lambda m: "," * m[0].endswith(","), self.text), 1).strip()
         for name in self.inputs:
             body = body.replace("{" + name + "}", name)
         views = [f"{name} AS ({adapters.oracle_view(name)})" for name in self.inputs if name in adapters.VIEWS]

@@ -1,8 +1,12 @@
 """Steps that several branches of a query read are worked out once."""
 
+from collections import Counter
+
+import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
+from melisma.plans.sqlop import REGISTRY, STORED, SqlOperator
 from melisma.sources import score_documents
 
 
@@ -19,3 +23,16 @@ def test_places_of_notes_run_on_over_measures(spark):
     body = '{"version": 2, "measures": [{"id": "m1", "notes": [{"id": "a"}, {"id": "b"}]}, {"id": "m2"}, {"id": "m3", "notes": [{"id": "c"}]}]}'
     found = score_documents.tables(spark.createDataFrame([(1, body), (2, "no score")], "score_id long, body string"), stored=True).notes
     assert sorted(map(tuple, found.select("note_id", "m_idx", "n_idx", "place").collect())) == [("a", 0, 0, 1), ("b", 0, 1, 2), ("c", 2, 0, 3)]
+
+
+@pytest.mark.parametrize("name", ["score_timeline", "reconciled_lyrics", "relocated_lyrics"])
+def test_stored_steps_give_the_rows_of_the_whole_text(spark, sf_dir, name):
+    op = REGISTRY[name]
+    whole = SqlOperator(op.name, op.inputs, STORED.sub(lambda m: "," * m[0].endswith(","), op.text))
+    assert STORED.search(op.text) and op.oracle() == whole.oracle()
+    assert Counter(map(tuple, op.query(spark, sf_dir).collect())) == Counter(map(tuple, whole.query(spark, sf_dir).collect()))
+
+
+@pytest.mark.parametrize(("name", "most"), [("recording_segments", 4), ("score_timeline", 3)])
+def test_steps_with_several_readers_are_planned_once(spark, sf_dir, name, most):
+    assert plan(REGISTRY[name].query(spark, sf_dir)).count("Relation [") <= most
