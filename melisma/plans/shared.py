@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """df written once and read back: what follows doesn't redo it, and lost executors cost a task."""
+    """df written once and read back: what follows doesn't redo it, and lost executors cost a task. It is joined by merging: its size
+    on disk says little about its rows, which may be packed tightly or unrolled later, and the driver would build them all where a
+    few MB of files are planned as a broadcast."""
     path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")

@@ -69,10 +69,10 @@ WITH n AS (SELECT *, CASE WHEN in_tuplet THEN 2e0 / 3 ELSE 1e0 END * {TICKS} AS
 ids AS (SELECT score_id, measure_id AS id FROM {{measures}} UNION ALL SELECT score_id, note_id FROM {{notes}} UNION ALL SELECT score_id, id FROM {{spans}} UNION ALL SELECT score_id, id FROM {{endings}}
         UNION ALL SELECT DISTINCT score_id, tuplet_id FROM {{notes}} WHERE in_tuplet AND tuplet_id IS NOT NULL),
 t AS (SELECT score_id, m_idx, tuplet_id, count(*) AS n, max(n_idx) - min(n_idx) AS width, count(DISTINCT base) AS bases FROM {{notes}} WHERE in_tuplet AND tuplet_id IS NOT NULL GROUP BY score_id, m_idx, tuplet_id),
-p AS (SELECT x.score_id, x.id, x.type, a.place AS a, b.place AS b, a.degree > 0 AND a.degree = b.degree AND a.octave = b.octave AND a.accidental = b.accidental AS one_pitch
+p AS (SELECT /*+ MERGE(a, b) */ x.score_id, x.id, x.type, a.place AS a, b.place AS b, a.degree > 0 AND a.degree = b.degree AND a.octave = b.octave AND a.accidental = b.accidental AS one_pitch
       FROM {{spans}} AS x LEFT JOIN n AS a ON a.score_id = x.score_id AND a.note_id = x.`from` LEFT JOIN n AS b ON b.score_id = x.score_id AND b.note_id = x.`to`),
-e AS (SELECT x.score_id, x.id, x.number, a.m_idx AS a, b.m_idx AS b FROM {{endings}} AS x LEFT JOIN {{measures}} AS a ON a.score_id = x.score_id AND a.measure_id = x.fromMeasure LEFT JOIN {{measures}} AS b ON b.score_id = x.score_id AND b.measure_id = x.toMeasure),
-l AS (SELECT x.score_id, concat(coalesce(x.noteId, ''), ':', coalesce(CAST(x.verse AS STRING), '')) AS id, x.verse, x.text, x.offsetX, n.place, n.degree FROM {{lyrics}} AS x LEFT JOIN n ON n.score_id = x.score_id AND n.note_id = x.noteId),
+e AS (SELECT /*+ MERGE(a, b) */ x.score_id, x.id, x.number, a.m_idx AS a, b.m_idx AS b FROM {{endings}} AS x LEFT JOIN {{measures}} AS a ON a.score_id = x.score_id AND a.measure_id = x.fromMeasure LEFT JOIN {{measures}} AS b ON b.score_id = x.score_id AND b.measure_id = x.toMeasure),
+l AS (SELECT /*+ MERGE(n) */ x.score_id, concat(coalesce(x.noteId, ''), ':', coalesce(CAST(x.verse AS STRING), '')) AS id, x.verse, x.text, x.offsetX, n.place, n.degree FROM {{lyrics}} AS x LEFT JOIN n ON n.score_id = x.score_id AND n.note_id = x.noteId),
 head AS (SELECT score_id, explode(array(CASE WHEN NOT readable THEN 'json' END, CASE WHEN NOT coalesce(version = {VERSION}, FALSE) THEN 'version' END, CASE WHEN NOT coalesce(length(title) <= 200, FALSE) THEN 'title' END,
            CASE WHEN NOT coalesce(key RLIKE '^[A-G][#b]?$', FALSE) THEN 'key' END, CASE WHEN NOT (meter_parts = 2 AND meter IN ({", ".join(repr(m) for m in METERS)})) THEN 'meter' END, CASE WHEN tempo NOT BETWEEN 40 AND 240 THEN 'tempo' END,
            CASE WHEN n_measures NOT BETWEEN 1 AND {MOST_MEASURES} THEN 'measure-count' END, CASE WHEN n_spans NOT BETWEEN 0 AND {MOST_SPANS} THEN 'span-count' END, CASE WHEN n_endings > {MOST_ENDINGS} THEN 'ending-count' END,
@@ -87,7 +87,7 @@ SELECT score_id, note_id, rule FROM own WHERE rule IS NOT NULL UNION ALL
 SELECT m.score_id, m.measure_id, 'note-count' FROM {{measures}} AS m JOIN {{heads}} AS h ON h.score_id = m.score_id WHERE NOT coalesce(m.n_notes BETWEEN 0 AND CASE WHEN h.manual THEN {MOST_MANUAL} ELSE {MOST_NOTES} END, FALSE) UNION ALL
 SELECT score_id, measure_id, 'repeat' FROM {{measures}} WHERE NOT repeats UNION ALL
 SELECT score_id, id, CASE WHEN coalesce(id, '') = '' THEN 'id' ELSE 'duplicate-id' END FROM ids GROUP BY score_id, id HAVING coalesce(id, '') = '' OR count(*) > 1 UNION ALL
-SELECT n.score_id, n.measure_id, 'capacity' FROM n JOIN {{heads}} AS h ON h.score_id = n.score_id WHERE NOT h.manual GROUP BY n.score_id, n.m_idx, n.measure_id, h.meter
+SELECT /*+ MERGE(h) */ n.score_id, n.measure_id, 'capacity' FROM n JOIN {{heads}} AS h ON h.score_id = n.score_id WHERE NOT h.manual GROUP BY n.score_id, n.m_idx, n.measure_id, h.meter
        HAVING sum(n.ticks) > 64e0 * CAST(split_part(h.meter, '/', 1) AS DOUBLE) / CAST(split_part(h.meter, '/', 2) AS DOUBLE) + 1e-7 UNION ALL
 SELECT score_id, tuplet_id, 'tuplet-group' FROM t WHERE n <> 3 OR width <> 2 OR bases <> 1 UNION ALL
 SELECT score_id, tuplet_id, 'tuplet-group' FROM t GROUP BY score_id, tuplet_id HAVING count(*) > 1 UNION ALL
