@@ -53,7 +53,7 @@ SELECT score_id, CAST(m - 1 AS BIGINT) AS m_idx, CAST(row_number() OVER (PARTITI
 _MATCHED = """
 WITH e AS (SELECT event_id, max_by(note_id, place) AS by_event, min_by(note_id, place) AS first_of FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS place FROM {earlier_notes} WHERE event_id IS NOT NULL) AS x GROUP BY event_id),
 t AS (SELECT score_id, round(source_s, 3) AS at, min_by(note_id, place) AS by_time FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY m_idx, n_idx) AS place FROM {earlier_notes} WHERE source_s IS NOT NULL) AS x GROUP BY score_id, round(source_s, 3)),
-m AS (SELECT n.*, CASE WHEN d.event_id IS NOT NULL THEN 'deleted' WHEN n.source_s IS NULL THEN 'no time' WHEN e.by_event IS NOT NULL THEN 'same event' WHEN t.by_time IS NOT NULL THEN 'same time' ELSE 'new' END AS reason,
+m AS (SELECT[[merged:e, t]] n.*, CASE WHEN d.event_id IS NOT NULL THEN 'deleted' WHEN n.source_s IS NULL THEN 'no time' WHEN e.by_event IS NOT NULL THEN 'same event' WHEN t.by_time IS NOT NULL THEN 'same time' ELSE 'new' END AS reason,
              CASE WHEN d.event_id IS NULL AND n.source_s IS NOT NULL THEN coalesce(e.by_event, t.by_time) END AS old_id, row_number() OVER (PARTITION BY n.score_id, n.event_id ORDER BY n.m_idx, n.n_idx) AS event_place, row_number() OVER (PARTITION BY n.score_id ORDER BY n.m_idx, n.n_idx) AS place
       FROM {later_notes} AS n LEFT JOIN {deleted_events} AS d ON d.event_id = n.event_id LEFT JOIN e ON e.event_id = n.event_id LEFT JOIN t ON t.score_id = n.score_id AND t.at = round(n.source_s, 3))
 """

@@ -17,8 +17,8 @@ from ..sources import adapters
 _WRITTEN = f"""
 WITH m AS (SELECT n.score_id, n.m_idx, coalesce(max(n.manual_ticks), max(s.meter) * 16) AS length, max(s.meter) * 16 AS capacity FROM {{played_notes}} AS n JOIN {{plays}} AS s ON s.score_id = n.score_id GROUP BY n.score_id, n.m_idx)[[stored:m|*]],
 b AS (SELECT *, sum(length) OVER (w) - length + (m_idx - row_number() OVER (w) + 1) * capacity AS before FROM m WINDOW w AS (PARTITION BY score_id ORDER BY m_idx)),
-o AS (SELECT p.score_id, coalesce(min(CASE WHEN b.m_idx = p.first_measure THEN b.before - (b.m_idx - p.start_measure) * b.capacity END), 0) AS origin FROM (SELECT y.score_id, y.start_measure, min(x.m_idx) AS first_measure FROM {{plays}} AS y LEFT JOIN m AS x ON x.score_id = y.score_id AND x.m_idx >= y.start_measure GROUP BY y.score_id, y.start_measure) AS p LEFT JOIN b ON b.score_id = p.score_id GROUP BY p.score_id),
-n AS (SELECT p.*, {TICKS} AS ticks, b.before + sum({TICKS}) OVER (PARTITION BY p.score_id, p.m_idx ORDER BY p.n_idx) - {TICKS} AS placed, row_number() OVER (PARTITION BY p.score_id ORDER BY p.m_idx, p.n_idx) AS i FROM {{played_notes}} AS p JOIN b ON b.score_id = p.score_id AND b.m_idx = p.m_idx),
+o AS (SELECT[[merged:b]] p.score_id, coalesce(min(CASE WHEN b.m_idx = p.first_measure THEN b.before - (b.m_idx - p.start_measure) * b.capacity END), 0) AS origin FROM (SELECT[[merged:x]] y.score_id, y.start_measure, min(x.m_idx) AS first_measure FROM {{plays}} AS y LEFT JOIN m AS x ON x.score_id = y.score_id AND x.m_idx >= y.start_measure GROUP BY y.score_id, y.start_measure) AS p LEFT JOIN b ON b.score_id = p.score_id GROUP BY p.score_id),
+n AS (SELECT[[merged:b]] p.*, {TICKS} AS ticks, b.before + sum({TICKS}) OVER (PARTITION BY p.score_id, p.m_idx ORDER BY p.n_idx) - {TICKS} AS placed, row_number() OVER (PARTITION BY p.score_id ORDER BY p.m_idx, p.n_idx) AS i FROM {{played_notes}} AS p JOIN b ON b.score_id = p.score_id AND b.m_idx = p.m_idx),
 w AS (SELECT n.*, s.bpm, s.start_measure, s.clip_start, 60e0 / s.bpm / 16 AS unit, s.do_midi, n.placed - o.origin AS at_tick FROM n JOIN {{plays}} AS s ON s.score_id = n.score_id JOIN o ON o.score_id = n.score_id)
 """
 timeline = operator("score_timeline", "played_notes plays", f"""{_WRITTEN.rstrip()},

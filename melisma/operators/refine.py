@@ -46,13 +46,13 @@ SELECT l.score_id, l.note_id, l.verse, CASE WHEN m.farthest <= 2000 THEN round(m
 
 relocated = operator("relocated_lyrics", "placed_lyrics notes relocations", """
 WITH o AS (SELECT note_id, score_id, m_idx, degree, coalesce(lag(tie) OVER w, false) AS held, row_number() OVER w AS place FROM {notes} WINDOW w AS (PARTITION BY score_id ORDER BY m_idx, n_idx))[[stored:o|*]],
-l AS (SELECT p.*, o.m_idx, o.place FROM {placed_lyrics} AS p JOIN o ON o.note_id = p.note_id)[[stored:l|score_id, note_id, verse, text, m_idx, place]],
-v AS (SELECT r.score_id, r.verse, r.target_id, r.first_m, r.last_m, l.place AS from_place, o.place AS to_place FROM {relocations} AS r JOIN l ON l.note_id = r.note_id AND l.verse = r.verse JOIN o ON o.note_id = r.target_id AND o.degree > 0 WHERE r.note_id <> r.target_id)[[stored:v|*]],
-q AS (SELECT l.score_id, l.note_id, l.verse, l.text, v.target_id, CASE WHEN l.place >= v.from_place AND l.m_idx BETWEEN v.first_m AND v.last_m THEN 0 WHEN l.place >= v.to_place THEN 1 END AS part, l.place FROM l JOIN v ON v.score_id = l.score_id AND v.verse = l.verse),
+l AS (SELECT[[merged:o]] p.*, o.m_idx, o.place FROM {placed_lyrics} AS p JOIN o ON o.note_id = p.note_id)[[stored:l|score_id, note_id, verse, text, m_idx, place]],
+v AS (SELECT[[merged:l, o]] r.score_id, r.verse, r.target_id, r.first_m, r.last_m, l.place AS from_place, o.place AS to_place FROM {relocations} AS r JOIN l ON l.note_id = r.note_id AND l.verse = r.verse JOIN o ON o.note_id = r.target_id AND o.degree > 0 WHERE r.note_id <> r.target_id)[[stored:v|*]],
+q AS (SELECT[[merged:v]] l.score_id, l.note_id, l.verse, l.text, v.target_id, CASE WHEN l.place >= v.from_place AND l.m_idx BETWEEN v.first_m AND v.last_m THEN 0 WHEN l.place >= v.to_place THEN 1 END AS part, l.place FROM l JOIN v ON v.score_id = l.score_id AND v.verse = l.verse),
 k AS (SELECT score_id, note_id, verse, text, row_number() OVER (PARTITION BY score_id, verse ORDER BY part, place) AS k, count(*) OVER (PARTITION BY score_id, verse) AS n FROM q WHERE part IS NOT NULL)[[stored:k|*]],
-t AS (SELECT o.score_id, v.verse, o.note_id, row_number() OVER (PARTITION BY o.score_id, v.verse ORDER BY o.place) AS k, count(*) OVER (PARTITION BY o.score_id, v.verse) AS n FROM o JOIN v ON v.score_id = o.score_id LEFT JOIN l ON l.note_id = o.note_id AND l.verse = v.verse WHERE o.place >= v.to_place AND o.degree > 0 AND (NOT o.held OR o.note_id = v.target_id OR l.note_id IS NOT NULL))[[stored:t|*]],
-w AS (SELECT k.score_id, k.note_id, k.verse, k.text, t.note_id AS new_id, k.n <= f.n AS fits FROM k JOIN (SELECT DISTINCT score_id, verse, n FROM t) AS f ON f.score_id = k.score_id AND f.verse = k.verse LEFT JOIN t ON t.score_id = k.score_id AND t.verse = k.verse AND t.k = k.k)
-SELECT l.score_id, l.note_id AS old_id, l.verse, l.text, CASE WHEN w.fits THEN w.new_id ELSE l.note_id END AS note_id, CASE WHEN w.fits THEN 'moved' WHEN NOT w.fits THEN 'no room' ELSE 'stays' END AS state FROM l LEFT JOIN w ON w.note_id = l.note_id AND w.verse = l.verse
+t AS (SELECT[[merged:v, l]] o.score_id, v.verse, o.note_id, row_number() OVER (PARTITION BY o.score_id, v.verse ORDER BY o.place) AS k, count(*) OVER (PARTITION BY o.score_id, v.verse) AS n FROM o JOIN v ON v.score_id = o.score_id LEFT JOIN l ON l.note_id = o.note_id AND l.verse = v.verse WHERE o.place >= v.to_place AND o.degree > 0 AND (NOT o.held OR o.note_id = v.target_id OR l.note_id IS NOT NULL))[[stored:t|*]],
+w AS (SELECT[[merged:f, t]] k.score_id, k.note_id, k.verse, k.text, t.note_id AS new_id, k.n <= f.n AS fits FROM k JOIN (SELECT DISTINCT score_id, verse, n FROM t) AS f ON f.score_id = k.score_id AND f.verse = k.verse LEFT JOIN t ON t.score_id = k.score_id AND t.verse = k.verse AND t.k = k.k)
+SELECT[[merged:w]] l.score_id, l.note_id AS old_id, l.verse, l.text, CASE WHEN w.fits THEN w.new_id ELSE l.note_id END AS note_id, CASE WHEN w.fits THEN 'moved' WHEN NOT w.fits THEN 'no room' ELSE 'stays' END AS state FROM l LEFT JOIN w ON w.note_id = l.note_id AND w.verse = l.verse
 """, "ED4: a syllable and those after it in its row stand before all that were sung from the target on, which make room; without notes enough nothing moves")
 
 _N = adapters.VIEWS["notes"]

@@ -14,8 +14,10 @@ from .shared import kept
 #: every table between; its columns that are named are written to the shared folder instead, and read from there. Of the tables
 #: before it only stored ones can be read behind it.
 STORED = re.compile(r"\[\[stored:(\w+)\|([^\]]+)\]\],?")
-#: Spellings that differ: [[name]] in a text stands for the first in Spark, the second in DuckDB.
+#: Spellings that differ: [[name]] in a text stands for the first in Spark, the second in DuckDB. [[merged:...]] behind a SELECT
+#: names tables that follow from stored ones: a hint that a table has of kept() doesn't reach joins of tables made of it.
 DIALECT = {
+    "merged": ("/*+ MERGE({x}) */", ""),
     "quartile1": ("percentile({x}, 25e-2)", "quantile_cont({x}, 25e-2)"),
     "quartile3": ("percentile({x}, 75e-2)", "quantile_cont({x}, 75e-2)"),
     "lower_of": ("percentile({x}, 25e-2) OVER {y}", "quantile_cont({x}, 25e-2) OVER {y}"),

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
+from melisma.plans import sqlop
+from melisma.plans.shared import kept
 from melisma.plans.sqlop import REGISTRY, STORED, SqlOperator
 from melisma.sources import adapters, score_documents
 
@@ -63,3 +65,11 @@ def broadcasts(df: DataFrame) -> list[str]:
 
 def test_parsed_documents_are_not_broadcast(spark, sf_dir):
     assert broadcasts(entry.queries()["document_violations"](spark, sf_dir)) == []
+
+@pytest.mark.parametrize("name", ["score_timeline", "recording_segments", "midi_files", "reconciled_lyrics", "relocated_lyrics"])
+def test_tables_made_of_stored_ones_are_not_broadcast(spark, sf_dir, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(sqlop, "kept", lambda df, label: (seen.append(df), kept(df, label))[1])
+    seen.append(entry.queries()[name](spark, sf_dir))
+    assert [x for df in seen for x in broadcasts(df)] == []
+    assert any("SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
