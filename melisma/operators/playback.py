@@ -26,7 +26,7 @@ t AS (SELECT *, at_tick * unit AS a, (at_tick + ticks) * unit AS z, lag(tie AND
 e AS (SELECT *, CASE WHEN degree = 0 THEN 0 WHEN coalesce(held, false) AND abs(held_to - at_tick) < 1e-6 AND grace_degree IS NULL THEN 0 ELSE 1 END AS begins FROM t),
 g AS (SELECT *, sum(begins) OVER (PARTITION BY score_id ORDER BY i) AS event FROM e WHERE degree > 0),
 h AS (SELECT score_id, event, min(i) AS i, max(z) AS z FROM g GROUP BY score_id, event),
-x AS (SELECT g.*, h.z AS event_end, CASE WHEN g.grace_degree IS NOT NULL THEN least((g.z - g.a) / 4, 15e0 / g.bpm) ELSE 0e0 END AS leans FROM g JOIN h ON h.score_id = g.score_id AND h.event = g.event AND h.i = g.i)[[stored:x|score_id, note_id, m_idx, midi, grace_degree, grace_midi, a, leans, event_end]]
+x AS (SELECT[[merged:h]] g.*, h.z AS event_end, CASE WHEN g.grace_degree IS NOT NULL THEN least((g.z - g.a) / 4, 15e0 / g.bpm) ELSE 0e0 END AS leans FROM g JOIN h ON h.score_id = g.score_id AND h.event = g.event AND h.i = g.i)[[stored:x|score_id, note_id, m_idx, midi, grace_degree, grace_midi, a, leans, event_end]]
 SELECT score_id, 'mark' AS kind, note_id, m_idx, CAST(NULL AS BIGINT) AS midi, round(a, 6) AS start_s, round(z, 6) AS end_s FROM t
 UNION ALL SELECT score_id, 'note', note_id, m_idx, CAST(midi AS BIGINT), round(a + leans, 6), round(event_end, 6) FROM x
 UNION ALL SELECT score_id, 'grace', note_id, m_idx, CAST(grace_midi AS BIGINT), round(a, 6), round(a + leans, 6) FROM x WHERE grace_degree IS NOT NULL
