@@ -39,10 +39,10 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id ORDER BY i) AS grp FROM c
 q AS (SELECT score_id, grp, min(begun) AS begun, max(ended) AS ended, sum(ticks) AS ticks, max(unit) AS unit FROM g WHERE known GROUP BY score_id, grp),
 l AS (SELECT *, lead(begun) OVER (PARTITION BY score_id ORDER BY grp) AS next_begun FROM q),
 d AS (SELECT score_id, grp, begun, ticks, coalesce(ended, CASE WHEN next_begun > begun THEN least(next_begun, begun + ticks * unit) ELSE begun + ticks * unit END) AS ended FROM l),
-s AS (SELECT g.score_id, g.note_id, g.i, g.k, g.ticks, g.unit, g.at_tick, d.begun + (d.ended - d.begun) * (sum(g.ticks) OVER (u) - g.ticks) / d.ticks AS a, d.begun + (d.ended - d.begun) * sum(g.ticks) OVER (u) / d.ticks AS z FROM g JOIN d ON d.score_id = g.score_id AND d.grp = g.grp WHERE g.known WINDOW u AS (PARTITION BY g.score_id, g.grp ORDER BY g.i))[[stored:s|score_id, note_id, k, ticks, at_tick, a, z]],
+s AS (SELECT[[merged:d]] g.score_id, g.note_id, g.i, g.k, g.ticks, g.unit, g.at_tick, d.begun + (d.ended - d.begun) * (sum(g.ticks) OVER (u) - g.ticks) / d.ticks AS a, d.begun + (d.ended - d.begun) * sum(g.ticks) OVER (u) / d.ticks AS z FROM g JOIN d ON d.score_id = g.score_id AND d.grp = g.grp WHERE g.known WINDOW u AS (PARTITION BY g.score_id, g.grp ORDER BY g.i))[[stored:s|score_id, note_id, k, ticks, at_tick, a, z]],
 f AS (SELECT score_id, max(k) AS last_k FROM s GROUP BY score_id),
 v AS (SELECT g.*, sum(g.ticks) OVER (PARTITION BY g.score_id, g.k) AS gap_ticks, sum(g.ticks) OVER (PARTITION BY g.score_id, g.k ORDER BY g.i) AS so_far, max(g.degree) OVER (PARTITION BY g.score_id, g.k) AS loudest FROM g WHERE NOT g.known),
-y AS (SELECT v.score_id, v.note_id, v.i, v.ticks, v.gap_ticks, v.so_far, v.loudest, v.unit, v.at_tick, v.clip_start, v.k, f.last_k, x.a AS left_a, x.z AS left_z, x.at_tick + x.ticks AS left_tick, n.a AS right_a, n.at_tick AS right_tick
+y AS (SELECT[[merged:x, n]] v.score_id, v.note_id, v.i, v.ticks, v.gap_ticks, v.so_far, v.loudest, v.unit, v.at_tick, v.clip_start, v.k, f.last_k, x.a AS left_a, x.z AS left_z, x.at_tick + x.ticks AS left_tick, n.a AS right_a, n.at_tick AS right_tick
       FROM v JOIN f ON f.score_id = v.score_id LEFT JOIN s AS x ON x.score_id = v.score_id AND x.k = v.k LEFT JOIN s AS n ON n.score_id = v.score_id AND n.k = v.k + 1)[[stored:y|*]],
 z AS (SELECT score_id, note_id, 'rest' AS timing, left_z + (right_a - left_z) * (so_far - ticks) / gap_ticks AS a, left_z + (right_a - left_z) * so_far / gap_ticks AS b, clip_start FROM y WHERE k > 0 AND k < last_k AND loudest = 0 AND right_a > left_z
       UNION ALL SELECT score_id, note_id, 'estimated-prefix', right_a + (at_tick - right_tick) * unit, right_a + (at_tick - right_tick + ticks) * unit, clip_start FROM y WHERE k = 0
@@ -99,7 +99,7 @@ def midi_files(marks: DataFrame, heads: DataFrame) -> DataFrame:
                 files = [midi_bytes([(e["midi"], e["start_s"], e["end_s"]) for e in own or []], float(b), (int(n), int(u)), float(d)) for b, n, u, d, own in zip(bpm, beats, unit, duration, events, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(score, pa.int64()), pa.array(files, pa.binary())], names=["score_id", "midi"])
 
-    return heads.select("score_id", "bpm", "beats", "beat_unit", "duration_s").join(sounding, "score_id", "left").select("score_id", "bpm", "beats", "beat_unit", "duration_s", "events").mapInArrow(run, "score_id long, midi binary")
+    return heads.select("score_id", "bpm", "beats", "beat_unit", "duration_s").join(sounding.hint("merge"), "score_id", "left").select("score_id", "bpm", "beats", "beat_unit", "duration_s", "events").mapInArrow(run, "score_id long, midi binary")
 
 
 _N = adapters.VIEWS["notes"]
