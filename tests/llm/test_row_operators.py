@@ -251,3 +251,32 @@ def test_lm_learns_from_every_training_text(spark):
     # all 30 rare texts count alike, whichever they are
     scores = {(r["held_out"], round(r["score"], 9)) for r in lm.score(train).collect() if r["doc_id"] % 100 == 0}
     assert len({s for held, s in scores if held}) <= 1 and len({s for held, s in scores if not held}) == 1
+
+
+def test_lm_weights_are_fitted_on_all_training_texts(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, sf_dir)
+    train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    halves = dict(spark.createDataFrame([(t,) for t in train], "text string").select("text", F.expr("pmod(xxhash64(coalesce(text, '')), 2)")).collect())
+    counts = np.bincount(lm.LOWER[np.frombuffer("".join(t or "" for t in train).encode(), dtype=np.uint8)], minlength=256)
+    counts[0] += len(train)
+    code, tables = lm.code_from(counts), []
+    streams = [[lm.stream(c) for c in chunks(pa.array([t or "" for t in train if halves[t] == h]))] for h in (0, 1)]
+    for own in streams:
+        counter = lm.Counter(code)
+        for s in own:
+            counter.add(s)
+        tables.append([lm.stretched(c) for c in counter.tables()])
+    # each text is judged by what the other half's texts gave; no text is left out
+    found = [lm.slopes(s, code, tables[1 - h], np.full(lm.INPUTS, lm.START)) for h in (0, 1) for s in streams[h]]
+    want = lm.newton(np.full(lm.INPUTS, lm.START), sum(x for x, _ in found), sum(x for _, x in found))
+    seen, scored = [], lm._scored
+    monkeypatch.setattr(lm, "_scored", lambda model, n, v: (seen.append(model.weights), scored(model, n, v))[1])
+    rows = frame(spark, [(i, t, None, None, None) for i, t in docs])
+    assert lm.score(rows).count() == len(docs)
+    assert np.allclose(seen[0], want, atol=2e-4) and np.abs(seen[0] - lm.START).max() > 0.02
+    lm.score(rows.repartition(3, "text"))
+    assert (seen[1] == seen[0]).all()
+    lm.score(rows, weights=np.array([0.1, 0.2, 0.3, 0.4]))
+    assert np.allclose(seen[2], [0.1, 0.2, 0.3, 0.4])
